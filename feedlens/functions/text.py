@@ -47,7 +47,7 @@ def clean_field(x) -> Column:
 
 def extract_feedback(x) -> Column:
     """Text after ``Feedback: `` on the last line, stripped; NULL when there is none."""
-    pattern = "Feedback: ([^\\n]*)\\n?$"
+    pattern = "Feedback: ([^\\n]*)\\n?\\z"
     return F.when(_c(x).rlike(pattern), strip(F.regexp_extract(_c(x), pattern, 1)))
 
 
