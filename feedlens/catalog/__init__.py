@@ -4,3 +4,4 @@ from feedlens.catalog.registry import ORACLE, QUERIES  # noqa: F401
 from feedlens.catalog import agreement_q  # noqa: F401,E402
 from feedlens.catalog import build_q  # noqa: F401,E402
 from feedlens.catalog import text_q  # noqa: F401,E402
+from feedlens.catalog import training_q  # noqa: F401,E402
