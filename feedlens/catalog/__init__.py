@@ -6,3 +6,4 @@ from feedlens.catalog import build_q  # noqa: F401,E402
 from feedlens.catalog import text_q  # noqa: F401,E402
 from feedlens.catalog import training_q  # noqa: F401,E402
 from feedlens.catalog import metrics_q  # noqa: F401,E402
+from feedlens.catalog import sources_q  # noqa: F401,E402
