@@ -17,8 +17,22 @@ WHITESPACE_CODEPOINTS = [
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 WHITESPACE = "".join(chr(c) for c in WHITESPACE_CODEPOINTS)
-# Same set as a regex class valid in both Java regex and RE2.
-WS_CLASS = "[" + "".join(f"\\x{{{c:X}}}" for c in WHITESPACE_CODEPOINTS) + "]"
+
+
+def _ranges(cps):
+    out, start, prev = [], cps[0], cps[0]
+    for c in cps[1:]:
+        if c != prev + 1:
+            out.append((start, prev))
+            start = c
+        prev = c
+    return out + [(start, prev)]
+
+
+# Same set as a regex class valid in both Java regex and RE2; consecutive code points are written
+# as ranges, which Java matches several times faster than a list of single characters.
+WS_CLASS = "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}"
+                         for a, b in _ranges(WHITESPACE_CODEPOINTS)) + "]"
 
 
 def _c(x) -> Column:
