@@ -79,10 +79,15 @@ def hash_positions(df: DataFrame, keys, hash_col: str, tie_cols, *, pos_col: str
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.sum("_n").over(every).alias("_size"),
     )
+    # NULL-safe on the group keys: a NULL key is one group, as in the window above
+    offsets = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bucket").alias("_o_bucket"),
+                             "_off", "_size")
     if not keys:
         # at most 16**digits rows: a proven bound for the broadcast
         offsets = F.broadcast(offsets)
-    out = b.join(offsets, [*keys, "_bucket"]).withColumn(pos_col, F.col("_off") + F.col("_rn"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col("_bucket") == F.col("_o_bucket")]
+    out = b.join(offsets, cond).drop(*[f"_o_{k}" for k in keys], "_o_bucket")
+    out = out.withColumn(pos_col, F.col("_off") + F.col("_rn"))
     if size_col:
         out = out.withColumn(size_col, F.col("_size"))
     return out.drop("_bucket", "_rn", "_off", "_size")
