@@ -56,6 +56,12 @@ def expanded_splits(spark, sf):
     return mcq.expand(q, extra=("split",))
 
 
+def expanded_table(spark, sf):
+    """Expanded splits written once (partitioned by split) for jobs that read them in several branches."""
+    from feedlens.sources.files import materialize
+    return materialize(expanded_splits(spark, sf), "expanded", partition_by=["split"])
+
+
 def generated_tables(spark, sf):
     g = view(spark, sf, "v_generated")
     return {m: g.filter(F.col("method") == m) for m in METHODS if m != "gold"}
@@ -118,7 +124,7 @@ SAMPLE_SIZES = {"train": 1000, "val": 1000, "test": 1000}
        "(PARTITION BY split ORDER BY md5(concat_ws(':', '221', 'sample', CAST(row_id AS VARCHAR))), row_id) AS rn "
        "FROM ex) WHERE rn <= 1000")
 def sample_exact(spark, sf):
-    ex = expanded_splits(spark, sf).select("row_id", "split")
+    ex = expanded_table(spark, sf).select("row_id", "split")
     parts = [ix.sample_exact(ex.filter(F.col("split") == s), n, ["row_id"]) for s, n in SAMPLE_SIZES.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -150,7 +156,7 @@ UNION ALL SELECT 'dev', row_id, 'data' FROM dv WHERE idx < {VAL_SIZE}
 UNION ALL SELECT 'dev', row_id, 'corpus' FROM ex WHERE split = 'train'""")
 def corpus_partition(spark, sf):
     from feedlens.plans.retrieval import corpus_partition as cpart
-    ex = expanded_splits(spark, sf).select("row_id", "split")
+    ex = expanded_table(spark, sf).select("row_id", "split")
     return cpart(ex, corpus_size=CORPUS_SIZE, val_size=VAL_SIZE)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedlens.catalog.build_q import SQL_EXPANDED_SPLITS, expanded_splits
+from feedlens.catalog.build_q import SQL_EXPANDED_SPLITS, expanded_table
 from feedlens.catalog.registry import query, r6, sr6
 from feedlens.functions import prompts as pr
 from feedlens.functions.parse import parse_binary, sql_parse_binary_ctes
@@ -281,7 +281,7 @@ SELECT t.row_id, {pr.sql_lit(pr.instruction(False) + chr(10) + chr(10))} || coal
 
 @query("fewshot_random", ("v_mcq",), _FEWSHOT_RANDOM)
 def fewshot_random(spark, sf):
-    ex = expanded_splits(spark, sf)
+    ex = expanded_table(spark, sf)
     pool = fs.with_pool_positions(ex.filter(F.col("split") == "train"))
     picks = fs.random_picks(ex, pool, K, mask_self=F.col("split") == "train")
     texts = pool.select(F.col("pool_pos"), fs.example_texts(pool).alias("text"))

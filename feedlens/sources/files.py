@@ -72,3 +72,18 @@ def select_partition(df: DataFrame, **eq) -> DataFrame:
 def records(df: DataFrame, cols, name: str = "meta_data") -> DataFrame:
     """Whole row as one nested record column (``to_dict('records')``)."""
     return df.withColumn(name, F.struct(*[F.col(c) for c in cols]))
+
+
+def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and scan it back.
+
+    Cuts the lineage of an intermediate that several branches of a job read (each branch then
+    prunes columns and partitions at the scan instead of recomputing the whole chain), and
+    survives executor loss: the data lives in the shared folder, not on executors.
+    """
+    from feedlens.session import shared_dir
+
+    spark = df.sparkSession
+    path = shared_dir(spark, name) + "/data"
+    write_table(df, path, partition_by)
+    return read_table(spark, path)

@@ -173,16 +173,39 @@ def _closure(names) -> list[str]:
     return out
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    for t in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+_REGISTERED: dict[tuple[int, str], str] = {}  # (session id, temp view) -> data folder it was registered for
+
+
+def _base_tables_of(names) -> list[str]:
+    import re
+
+    used = set()
+    for n in names:
+        words = set(re.findall(r"[a-z_]+", VIEWS[n].text("spark").lower()))
+        used |= words & set(BASE_TABLES)
+    return sorted(used)
+
+
+def _register(spark: SparkSession, name: str, sf_dir: str, make) -> None:
+    key = (id(spark), name)
+    if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists(name):
+        return
+    make().createOrReplaceTempView(name)
+    _REGISTERED[key] = sf_dir
+
+
+def register_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> None:
+    """Temp views over the driver's parquet tables (registered once per session and folder)."""
+    for t in names:
+        _register(spark, t, sf_dir, lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Register the driver's tables of ``sf_dir`` plus ``name`` (and its dependencies) and return it."""
-    register_tables(spark, sf_dir)
-    for n in _closure([name]):
-        spark.sql(VIEWS[n].text("spark")).createOrReplaceTempView(n)
+    """Register the tables of ``sf_dir`` that ``name`` reads, plus ``name`` and its dependencies; return it."""
+    closure = _closure([name])
+    register_tables(spark, sf_dir, _base_tables_of(closure))
+    for n in closure:
+        _register(spark, n, sf_dir, lambda n=n: spark.sql(VIEWS[n].text("spark")))
     return spark.table(name)
 
 
