@@ -65,20 +65,23 @@ def block_topk(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
 
     Returns ``(*group_cols, left_id, right_id, sim, rank)`` with rank 1 = most similar.
     """
-    g = list(group_cols) or ["_all"]
-    if not group_cols:
-        left = left.withColumn("_all", F.lit(0))
-        right = right.withColumn("_all", F.lit(0))
+    g = list(group_cols)
     # fresh aliases: both sides may come from one table (self-similarity)
     lv = left.select(*[F.col(c).alias(c) for c in g], F.col(left_id).alias(left_id), unit(vec).alias("_v"))
     rv = right.select(*[F.col(c).alias(c) for c in g], F.col(right_id).alias(right_id), unit(vec).alias("_v"))
-    # number of blocks per group and side: a table with one row per group
-    nl = lv.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_nlb"))
-    nr = rv.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_nrb"))
-    blocks = nl.join(nr, g)
-    lrep = (lv.join(blocks, g).withColumn("_lb", F.pmod(F.xxhash64(left_id), F.col("_nlb")))
+    nlb = F.ceil(F.count(F.lit(1)) / F.lit(block_rows))
+    if g:
+        # number of blocks per group and side: a table with one row per group, joined on the group key
+        blocks = lv.groupBy(*g).agg(nlb.alias("_nlb")).join(rv.groupBy(*g).agg(nlb.alias("_nrb")), g)
+        lv, rv = lv.join(blocks, g), rv.join(blocks, g)
+    else:
+        # one group: the block counts are scalar subqueries
+        n_l, n_r = lv.select(nlb).scalar(), rv.select(nlb).scalar()
+        lv = lv.withColumn("_nlb", n_l).withColumn("_nrb", n_r)
+        rv = rv.withColumn("_nlb", n_l).withColumn("_nrb", n_r)
+    lrep = (lv.withColumn("_lb", F.pmod(F.xxhash64(left_id), F.col("_nlb")))
             .withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nrb") - 1))).drop("_nlb", "_nrb"))
-    rrep = (rv.join(blocks, g).withColumn("_rb", F.pmod(F.xxhash64(right_id), F.col("_nrb")))
+    rrep = (rv.withColumn("_rb", F.pmod(F.xxhash64(right_id), F.col("_nrb")))
             .withColumn("_lb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nlb") - 1))).drop("_nlb", "_nrb"))
     fields = [left.schema[c] for c in g] + [left.schema[left_id], right.schema[right_id],
                                             T.StructField("sim", T.DoubleType())]
@@ -86,5 +89,4 @@ def block_topk(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
     part = lrep.groupBy(*g, "_lb", "_rb").cogroup(rrep.groupBy(*g, "_lb", "_rb")).applyInPandas(
         _block_fn(left_id, right_id, g, k, exclude_self, digits), schema)
     w = Window.partitionBy(*g, left_id).orderBy(F.col("sim").desc(), F.col(right_id).asc())
-    out = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out.drop("_all") if not group_cols else out
+    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
