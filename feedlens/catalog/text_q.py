@@ -66,7 +66,7 @@ def sft_table(spark, sf):
     return e.select(*EXP_COLS, pr.sft_prompt(False).alias("prompt"), pr.completion().alias("label"))
 
 
-_TO_JSON = "to_json({" + ", ".join(f"'{c}': {c}" for c in EXP_COLS) + "})"
+_TO_JSON = "CAST(to_json({" + ", ".join(f"'{c}': {c}" for c in EXP_COLS) + "}) AS VARCHAR)"
 
 
 @query("ppo_query_table", EXP, f"SELECT row_id, {pr.sql_sft_prompt(True)} AS query, {_TO_JSON} AS meta_data FROM v_expanded")

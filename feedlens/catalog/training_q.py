@@ -14,7 +14,8 @@ from feedlens.sources.views import view
 SRC = ("v_expanded",)
 BOTH = ("v_annotated_a", "v_expanded")
 _ITEM = "row_id, qid, question, correct_answer, explanation, distractor"
-_NEG = "1.0 AS incorrect, 0.0 AS reveal, 0.0 AS suggestions, 0.0 AS misconceptions, 0.0 AS positive"
+_NEG = ("CAST(1.0 AS DOUBLE) AS incorrect, CAST(0.0 AS DOUBLE) AS reveal, CAST(0.0 AS DOUBLE) AS suggestions, "
+        "CAST(0.0 AS DOUBLE) AS misconceptions, CAST(0.0 AS DOUBLE) AS positive")
 
 SQL_INNER = """h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY md5(concat_ws(':', '221', 'inner',
   CAST(row_id AS VARCHAR))), row_id) - 1 AS pos, count(*) OVER (PARTITION BY qid) AS n FROM v_expanded),
