@@ -202,4 +202,4 @@ _SQL_WC = (f"CASE WHEN {tx.sql_strip('feedback')} = '' THEN 0 ELSE "
 @query("max_tokens", ("v_mcq",), SQL_EXPANDED_SPLITS + f" SELECT split, max({_SQL_WC}) AS max_tokens FROM ex GROUP BY split")
 def max_tokens(spark, sf):
     ex = expanded_splits(spark, sf)
-    return ex.groupBy("split").agg(F.max(tx.word_count("feedback")).alias("max_tokens"))
+    return ex.groupBy("split").agg(F.max(tx.word_count("feedback")).cast("long").alias("max_tokens"))
