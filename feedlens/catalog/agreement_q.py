@@ -227,8 +227,7 @@ def show_diffs(spark, sf):
        "(ORDER BY qid ASC NULLS LAST, distractor ASC NULLS LAST, row_id) - 1 AS pos FROM pairs")
 def sorted_annotations(spark, sf):
     p = pairs(spark, sf).select("row_id", "qid", "distractor")
-    order = [F.col("qid").asc_nulls_last(), F.col("distractor").asc_nulls_last(), F.col("row_id").asc()]
-    return ordered_index(p, order, index_col="pos")
+    return ordered_index(p, ["qid", "distractor", "row_id"], index_col="pos")  # ascending, NULLs last
 
 
 @query("annotator_select", AB, "WITH t AS (SELECT 'a' AS annotator, 'bin' AS rubric, row_id, " + ", ".join(LAB)

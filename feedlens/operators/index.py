@@ -4,9 +4,9 @@ pandas code uses the implicit RangeIndex as identity (reset index, ``iloc`` spli
 zips). A global ``row_number() OVER (ORDER BY ...)`` in Spark moves every row into one task, so
 positions are built from two pieces instead:
 
-* ``ordered_index``: range-partition on the full sort key, number rows inside each partition
-  (sorted locally), and add per-partition offsets. The offsets table has one row per
-  partition, so its broadcast size is bounded by the partition count, not by the data.
+* ``ordered_index``: bucket rows by quantile bounds of the sort key (a pure function of the
+  row), number them inside each bucket, and add per-bucket offsets. The offsets table has one
+  row per bucket, so its broadcast size is bounded by the bucket count, not by the data.
 * ``hash_positions``: position inside a group when the order is a uniform hash. Rows are split
   into ``16**digits`` buckets by the leading hex digits of the hash, so a group holding a large
   share of all rows is numbered by many tasks; per-bucket counts give the offsets.
@@ -25,34 +25,68 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def ordered_index(df: DataFrame, order_by, *, index_col: str = "idx", total_col: str | None = None,
-                  num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in the total order ``order_by`` (make it unique).
+_DEFAULTS = {"string": "", "boolean": False, "binary": b""}
+
+
+def _sort_struct(df: DataFrame, order_by) -> tuple[Column, list]:
+    """A NULL-free struct whose natural order is the requested order (ascending, NULLs last
+    unless the column is given as ``(name, "nulls_first")``)."""
+    fields, names = [], []
+    for spec in order_by:
+        name, nulls_first = (spec, False) if isinstance(spec, str) else (spec[0], spec[1] == "nulls_first")
+        dt = df.schema[name].dataType
+        default = _DEFAULTS.get(dt.simpleString(), 0)
+        flag = F.col(name).isNotNull() if nulls_first else F.col(name).isNull()
+        fields += [flag.alias(f"_n{len(names)}"), F.coalesce(F.col(name), F.lit(default).cast(dt)).alias(f"_v{len(names)}")]
+        names.append(name)
+    return F.struct(*fields), names
 
-    Equals ``row_number() OVER (ORDER BY order_by) - 1``. Optionally adds the row count.
+
+def ordered_index(df: DataFrame, order_by, *, index_col: str = "idx", total_col: str | None = None,
+                  rows_per_bucket: int = 1_000_000, max_buckets: int = 65_536, sample_per_bucket: int = 20,
+                  seed: int = SEED) -> DataFrame:
+    """0-based position of each row in the order ``order_by`` (columns, ascending; make it unique).
+
+    Equals ``row_number() OVER (ORDER BY order_by) - 1`` without a single-partition window:
+    quantile bounds of the sort key come from one bounded sample (at most
+    ``buckets * sample_per_bucket`` keys reach the driver, as in Spark's own range partitioner).
+    Each row's bucket is a binary search over those constant bounds, a pure function of the row,
+    so every branch and every re-run of a task agrees on it. Rows are numbered by a window per
+    bucket; bucket offsets come from a table with one row per bucket (broadcast, bounded).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = _cols(order_by)
-    ranged = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id())
-        # position inside the partition: monotonically_increasing_id = (pid << 33) + position
-        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33))
-    )
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(every).alias("_total"),
-    )
-    out = ranged.join(F.broadcast(offsets), "_pid").withColumn(index_col, F.col("_off") + F.col("_local"))
+    key, _ = _sort_struct(df, order_by)
+    keyed = df.withColumn("_key", key)
+    total = keyed.count()
+    n_b = int(min(max_buckets, max(1, -(-total // rows_per_bucket))))
+    bounds = []
+    if n_b > 1:
+        frac = min(1.0, n_b * sample_per_bucket / total)
+        sample = sorted(tuple(r[0]) for r in keyed.select("_key").sample(fraction=frac, seed=seed)
+                        .limit(2 * n_b * sample_per_bucket).collect())
+        bounds = sorted({sample[(len(sample) * i) // n_b] for i in range(1, n_b)} if sample else set())
+    if bounds:
+        ktype = keyed.schema["_key"].dataType
+        lit_bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, ktype.fields)])
+                               for b in bounds])
+        steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+        nb = len(bounds)
+        # binary search: number of bounds strictly below the key
+        bucket = F.aggregate(F.array(*[F.lit(st) for st in steps]), F.lit(0),
+                             lambda acc, st: F.when((acc + st <= nb) & (F.element_at(lit_bounds, acc + st) < F.col("_key")),
+                                                    acc + st).otherwise(acc))
+    else:
+        bucket = F.lit(0)
+    b = keyed.withColumn("_bucket", bucket)
+    within = Window.partitionBy("_bucket").orderBy("_key")
+    b = b.withColumn("_rn", F.row_number().over(within) - 1)
+    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_bucket").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = b.join(F.broadcast(offsets), F.col("_bucket") == F.col("_ob"))  # one row per bucket: bounded
+    out = out.withColumn(index_col, (F.col("_off") + F.col("_rn")).cast("long"))
     if total_col:
-        out = out.withColumn(total_col, F.col("_total"))
-    return out.drop("_pid", "_local", "_off", "_total")
+        out = out.withColumn(total_col, F.lit(total).cast("long"))
+    return out.drop("_key", "_bucket", "_rn", "_ob", "_off")
 
 
 def hash_positions(df: DataFrame, keys, hash_col: str, tie_cols, *, pos_col: str = "pos",

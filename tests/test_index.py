@@ -8,10 +8,10 @@ from feedlens.functions.hashing import seeded_hash
 from feedlens.operators import index as ix
 
 
-@pytest.mark.parametrize("parts", [1, 3, 17])
-def test_ordered_index_equals_row_number(spark, parts):
+@pytest.mark.parametrize("parts,per_bucket", [(1, 10_000), (3, 300), (17, 7)])
+def test_ordered_index_equals_row_number(spark, parts, per_bucket):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(parts)
-    got = ix.ordered_index(df, ["k"], total_col="n", num_partitions=parts + 2)
+    got = ix.ordered_index(df, ["k"], total_col="n", rows_per_bucket=per_bucket)
     ref = df.select("k", (F.row_number().over(Window.orderBy("k")) - 1).alias("r"))
     j = got.join(ref, "k")
     assert j.filter("idx <> r").count() == 0 and j.count() == 5000
@@ -52,3 +52,12 @@ def test_sample_exact(spark):
     a = ix.sample_exact(df, 37, ["id"]).collect()
     b = ix.sample_exact(df.repartition(5), 37, ["id"]).collect()
     assert len(a) == 37 and sorted(a) == sorted(b)
+
+
+def test_ordered_index_composite_with_nulls(spark):
+    rows = [(q, d, i) for i, (q, d) in enumerate([(1, "b"), (None, "a"), (1, None), (2, "a"), (1, "a"), (None, None)] * 50)]
+    df = spark.createDataFrame(rows, "q LONG, d STRING, i LONG")
+    got = ix.ordered_index(df, ["q", "d", "i"], rows_per_bucket=20)
+    w = Window.orderBy(F.col("q").asc_nulls_last(), F.col("d").asc_nulls_last(), "i")
+    ref = df.select("i", (F.row_number().over(w) - 1).alias("r"))
+    assert got.join(ref, "i").filter("idx <> r").count() == 0

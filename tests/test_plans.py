@@ -25,10 +25,10 @@ def test_seeded_order_has_no_single_partition_on_big_side(spark):
     assert "BroadcastExchange" in p or "BroadcastHashJoin" in p
 
 
-def test_ordered_index_uses_range_partitioning(spark):
-    p = _optimized(ix.ordered_index(spark.range(0, 1000), ["id"]))
-    assert "rangepartitioning" in p
-    assert p.count("SinglePartition") <= 1          # only the per-partition offsets
+def test_ordered_index_buckets_by_bounds(spark):
+    p = _optimized(ix.ordered_index(spark.range(0, 1000), ["id"], rows_per_bucket=100))
+    assert "hashpartitioning(_bucket" in p
+    assert p.count("SinglePartition") <= 1          # only the per-bucket offsets
 
 
 def test_topk_uses_window_group_limit(spark):
