@@ -166,7 +166,8 @@ def clean_whitespace(spark, sf):
     return d.select("doc_id", tx.clean_whitespace("text").alias("cleaned"))
 
 
-_GEN_OUT = ("concat(text, CASE WHEN role = 'assistant' THEN concat(chr(10), 'Feedback:  ', substr(text, 1, 60), "
+# generation output: the turn's text, and for assistant turns a last line carrying the whole text again
+_GEN_OUT = ("concat(text, CASE WHEN role = 'assistant' THEN concat(chr(10), 'Feedback:  ', replace(text, chr(10), ' '), "
             "CASE WHEN turn % 2 = 1 THEN chr(10) ELSE ' ' END) ELSE '' END)")
 _FB_RE = "Feedback: ([^\\n]*)\\n?\\z"
 

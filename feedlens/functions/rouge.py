@@ -52,27 +52,20 @@ def rouge_l(pred, ref) -> tuple[Column, Column, Column]:
     return p, r, f
 
 
-# ---- DuckDB counterpart: LCS by a recursive CTE, one DP row per token of the prediction ----
+# ---- SQL counterpart for checks: tokens in SQL, LCS by a named scalar function ----
+# A SQL dynamic programme is cubic in the text length, far too slow on whole texts. The checks
+# (tests, scripts/oracle_check.py) register ``lcs_fn`` in DuckDB as an independent quadratic DP.
 
 def sql_tokens(e: str) -> str:
     return (f"list_filter(string_split(trim(regexp_replace(lower({e}), '[^a-z0-9]+', ' ', 'g')), ' '), "
             f"lambda t: t <> '')")
 
 
-def sql_rouge_ctes(src: str, id_col: str, pred: str, ref: str) -> str:
-    """CTEs ``rg_tok``, ``rg_dp`` and ``rouge`` (id, rouge_p, rouge_r, rouge_f) over relation ``src``."""
+def sql_rouge_ctes(src: str, id_col: str, pred: str, ref: str, lcs_fn: str = "lcs_dp") -> str:
+    """CTEs ``rg_tok``, ``rg_dp``, ``rouge`` and ``rouge_f`` (rid, rouge_p, rouge_r, rouge_f) over ``src``."""
     return f"""
 rg_tok AS (SELECT {id_col} AS rid, {sql_tokens(pred)} AS ta, {sql_tokens(ref)} AS tb FROM {src}),
-rg_dp AS (
-  WITH RECURSIVE dp(rid, i, r) AS (
-    SELECT rid, 0, list_transform(range(len(tb) + 1), lambda x: 0) FROM rg_tok
-    UNION ALL
-    SELECT d.rid, d.i + 1,
-      list_concat([0], list_transform(range(1, len(t.tb) + 1), lambda k:
-        list_max(list_transform(range(1, k + 1), lambda j:
-          CASE WHEN t.ta[d.i + 1] = t.tb[j] THEN d.r[j] + 1 ELSE d.r[j + 1] END))))
-    FROM dp d JOIN rg_tok t ON d.rid = t.rid WHERE d.i < len(t.ta))
-  SELECT dp.rid, dp.r[len(dp.r)] AS lcs FROM dp JOIN rg_tok t ON dp.rid = t.rid WHERE dp.i = len(t.ta)),
+rg_dp AS (SELECT rid, {lcs_fn}(ta, tb) AS lcs FROM rg_tok),
 rouge AS (
   SELECT t.rid, CASE WHEN len(t.ta) = 0 THEN 0.0 ELSE d.lcs / len(t.ta) END AS rouge_p,
     CASE WHEN len(t.tb) = 0 THEN 0.0 ELSE d.lcs / len(t.tb) END AS rouge_r

@@ -46,7 +46,7 @@ FROM orders JOIN l ON o_orderkey = l_orderkey JOIN part ON pk = p_partkey GROUP
 _V_ANNOTATED_A = """
 SELECT d.doc_id AS row_id, CAST(floor(d.doc_id / 12) AS BIGINT) AS qid,
   concat('Question ', CAST(floor(d.doc_id / 12) AS BIGINT)) AS question, concat('c', CAST(floor(d.doc_id / 12) AS BIGINT)) AS correct_answer,
-  source AS explanation, concat('d', CAST(floor(d.doc_id / 4) AS BIGINT) % 3) AS distractor, substr(text, 1, 200) AS feedback,
+  source AS explanation, concat('d', CAST(floor(d.doc_id / 4) AS BIGINT) % 3) AS distractor, text AS feedback,
   CASE d.doc_id % 4 WHEN 0 THEN 'gold' WHEN 1 THEN 'random' WHEN 2 THEN 'knn' ELSE 'zs' END AS method,
   CAST(1 - coalesce(quality, CASE WHEN substr(md5(concat('q:', d.doc_id)), 1, 1) < 'c' THEN 1 ELSE 0 END) AS DOUBLE) AS incorrect,
   CAST(coalesce(toxic, CASE WHEN substr(md5(concat('t:', d.doc_id)), 1, 1) < '2' THEN 1 ELSE 0 END) AS DOUBLE) AS reveal,
