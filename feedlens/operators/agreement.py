@@ -42,6 +42,17 @@ def external_labels(df: DataFrame, labels) -> DataFrame:
     return df
 
 
+def key_digest(keys) -> Column:
+    """SHA-256 of a NULL-aware, length-prefixed encoding of ``keys``: equal digests iff equal keys
+    (up to SHA-256 collisions). Lets long text keys be grouped, sorted and joined as 64 hex chars."""
+    parts = []
+    for k in keys:
+        v = F.col(k).cast("string")
+        parts.append(F.when(v.isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.length(v).cast("string"),
+                                                                         F.lit(":"), v)))
+    return F.sha2(F.concat(*parts), 256)
+
+
 def pair_annotations(a: DataFrame, b: DataFrame, labels, *, keys=PAIR_KEYS, require: str = "reveal",
                      item_cols=ITEM_COLS, seed=SEED) -> DataFrame:
     """Rows labelled by both annotators, matched on ``keys`` (NULL-safe).
@@ -49,21 +60,23 @@ def pair_annotations(a: DataFrame, b: DataFrame, labels, *, keys=PAIR_KEYS, requ
     Duplicate keys are paired one-to-one by occurrence number (order: seeded hash of
     ``row_id``); leftovers are dropped. Labels come out as ``<label>_a`` / ``<label>_b``.
     The occurrence numbering splits a hot key over many tasks (see ``hash_positions``).
+    Keys are compared through ``key_digest``, so the second table is shuffled without its
+    text columns and no exchange hashes or sorts whole texts.
     """
     keys = list(keys)
 
     def number(df):
-        df = labelled(df, require).withColumn("_h", seeded_hash(seed, F.lit("occ"), "row_id"))
-        return hash_positions(df, keys, "_h", ["row_id"], pos_col="_occ", size_col=None).drop("_h")
+        df = (labelled(df, require).withColumn("_kh", key_digest(keys))
+              .withColumn("_h", seeded_hash(seed, F.lit("occ"), "row_id")))
+        return hash_positions(df, ["_kh"], "_h", ["row_id"], pos_col="_occ", size_col=None).drop("_h")
 
     na = number(a.select(*item_cols, *labels))
     nb = number(b.select("row_id", *keys, *labels))
-    na = na.select(*item_cols, "_occ", *[F.col(l).alias(f"{l}_a") for l in labels])
-    nb = nb.select(F.col("row_id").alias("row_id_b"), *[F.col(k).alias(f"_b_{k}") for k in keys], "_occ",
-                   *[F.col(l).alias(f"{l}_b") for l in labels]).withColumnRenamed("_occ", "_b_occ")
-    cond = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys] + [F.col("_occ") == F.col("_b_occ")]
-    out = na.join(nb, cond, "inner")
-    return out.drop("_occ", "_b_occ", *[f"_b_{k}" for k in keys])
+    na = na.select(*item_cols, "_kh", "_occ", *[F.col(l).alias(f"{l}_a") for l in labels])
+    nb = nb.select(F.col("row_id").alias("row_id_b"), F.col("_kh").alias("_b_kh"), F.col("_occ").alias("_b_occ"),
+                   *[F.col(l).alias(f"{l}_b") for l in labels])
+    out = na.join(nb, (F.col("_kh") == F.col("_b_kh")) & (F.col("_occ") == F.col("_b_occ")), "inner")
+    return out.drop("_kh", "_occ", "_b_kh", "_b_occ")
 
 
 def flip_pair(df: DataFrame, rubric: Rubric = BINARY) -> DataFrame:

@@ -99,32 +99,41 @@ def hash_positions(df: DataFrame, keys, hash_col: str, tie_cols, *, pos_col: str
     keys = list(keys)
     tie = list(tie_cols)
     b = df.withColumn("_bucket", F.substring(F.col(hash_col), 1, digits))
-    within = Window.partitionBy(*keys, "_bucket").orderBy(hash_col, *tie)
+    # NULL-safe group keys as plain columns (value with a default, NULL flag), so the window,
+    # the count and the offset join all hash-partition on the same expressions: the big side is
+    # shuffled once and the join reuses that partitioning.
+    gk = []
+    for k in keys:
+        if df.schema[k].nullable:
+            dt = df.schema[k].dataType
+            default = F.lit(_DEFAULTS.get(dt.simpleString(), 0)).cast(dt)
+            b = b.withColumn(f"_gv_{k}", F.coalesce(F.col(k), default)).withColumn(f"_gn_{k}", F.col(k).isNull())
+            gk += [f"_gv_{k}", f"_gn_{k}"]
+        else:
+            gk.append(k)
+    within = Window.partitionBy(*gk, "_bucket").orderBy(hash_col, *tie)
     b = b.withColumn("_rn", F.row_number().over(within) - 1)
-    counts = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        every = Window.partitionBy(*keys)
+    counts = b.groupBy(*gk, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    if gk:
+        before = Window.partitionBy(*gk).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        every = Window.partitionBy(*gk)
     else:
         before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         every = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = counts.select(
-        *keys, "_bucket",
+        *[F.col(g).alias(f"_o{g}") for g in gk], F.col("_bucket").alias("_o_bucket"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.sum("_n").over(every).alias("_size"),
     )
-    # NULL-safe on the group keys: a NULL key is one group, as in the window above
-    offsets = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bucket").alias("_o_bucket"),
-                             "_off", "_size")
-    if not keys:
+    if not gk:
         # at most 16**digits rows: a proven bound for the broadcast
         offsets = F.broadcast(offsets)
-    cond = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col("_bucket") == F.col("_o_bucket")]
-    out = b.join(offsets, cond).drop(*[f"_o_{k}" for k in keys], "_o_bucket")
+    cond = [F.col(g) == F.col(f"_o{g}") for g in gk] + [F.col("_bucket") == F.col("_o_bucket")]
+    out = b.join(offsets, cond).drop(*[f"_o{g}" for g in gk], "_o_bucket")
     out = out.withColumn(pos_col, F.col("_off") + F.col("_rn"))
     if size_col:
         out = out.withColumn(size_col, F.col("_size"))
-    return out.drop("_bucket", "_rn", "_off", "_size")
+    return out.drop("_bucket", "_rn", "_off", "_size", *[g for g in gk if g not in keys])
 
 
 def seeded_order(df: DataFrame, key_cols, *, seed=SEED, salt: str = "shuffle", index_col: str = "idx",
