@@ -24,6 +24,17 @@ def seeded_hash(seed, *parts) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_str(p) for p in parts]))
 
 
+def key_digest(keys) -> Column:
+    """SHA-256 of a NULL-aware, length-prefixed encoding of ``keys``: equal digests iff equal keys
+    (up to SHA-256 collisions). Lets long text keys be grouped, sorted and joined as 64 hex chars."""
+    parts = []
+    for k in keys:
+        v = (F.col(k) if isinstance(k, str) else k).cast("string")
+        parts.append(F.when(v.isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.length(v).cast("string"),
+                                                                         F.lit(":"), v)))
+    return F.sha2(F.concat(*parts), 256)
+
+
 def hash_bits(hexcol: Column, start: int = 1, digits: int = 8) -> Column:
     """Unsigned integer of ``digits`` hex digits of an md5 string, starting at 1-based ``start``."""
     return F.conv(F.substring(hexcol, start, digits), 16, 10).cast("bigint")

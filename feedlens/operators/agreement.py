@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.functions.hashing import seeded_hash
+from feedlens.functions.hashing import key_digest, seeded_hash
 from feedlens.operators.index import hash_positions
 from feedlens.rubric import BINARY, SEED, Rubric
 
@@ -42,17 +42,6 @@ def external_labels(df: DataFrame, labels) -> DataFrame:
     return df
 
 
-def key_digest(keys) -> Column:
-    """SHA-256 of a NULL-aware, length-prefixed encoding of ``keys``: equal digests iff equal keys
-    (up to SHA-256 collisions). Lets long text keys be grouped, sorted and joined as 64 hex chars."""
-    parts = []
-    for k in keys:
-        v = F.col(k).cast("string")
-        parts.append(F.when(v.isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.length(v).cast("string"),
-                                                                         F.lit(":"), v)))
-    return F.sha2(F.concat(*parts), 256)
-
-
 def pair_annotations(a: DataFrame, b: DataFrame, labels, *, keys=PAIR_KEYS, require: str = "reveal",
                      item_cols=ITEM_COLS, seed=SEED) -> DataFrame:
     """Rows labelled by both annotators, matched on ``keys`` (NULL-safe).
