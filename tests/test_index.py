@@ -61,3 +61,25 @@ def test_ordered_index_composite_with_nulls(spark):
     w = Window.orderBy(F.col("q").asc_nulls_last(), F.col("d").asc_nulls_last(), "i")
     ref = df.select("i", (F.row_number().over(w) - 1).alias("r"))
     assert got.join(ref, "i").filter("idx <> r").count() == 0
+
+
+def test_hash_positions_null_group_apart_from_default_value(spark):
+    # NULL keys form one group, distinct from the key equal to the NULL stand-in (0 / '')
+    rows = [(i, None if i % 3 == 0 else (0 if i % 3 == 1 else 5), None if i % 4 == 0 else ("" if i % 4 == 1 else "x"))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "id LONG, g LONG, s STRING").withColumn("h", seeded_hash(3, "id"))
+    got = ix.hash_positions(df, ["g", "s"], "h", ["id"], digits=2)
+    assert got.columns == df.columns + ["pos", "group_size"]
+    w = Window.partitionBy("g", "s").orderBy("h", "id")
+    ref = df.select("id", (F.row_number().over(w) - 1).alias("p"),
+                    F.count("*").over(Window.partitionBy("g", "s")).alias("n"))
+    j = got.join(ref, "id")
+    assert j.count() == 600 and j.filter("pos <> p OR group_size <> n").count() == 0
+
+
+def test_key_digest_separates_null_empty_and_shifted_parts(spark):
+    from feedlens.functions.hashing import key_digest
+    rows = [(None, "ab"), ("", "ab"), ("a", "b"), ("ab", ""), ("ab", None), ("null", "ab"), ("a", "b")]
+    df = spark.createDataFrame(rows, "x STRING, y STRING")
+    d = [r.d for r in df.select(key_digest(["x", "y"]).alias("d")).collect()]
+    assert len(set(d[:6])) == 6 and d[2] == d[6]
