@@ -227,7 +227,8 @@ def show_diffs(spark, sf):
        "(ORDER BY qid ASC NULLS LAST, distractor ASC NULLS LAST, row_id) - 1 AS pos FROM pairs")
 def sorted_annotations(spark, sf):
     p = pairs(spark, sf).select("row_id", "qid", "distractor")
-    return ordered_index(p, ["qid", "distractor", "row_id"], index_col="pos")  # ascending, NULLs last
+    # ascending, NULLs last; the pairing joins are computed once, not once per pass
+    return ordered_index(p, ["qid", "distractor", "row_id"], index_col="pos", materialize=True)
 
 
 @query("annotator_select", AB, "WITH t AS (SELECT 'a' AS annotator, 'bin' AS rubric, row_id, " + ", ".join(LAB)

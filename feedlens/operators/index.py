@@ -44,7 +44,7 @@ def _sort_struct(df: DataFrame, order_by) -> tuple[Column, list]:
 
 def ordered_index(df: DataFrame, order_by, *, index_col: str = "idx", total_col: str | None = None,
                   rows_per_bucket: int = 1_000_000, max_buckets: int = 65_536, sample_per_bucket: int = 20,
-                  seed: int = SEED) -> DataFrame:
+                  seed: int = SEED, materialize: bool = False) -> DataFrame:
     """0-based position of each row in the order ``order_by`` (columns, ascending; make it unique).
 
     Equals ``row_number() OVER (ORDER BY order_by) - 1`` without a single-partition window:
@@ -53,9 +53,16 @@ def ordered_index(df: DataFrame, order_by, *, index_col: str = "idx", total_col:
     Each row's bucket is a binary search over those constant bounds, a pure function of the row,
     so every branch and every re-run of a task agrees on it. Rows are numbered by a window per
     bucket; bucket offsets come from a table with one row per bucket (broadcast, bounded).
+
+    The input is read three times (count, sample, numbering). When it is expensive to compute
+    (joins, aggregates), ``materialize=True`` writes it once under the shared checkpoint folder
+    and runs the three passes over that table.
     """
     key, _ = _sort_struct(df, order_by)
     keyed = df.withColumn("_key", key)
+    if materialize:
+        from feedlens.sources.files import materialize as write_once
+        keyed = write_once(keyed, "ordered-index")
     total = keyed.count()
     n_b = int(min(max_buckets, max(1, -(-total // rows_per_bucket))))
     bounds = []
