@@ -82,7 +82,11 @@ def ordered_index(df: DataFrame, order_by, *, index_col: str = "idx", total_col:
                              lambda acc, st: F.when((acc + st <= nb) & (F.element_at(lit_bounds, acc + st) < F.col("_key")),
                                                     acc + st).otherwise(acc))
     else:
-        bucket = F.lit(0)
+        # one bucket (at most ``rows_per_bucket`` rows): the position is the row number itself
+        out = keyed.withColumn(index_col, (F.row_number().over(Window.orderBy("_key")) - 1).cast("long"))
+        if total_col:
+            out = out.withColumn(total_col, F.lit(total).cast("long"))
+        return out.drop("_key")
     b = keyed.withColumn("_bucket", bucket)
     within = Window.partitionBy("_bucket").orderBy("_key")
     b = b.withColumn("_rn", F.row_number().over(within) - 1)
