@@ -168,11 +168,24 @@ def split_by_share(df: DataFrame, key_cols, shares=(("train", 0.6), ("val", 0.8)
     return ordered.withColumn(split_col, expr).drop("_n").withColumnRenamed("_idx", "split_idx")
 
 
-def sample_exact(df: DataFrame, n: int, key_cols, *, seed=SEED) -> DataFrame:
-    """Exactly ``n`` rows without replacement: the ``n`` smallest seeded hashes (TakeOrderedAndProject)."""
+def sample_exact(df: DataFrame, n: int, key_cols, *, seed=SEED, digits: int = 5) -> DataFrame:
+    """Exactly ``n`` rows without replacement: the ``n`` smallest seeded hashes (all rows if fewer).
+
+    A plain ``orderBy(hash).limit(n)`` sends the local top ``n`` of every input partition to one
+    task (``partitions x n`` rows). Instead, rows are counted per hash prefix (``16**digits``
+    prefixes, map-side partial counts); the smallest prefix whose running count reaches ``n`` is a
+    scalar subquery, and only rows at or below it (about ``n + rows / 16**digits``) reach the final
+    TakeOrderedAndProject. Every row of the exact answer is among them.
+    """
     keys = list(key_cols)
-    return (df.withColumn("_h", seeded_hash(seed, F.lit("sample"), *keys))
-            .orderBy("_h", *keys).limit(n).drop("_h"))
+    h = (df.withColumn("_h", seeded_hash(seed, F.lit("sample"), *keys))
+         .withColumn("_sb", F.substring(F.col("_h"), 1, digits)))
+    counts = h.groupBy("_sb").agg(F.count(F.lit(1)).alias("_c"))  # at most 16**digits rows
+    running = counts.withColumn("_cum", F.sum("_c").over(
+        Window.orderBy("_sb").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cut = running.filter(F.col("_cum") >= F.lit(n)).agg(F.min("_sb")).scalar()  # NULL: fewer than n rows
+    keep = h.filter(cut.isNull() | (F.col("_sb") <= cut))
+    return keep.orderBy("_h", *keys).limit(n).drop("_h", "_sb")
 
 
 def batch_ids(df: DataFrame, batch_size: int, order_by, *, batch_col: str = "batch_id") -> DataFrame:

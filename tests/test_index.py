@@ -83,3 +83,12 @@ def test_key_digest_separates_null_empty_and_shifted_parts(spark):
     df = spark.createDataFrame(rows, "x STRING, y STRING")
     d = [r.d for r in df.select(key_digest(["x", "y"]).alias("d")).collect()]
     assert len(set(d[:6])) == 6 and d[2] == d[6]
+
+
+@pytest.mark.parametrize("n,digits", [(1, 1), (37, 1), (37, 2), (500, 1), (600, 3), (0, 2)])
+def test_sample_exact_equals_smallest_hashes(spark, n, digits):
+    df = spark.range(0, 500).repartition(4)
+    got = sorted(r.id for r in ix.sample_exact(df, n, ["id"], digits=digits).collect())
+    hashes = df.select("id", seeded_hash(221, F.lit("sample"), "id").alias("h")).collect()
+    want = sorted(r.id for r in sorted(hashes, key=lambda r: (r.h, r.id))[:n])
+    assert got == want
