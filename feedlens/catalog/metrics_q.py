@@ -282,9 +282,8 @@ SELECT t.row_id, {pr.sql_lit(pr.instruction(False) + chr(10) + chr(10))} || coal
 @query("fewshot_random", ("v_mcq",), _FEWSHOT_RANDOM)
 def fewshot_random(spark, sf):
     ex = expanded_table(spark, sf)
-    pool = fs.with_pool_positions(ex.filter(F.col("split") == "train"))
-    picks = fs.random_picks(ex, pool, K, mask_self=F.col("split") == "train")
-    texts = pool.select(F.col("pool_pos"), fs.example_texts(pool).alias("text"))
+    pos, texts, n = fs.pool_texts(ex.filter(F.col("split") == "train"))
+    picks = fs.random_picks(ex, pos, K, mask_self=F.col("split") == "train", pool_size=n)
     examples = picks.join(texts, "pool_pos").select("row_id", "rank", "text")
     return fs.assemble(ex, examples)
 
