@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlens.catalog.build_q import SQL_EXPANDED_SPLITS, SQL_CA, SQL_EL, SQL_OK, _sql_expand, expanded_splits
-from feedlens.catalog.registry import query, r6, sr6
+from feedlens.catalog.registry import DIGITS, query, r6, sr6
 from feedlens.functions import prompts as pr
 from feedlens.functions.parse import parse_binary, sql_parse_binary_ctes
 from feedlens.functions.text import SQL_WHITESPACE
@@ -141,12 +141,22 @@ def annotate(spark, sf):
     return p.select("row_id", *[F.col("p.labels")[i].alias(l) for i, l in enumerate(LAB)])
 
 
-@query("encode_stub")
+# The stand-in encoder in SQL: md5-hashed lower-case words counted in 64 slots, over the vector length.
+@query("encode_stub", ("v_expanded",), f"""WITH t AS (SELECT row_id, {pr.sql_prompt_input(False)} AS txt FROM v_expanded),
+w AS (SELECT row_id, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS w FROM t),
+c AS (SELECT row_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 64 AS slot, CAST(count(*) AS DOUBLE) AS n
+      FROM w GROUP BY row_id, slot),
+m AS (SELECT row_id, map(list(slot), list(n)) AS mp, sqrt(sum(n * n)) AS len FROM c GROUP BY row_id)
+SELECT t.row_id, CASE WHEN m.row_id IS NULL THEN list_transform(range(64), lambda i: CAST(0.0 AS DOUBLE))
+  ELSE list_transform(range(64), lambda i: round(coalesce(m.mp[i], 0.0) / m.len, {DIGITS})) END AS vec
+FROM t LEFT JOIN m ON t.row_id = m.row_id""")
 def encode_stub(spark, sf):
-    """Unit vectors of prompt inputs from the plugged-in encoder (stub: hashed bag of words)."""
+    """Unit vectors of prompt inputs from the plugged-in encoder (stub: hashed bag of words);
+    components reported to ``DIGITS`` places like every other double."""
     from feedlens.functions.encode import encoder_udf, hashed_bow
     e = view(spark, sf, "v_expanded")
-    return e.select("row_id", encoder_udf(hashed_bow, 64)(pr.prompt_input(False)).alias("vec"))
+    vec = encoder_udf(hashed_bow, 64)(pr.prompt_input(False))
+    return e.select("row_id", F.transform(vec, lambda x: F.round(x, DIGITS)).alias("vec"))
 
 
 # ---- evaluation inputs ------------------------------------------------------------------------------
