@@ -51,8 +51,10 @@ def lcs_counts(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
         if x is None or y is None:
             lcs.append(None), n_p.append(None), n_r.append(None)
             continue
-        tp, tr = tokens(x), tokens(y)
-        lcs.append(lcs_length(tp, tr)), n_p.append(len(tp)), n_r.append(len(tr))
+        tp = tokens(x)
+        tr = tp if y == x else tokens(y)
+        # a text against itself (e.g. the reference row of its own item): the LCS is the whole text
+        lcs.append(len(tp) if tr is tp else lcs_length(tp, tr)), n_p.append(len(tp)), n_r.append(len(tr))
     return pd.DataFrame({"lcs": lcs, "n_pred": n_p, "n_ref": n_r}, dtype="Int64")
 
 
