@@ -105,7 +105,9 @@ rep AS (
 
 @query("classifier_report", LOG, _REPORT + f" SELECT grp AS method, metric, {sr6('value')} AS value FROM rep")
 def classifier_report(spark, sf):
-    rep = mt.classifier_report(_ens(spark, sf), LAB)
+    # the ensemble table feeds five branches of the report: write it once, scan it five times
+    from feedlens.sources.files import materialize
+    rep = mt.classifier_report(materialize(_ens(spark, sf), "ensemble"), LAB)
     return rep.select("method", "metric", r6("value").alias("value"))
 
 
