@@ -51,3 +51,10 @@ def test_partition_pruning_on_split(spark):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan and "= val)" in plan
     assert q.count() == 66
+
+
+def test_sample_exact_filters_before_top_n(spark):
+    # only rows at or below the hash-prefix cut (a scalar subquery) reach the final top-n
+    plan = _optimized(ix.sample_exact(spark.range(0, 5000), 10, ["id"]))
+    top = plan[plan.index("TakeOrderedAndProject"):]
+    assert "Subquery" in top and "Filter" in top and "_sb" in top
