@@ -58,3 +58,14 @@ def test_sample_exact_filters_before_top_n(spark):
     plan = _optimized(ix.sample_exact(spark.range(0, 5000), 10, ["id"]))
     top = plan[plan.index("TakeOrderedAndProject"):]
     assert "Subquery" in top and "Filter" in top and "_sb" in top
+
+
+def test_pairing_never_shuffles_on_text(spark):
+    from feedlens.operators.agreement import pair_annotations
+    rows = [(i, i // 3, "d", "long text " * 50 + str(i % 7), 1.0) for i in range(60)]
+    a = spark.createDataFrame(rows, "row_id LONG, qid LONG, distractor STRING, feedback STRING, reveal DOUBLE")
+    out = pair_annotations(a, a, ["reveal"], item_cols=("row_id", "qid", "distractor", "feedback"))
+    plan = _optimized(out)
+    parts = [line for line in plan.split("\n") if "hashpartitioning(" in line]
+    assert parts and not any("feedback" in line for line in parts)
+    assert out.count() == 60
