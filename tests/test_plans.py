@@ -69,3 +69,19 @@ def test_pairing_never_shuffles_on_text(spark):
     parts = [line for line in plan.split("\n") if "hashpartitioning(" in line]
     assert parts and not any("feedback" in line for line in parts)
     assert out.count() == 60
+
+
+def test_cache_lookup_joins_on_digest(spark):
+    from feedlens.sources import cache as cc
+    k = dict(model="m", max_tokens=10, system_message=None)
+    prompts = cc.with_key(spark.createDataFrame([(i, "p" * 300 + str(i)) for i in range(50)], "row_id LONG, prompt STRING"), **k)
+    stored = cc.with_key(spark.createDataFrame([("p" * 300 + "1", "r1")], "prompt STRING, response STRING"), **k)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the shuffle join a large cache gets
+    try:
+        out = cc.lookup(prompts, stored)
+        parts = [line for line in _optimized(out).split("\n") if "hashpartitioning(" in line]
+        # both sides hash the digest (the cache side under its join alias), never the prompt
+        assert parts and all(("key_hash" in line or "_c_h" in line) and "prompt" not in line for line in parts)
+        assert {r.row_id for r in out.filter("response IS NOT NULL").collect()} == {1}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
