@@ -85,3 +85,12 @@ def test_cache_lookup_joins_on_digest(spark):
         assert {r.row_id for r in out.filter("response IS NOT NULL").collect()} == {1}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_roc_auc_running_counts_inside_buckets(spark):
+    from feedlens.operators.metrics import roc_auc
+    rows = [(g, 0, float(i % 97), float(i % 2)) for g in ("a", "b") for i in range(400)]
+    long = spark.createDataFrame(rows, "grp STRING, label INT, x DOUBLE, y DOUBLE")
+    plan = _optimized(roc_auc(long))
+    running = [line for line in plan.split("\n") if "Window [" in line and "x#" in line.split("Window [", 1)[1]]
+    assert running and all("_bk" in line for line in running)  # never one window over a whole label
