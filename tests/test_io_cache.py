@@ -1,9 +1,5 @@
 """CSV hand-off (csv_edge), response cache, generation and the incremental stream."""
 
-import os
-import tempfile
-
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlens.session import shared_dir

@@ -1,6 +1,5 @@
 """Mismatch pairing (group_sizes, permute_small) and score pairs (score_pairs)."""
 
-from pyspark.sql import functions as F
 
 from feedlens.operators import pairs as pa
 from feedlens.plans import training as tr

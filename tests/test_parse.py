@@ -1,6 +1,5 @@
 """Reply parsers on the hand-made replies of FIXTURES §3 (reply_edge, likert_edge)."""
 
-from pyspark.sql import functions as F
 
 from feedlens.functions.parse import parse_binary, parse_likert
 
