@@ -92,3 +92,13 @@ def test_sample_exact_equals_smallest_hashes(spark, n, digits):
     hashes = df.select("id", seeded_hash(221, F.lit("sample"), "id").alias("h")).collect()
     want = sorted(r.id for r in sorted(hashes, key=lambda r: (r.h, r.id))[:n])
     assert got == want
+
+
+@pytest.mark.parametrize("per_bucket", [10_000, 150])
+def test_ordered_index_write_once_equals_row_number(spark, per_bucket):
+    df = spark.range(0, 2000).select((F.col("id") * 7919 % 2003).alias("k"), F.lit("x").alias("t"))
+    got = ix.ordered_index(df, ["k"], rows_per_bucket=per_bucket, materialize=True)
+    assert got.columns == ["k", "t", "idx"]
+    ref = df.select("k", (F.row_number().over(Window.orderBy("k")) - 1).alias("r"))
+    j = got.join(ref, "k")
+    assert j.count() == 2000 and j.filter("idx <> r").count() == 0
