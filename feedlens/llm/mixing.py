@@ -40,8 +40,9 @@ BUCKETS = 64
 
 def fit_budget(lengths: np.ndarray, free: np.ndarray, budget: int, table: int = 1 << 17) -> np.ndarray:
     """How many documents of each length to take so that their sum comes closest to ``budget``
-    from below: the longest first while more than ``table`` words are missing, then a bounded
-    knapsack over every sum up to ``table``."""
+    (of two equally close sums the smaller): the longest first while more than ``table`` words
+    are missing, then a bounded knapsack over every sum up to the missing words plus the longest
+    length, beyond which no better sum can lie."""
     take = np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
     for reserve in (table // 2, 0):  # then without a reserve, where single documents exceed it
@@ -53,19 +54,20 @@ def fit_budget(lengths: np.ndarray, free: np.ndarray, budget: int, table: int =
                 take[i] += n
                 budget -= n * int(lengths[i])
     budget = min(budget, table)
-    reach = np.zeros(budget + 1, bool)
+    most = budget + min(budget, int(lengths.max(initial=0)))
+    reach = np.zeros(most + 1, bool)
     reach[0] = True
-    by = np.full(budget + 1, -1, np.int64)
+    by = np.full(most + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
     for i in order:
         length, left = int(lengths[i]), int(free[i] - take[i])
-        left = min(left, budget // length)
+        left = min(left, most // length)
         copies = 1
         while left > 0 and not reach[budget]:  # 1, 2, 4, ... copies make every count up to left
             n = min(copies, left)
             weight = n * length
-            new = np.zeros(budget + 1, bool)
-            new[weight:] = reach[:budget + 1 - weight]
+            new = np.zeros(most + 1, bool)
+            new[weight:] = reach[:most + 1 - weight]
             new &= ~reach
             by[new] = len(items)
             items.append((int(i), n))
@@ -74,7 +76,8 @@ def fit_budget(lengths: np.ndarray, free: np.ndarray, budget: int, table: int =
             copies *= 2
         if reach[budget]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, n = items[by[at]]
         take[i] += n
