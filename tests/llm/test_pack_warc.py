@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ from tests.conftest import SF
 
 @pytest.fixture(scope="module")
 def encoder():
-    return packing.Encoder(tokenizer_path(), cache_units=50)
+    return packing.Encoder(tokenizer_path())
 
 
 @pytest.fixture(scope="module")
@@ -28,11 +29,11 @@ def tokenizer():
     return t
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(alphabet="ab's ,.\n\t 　\x1cé1 2<|>", max_size=25), max_size=4))
 def test_encoder_equals_the_tokenizer(encoder, tokenizer, ts):
-    ts = [*ts, "x <|endoftext|> y", "a\x00 b", "  two  spaces \n next"]
-    assert encoder(ts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(ts, add_special_tokens=False)]
+    ts = [*ts, "x <|endoftext|> y", "a\x00 b", "  two  spaces \n next", "a,b. C.D, é, ñ. ª², ß,,\nThe end.", "\n", "one\n", "I'll we've 12x", "x" * 500, "é" * 300, "\t\r\n \x0b"]
+    assert encoder(pa.array(ts, pa.string())) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(ts, add_special_tokens=False)]
 
 
 def check_pack(rows, ids_of, capacity):
