@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,10 +38,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
     The checkpoint directory is read from the session (``spark.checkpoint.dir`` or the
-    SparkContext setting). Only when it is unset, as in local tests, one is created
-    under the system temp folder.
+    SparkContext setting). On a local master, as in tests, one is created under the system temp
+    folder when it is unset; on a cluster that would be a different folder on every machine, so
+    there an unset directory is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="feedlens-ckpt-")
         spark.sparkContext.setCheckpointDir(root)

@@ -44,8 +44,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, na_columns
     return df
 
 
-def write_table(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite", compression: str | None = None) -> None:
     w = df.write.mode(mode)
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -74,16 +76,17 @@ def records(df: DataFrame, cols, name: str = "meta_data") -> DataFrame:
     return df.withColumn(name, F.struct(*[F.col(c) for c in cols]))
 
 
-def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by=(), compression: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and scan it back.
 
     Cuts the lineage of an intermediate that several branches of a job read (each branch then
     prunes columns and partitions at the scan instead of recomputing the whole chain), and
     survives executor loss: the data lives in the shared folder, not on executors.
+    ``compression`` names a Parquet codec (for tables of whole texts, where disk counts).
     """
     from feedlens.session import shared_dir
 
     spark = df.sparkSession
     path = shared_dir(spark, name) + "/data"
-    write_table(df, path, partition_by)
+    write_table(df, path, partition_by, compression=compression)
     return read_table(spark, path)
