@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat this id keep one row; rows without an id are kept unless their component
     holds an id, and one of several such rows of a component is kept.
     """
-    slim = materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "dedup-docs")
+    slim = materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "dedup-docs", compression="zstd")
     rows = simhash.simhash_components(slim.select("row", F.col("doc.text").alias("text")), "row", "text")
     member = rows.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
     first = (member.join(slim.select("row", F.col("doc.doc_id").alias("doc_id")), "row").groupBy("component")

@@ -185,7 +185,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     columns, finds its row again; only rows that are taken are read back into the join.
     """
     kept = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-                       .withColumn("row", F.monotonically_increasing_id()), "mix-docs")
+                       .withColumn("row", F.monotonically_increasing_id()), "mix-docs", compression="zstd")
     doc = lambda c: F.col("doc").getField(c)
     slim = materialize(kept.select("row", doc(source_col).cast("string").alias("source"), F.xxhash64(doc(id_col), doc(text_col)).alias("text_hash"),
                                    doc(text_col).alias("_text"))

@@ -287,7 +287,7 @@ def archive_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
         pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("target_uri"),
                      F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
         .select("*", F.monotonically_increasing_id().alias("row"), F.sha1("payload").alias("payload_digest"),
-                F.octet_length("payload").cast("long").alias("payload_bytes")), "warc-pages")
+                F.octet_length("payload").cast("long").alias("payload_bytes")), "warc-pages", compression="zstd")
     key = ["payload_digest", "payload_bytes"]
     first = (pages.filter(F.col("payload_bytes") >= least_bytes).groupBy(*key)
              .agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
