@@ -119,13 +119,16 @@ def external_labels(spark, sf):
 _AGREE_SQL = SQL_PAIRS + f""",
 g AS (SELECT {_METHOD_ALL} AS method, label, count(*) AS n, avg(CAST(a = b AS DOUBLE)) AS po,
   {_sql_pearson('a', 'b')} AS pearson,
-  count_if(a = 1 AND b = 1) AS tp, count_if(a = 1 AND b = 0) AS fp, count_if(a = 0 AND b = 1) AS fn,
-  avg(CAST(a = 0 AS DOUBLE)) * avg(CAST(b = 0 AS DOUBLE)) + avg(CAST(a = 0.5 AS DOUBLE)) * avg(CAST(b = 0.5 AS DOUBLE))
-    + avg(CAST(a = 1 AS DOUBLE)) * avg(CAST(b = 1 AS DOUBLE)) AS pe
+  count_if(a = 1 AND b = 1) AS tp, count_if(a = 1 AND b = 0) AS fp, count_if(a = 0 AND b = 1) AS fn
   FROM long GROUP BY GROUPING SETS ((label, method), (label))),
+lm AS (SELECT label, method, a, b FROM long UNION ALL SELECT label, 'all', a, b FROM long),
+ca AS (SELECT label, method, a AS v, count(*) AS n FROM lm GROUP BY ALL),
+cb AS (SELECT label, method, b AS v, count(*) AS n FROM lm GROUP BY ALL),
+ch AS (SELECT ca.label, ca.method, CAST(sum(ca.n * cb.n) AS DOUBLE) AS s FROM ca JOIN cb USING (label, method, v) GROUP BY ALL),
+gp AS (SELECT g.*, coalesce(s, 0) / (CAST(n AS DOUBLE) * n) AS pe FROM g LEFT JOIN ch USING (label, method)),
 m AS (SELECT method, label, n, CASE WHEN 1 - pe = 0 THEN NULL ELSE (po - pe) / (1 - pe) END AS kappa, pearson,
   po AS accuracy, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
-  CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall FROM g),
+  CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall FROM gp),
 mf AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m)"""
 
 
@@ -227,8 +230,8 @@ def show_diffs(spark, sf):
        "(ORDER BY qid ASC NULLS LAST, distractor ASC NULLS LAST, row_id) - 1 AS pos FROM pairs")
 def sorted_annotations(spark, sf):
     p = pairs(spark, sf).select("row_id", "qid", "distractor")
-    # ascending, NULLs last; the pairing joins are computed once, not once per pass
-    return ordered_index(p, ["qid", "distractor", "row_id"], index_col="pos", materialize=True)
+    # ascending, NULLs last
+    return ordered_index(p, ["qid", "distractor", "row_id"], index_col="pos")
 
 
 @query("annotator_select", AB, "WITH t AS (SELECT 'a' AS annotator, 'bin' AS rubric, row_id, " + ", ".join(LAB)

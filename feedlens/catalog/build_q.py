@@ -117,15 +117,15 @@ def seeded_shuffle(spark, sf):
     return ix.seeded_order(o, ["o_orderkey"])
 
 
-SAMPLE_SIZES = {"train": 1000, "val": 1000, "test": 1000}
+SAMPLE_SIZES = {"train": 10_000, "val": 1000, "test": 1000}
 
 
 @query("sample_exact", MCQ, SQL_EXPANDED_SPLITS + " SELECT row_id, split FROM (SELECT row_id, split, row_number() OVER "
        "(PARTITION BY split ORDER BY md5(concat_ws(':', '221', 'sample', CAST(row_id AS VARCHAR))), row_id) AS rn "
-       "FROM ex) WHERE rn <= 1000")
+       "FROM ex) WHERE rn <= CASE split WHEN 'train' THEN 10000 ELSE 1000 END")
 def sample_exact(spark, sf):
     ex = expanded_table(spark, sf).select("row_id", "split")
-    parts = [ix.sample_exact(ex.filter(F.col("split") == s), n, ["row_id"]) for s, n in SAMPLE_SIZES.items()]
+    parts = [ix.sample_exact(ex.filter(F.col("split") == s), n, ["row_id"], strict=True) for s, n in SAMPLE_SIZES.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

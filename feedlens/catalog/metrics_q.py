@@ -261,7 +261,7 @@ def _sql_example(prefix: str = "") -> str:
 
 
 def _h(j: int) -> str:
-    return f"CAST(('0x' || substr(md5(concat_ws(':', '221', 'draw', '{j}', CAST(row_id AS VARCHAR))), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5(concat_ws(':', '221', 'draw', '{j}', CAST(row_id AS VARCHAR))), 1, 15)) AS BIGINT)"
 
 
 _FEWSHOT_RANDOM = SQL_EXPANDED_SPLITS + f""",
@@ -296,12 +296,13 @@ exs AS (SELECT k.target_id AS row_id, k.rank, {_sql_example('p.')} AS text FROM
 body AS (SELECT row_id, string_agg(text, '' ORDER BY rank DESC) AS b FROM exs GROUP BY row_id)
 SELECT t.row_id, {pr.sql_lit(pr.instruction(False) + chr(10) + chr(10))} || coalesce(body.b, '') || {pr.sql_prompt_input(False, 't.')}
   || chr(10) || 'Feedback:' AS prompt
-FROM v_expanded t JOIN embeddings e ON e.vec_id = t.row_id LEFT JOIN body ON body.row_id = t.row_id""")
+FROM v_expanded t LEFT JOIN body ON body.row_id = t.row_id""")
 
 
 @query("fewshot_knn", ("v_expanded",), _FEWSHOT_KNN)
 def fewshot_knn(spark, sf):
-    """Nearest-neighbour examples (self excluded), most similar last."""
+    """Nearest-neighbour examples (self excluded), most similar last; a row without a vector has a
+    prompt without examples."""
     x = view(spark, sf, "v_expanded")
     e = _emb(spark, sf).select("vec_id", F.col("embedding").alias("vec"))
     rows = x.join(e, x.row_id == e.vec_id).drop("vec_id")
@@ -310,4 +311,4 @@ def fewshot_knn(spark, sf):
     knn = block_topk(t, p, left_id="target_id", right_id="pool_id", k=K, exclude_self=True)
     texts = x.select(F.col("row_id").alias("pool_id"), fs.example_texts(x).alias("text"))
     examples = knn.join(texts, "pool_id").select(F.col("target_id").alias("row_id"), "rank", "text")
-    return fs.assemble(rows.drop("vec"), examples, descending=True)
+    return fs.assemble(x, examples, descending=True)

@@ -9,7 +9,6 @@ from feedlens.catalog.build_q import SQL_EXPANDED_SPLITS, SQL_CA, SQL_EL, SQL_OK
 from feedlens.catalog.registry import DIGITS, query, r6, sr6
 from feedlens.functions import prompts as pr
 from feedlens.functions.parse import parse_binary, sql_parse_binary_ctes
-from feedlens.functions.text import SQL_WHITESPACE
 from feedlens.operators import agreement as ag
 from feedlens.operators import mcq
 from feedlens.plans import evaluate as ev
@@ -101,12 +100,11 @@ own AS (SELECT DISTINCT prompt, 'new:' || substr(md5(prompt), 1, 8) AS response
 SELECT prompt, response FROM own UNION ALL SELECT prompt, response FROM seed WHERE prompt NOT IN (SELECT prompt FROM own)""")
 def cache_merge(spark, sf):
     root = _seeded_cache(spark, sf)
-    stored = cc.load_cache(spark, root)
     p = view(spark, sf, "v_prompt").filter(F.substring(F.md5("prompt"), 2, 1) < "8").select("prompt").distinct()
     own = cc.with_key(p, MODEL, MAX_TOKENS, None).withColumn(
         "response", F.concat(F.lit("new:"), F.substring(F.md5("prompt"), 1, 8)))
-    path = cc.save_cache(spark, cc.merge(stored, own), root)
-    return spark.read.parquet(path).select("prompt", "response")
+    cc.save_cache(spark, own, root)
+    return cc.load_cache(spark, root).select("prompt", "response")
 
 
 @query("generate_cached", ("v_prompt",), f"""WITH {_SEED_SQL}
@@ -164,11 +162,12 @@ def encode_stub(spark, sf):
 @query("normalise_results", ("v_expanded", "v_generated"), """
 SELECT 'og' AS source, row_id, feedback, CAST(NULL AS VARCHAR) AS gen_prompt FROM v_expanded
 UNION ALL SELECT 'icl', row_id, generated_feedback, NULL FROM v_generated
-UNION ALL SELECT 'ft', row_id, trim(split_part(generated_feedback, chr(10), 1), """ + SQL_WHITESPACE + """), prompt FROM v_generated
-UNION ALL SELECT 'reticl', e.row_id, g.generated_feedback, g.prompt FROM v_expanded e JOIN v_generated g
+UNION ALL SELECT 'ft', row_id, generated_feedback, prompt FROM v_generated
+UNION ALL SELECT 'retrieved', e.row_id, g.generated_feedback, g.prompt FROM v_expanded e JOIN v_generated g
   ON g.src_row_id = e.row_id AND g.method = 'knn'""")
 def normalise_results(spark, sf):
     og = view(spark, sf, "v_expanded")
+    gold = view(spark, sf, "v_annotated_a").filter(F.col("method") == "gold")  # the rows that were answered
     g = view(spark, sf, "v_generated")
     cols = ["source", "row_id", "feedback", "gen_prompt"]
     a = ev.normalise(og, "og").withColumn("source", F.lit("og")).select(*cols)
@@ -177,7 +176,7 @@ def normalise_results(spark, sf):
         "source", F.lit("ft")).select(*cols)
     res = g.filter(F.col("method") == "knn").select(F.col("src_row_id").alias("row_id"),
                                                     F.col("generated_feedback").alias("pred"), "prompt")
-    d = ev.normalise(res, "reticl", original=og).withColumn("source", F.lit("reticl")).select(*cols)
+    d = ev.normalise(res, "retrieved", original=gold).withColumn("source", F.lit("retrieved")).select(*cols)
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 

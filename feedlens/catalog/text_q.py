@@ -97,22 +97,22 @@ def retrieval_sample(spark, sf):
 
 
 @query("chat_messages", (), """WITH c AS (SELECT conv_id, turn, role, text FROM conversations),
-u AS (SELECT c.conv_id * 100 + c.turn AS row_id, c.text, p.role AS prole, p.text AS ptext FROM c
-  LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 WHERE c.role = 'user')
-SELECT row_id, 0 AS pos, 'system' AS role, '""" + pr.EXPERT_SYSTEM + """' AS content FROM u
-UNION ALL SELECT row_id, 1, prole, ptext FROM u WHERE prole IS NOT NULL
-UNION ALL SELECT row_id, CASE WHEN prole IS NULL THEN 1 ELSE 2 END, 'user', text FROM u""")
+u AS (SELECT conv_id * 100 + turn AS row_id, conv_id, turn, text FROM c WHERE role = 'user'),
+h AS (SELECT u.row_id, u.conv_id, p.turn, p.role, p.text FROM u JOIN c p ON p.conv_id = u.conv_id AND p.turn < u.turn)
+SELECT row_id, conv_id, 0 AS pos, 'system' AS role, '""" + pr.EXPERT_SYSTEM + """' AS content FROM u
+UNION ALL SELECT row_id, conv_id, CAST(row_number() OVER (PARTITION BY conv_id, row_id ORDER BY turn) AS INTEGER), role, text FROM h
+UNION ALL SELECT row_id, conv_id, CAST(1 + (SELECT count(*) FROM c p WHERE p.conv_id = u.conv_id AND p.turn < u.turn) AS INTEGER),
+  'user', text FROM u""")
 def chat_messages(spark, sf):
-    """Messages of each user turn: system, the previous turn (history), the user prompt."""
-    c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    prev = c.select(F.col("conv_id").alias("_c"), (F.col("turn") + 1).alias("_t"),
-                    F.struct(F.col("role"), F.col("text").alias("content")).alias("_prev"))
-    u = c.filter(F.col("role") == "user").join(prev, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")),
-                                               "left")
-    hist = F.when(F.col("_prev").isNotNull(), F.array(F.col("_prev")))
-    msgs = pr.chat_messages(F.col("text"), hist, F.lit(pr.EXPERT_SYSTEM))
-    return u.select((F.col("conv_id") * 100 + F.col("turn")).alias("row_id"), F.posexplode(msgs)).select(
-        "row_id", "pos", F.col("col.role").alias("role"), F.col("col.content").alias("content"))
+    """Messages of each user turn: system, all earlier turns of the conversation, the user prompt."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns"))
+    u = turns.select("conv_id", "turns", F.explode("turns").alias("t")).filter("t.role = 'user'")
+    hist = F.transform(F.filter("turns", lambda p: p["turn"] < F.col("t.turn")),
+                       lambda p: F.struct(p["role"].alias("role"), p["content"].alias("content")))
+    msgs = pr.chat_messages(F.col("t.content"), hist, F.lit(pr.EXPERT_SYSTEM))
+    return u.select((F.col("conv_id") * 100 + F.col("t.turn")).alias("row_id"), "conv_id", F.posexplode(msgs)).select(
+        "row_id", "conv_id", "pos", F.col("col.role").alias("role"), F.col("col.content").alias("content"))
 
 
 # ---- reply parsing -----------------------------------------------------------------------------

@@ -130,9 +130,9 @@ def sft_loss_mask(spark, sf):
     """Prompt+completion token ids padded to the batch width; prompt and padding are ignored (-100)."""
     from feedlens.operators.index import batch_ids
     e = _src(spark, sf)
-    t = e.select("row_id", _word_ids(pr.sft_prompt(False)).alias("p"),
-                 F.concat(_word_ids(pr.sft_prompt(False)), _word_ids(F.col("feedback")), F.array(F.lit(_EOS))).alias("f"))
-    t = batch_ids(t, _BATCH, ["row_id"])
+    t = e.select("row_id", _word_ids(pr.sft_prompt(False)).alias("p"), _word_ids(F.col("feedback")).alias("_fb"))
+    t = t.select("row_id", "p", F.concat("p", "_fb", F.array(F.lit(_EOS))).alias("f"))
+    t = t.join(batch_ids(e.select("row_id"), _BATCH, ["row_id"]), "row_id")  # numbered on slim keys
     widths = t.groupBy("batch_id").agg(F.max(F.size("f")).alias("width"))  # one row per batch
     m = t.join(widths, "batch_id")
     pad = F.col("width") - F.size("f")

@@ -35,8 +35,8 @@ def key_digest(keys) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def hash_bits(hexcol: Column, start: int = 1, digits: int = 8) -> Column:
-    """Unsigned integer of ``digits`` hex digits of an md5 string, starting at 1-based ``start``."""
+def hash_bits(hexcol: Column, start: int = 1, digits: int = 15) -> Column:
+    """Unsigned integer of ``digits`` hex digits (60 bits) of an md5 string, from 1-based ``start``."""
     return F.conv(F.substring(hexcol, start, digits), 16, 10).cast("bigint")
 
 
@@ -52,5 +52,5 @@ def sql_hash(seed, *parts: str) -> str:
     return f"md5(concat_ws(':', {inner}))"
 
 
-def sql_bits(hexexpr: str, start: int = 1, digits: int = 8) -> str:
+def sql_bits(hexexpr: str, start: int = 1, digits: int = 15) -> str:
     return f"CAST(('0x' || substr({hexexpr}, {start}, {digits})) AS BIGINT)"

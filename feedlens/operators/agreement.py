@@ -1,8 +1,7 @@
 """Annotator agreement: pairing two annotation tables, polarity flips, and agreement metrics.
 
-All metrics are built-in aggregates in one grouped pass; "per method and overall" is a
-ROLLUP over (label, method), so the whole report is one shuffle of a long
-``(method, label, a, b)`` table with map-side partial aggregation.
+All metrics are expressions over the contingency table of a long ``(method, label, a, b)`` table
+(map-side partial counts); means "per method and overall" are a ROLLUP over (label, method).
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from feedlens.rubric import BINARY, SEED, Rubric
 
 PAIR_KEYS = ("qid", "distractor", "feedback")
 ITEM_COLS = ("row_id", "qid", "question", "correct_answer", "explanation", "distractor", "feedback", "method")
-CATEGORIES = (0.0, 0.5, 1.0)  # label values: binary labels, 0.5 = unparsed, normalised Likert
 
 
 def labelled(df: DataFrame, label: str) -> DataFrame:
@@ -103,23 +101,34 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def agreement_metrics(long: DataFrame) -> DataFrame:
-    """Kappa, Pearson, accuracy and binary precision/recall/F1 (truth ``b``, prediction ``a``)."""
-    a, b = F.col("a"), F.col("b")
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg((a == b).cast("double")).alias("_po"),
-            pearson(a, b).alias("pearson"),
-            F.count_if((a == 1) & (b == 1)).alias("_tp"), F.count_if((a == 1) & (b == 0)).alias("_fp"),
-            F.count_if((a == 0) & (b == 1)).alias("_fn")]
-    for i, c in enumerate(CATEGORIES):
-        aggs += [F.avg((a == c).cast("double")).alias(f"_pa{i}"), F.avg((b == c).cast("double")).alias(f"_pb{i}")]
-    g = method_rollup(long, "label", *aggs)
-    pe = sum((F.col(f"_pa{i}") * F.col(f"_pb{i}") for i in range(len(CATEGORIES))), F.lit(0.0))
-    tp, fp, fn = (F.col(c).cast("double") for c in ("_tp", "_fp", "_fn"))
-    precision = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
-    recall = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
-    g = g.select("method", "label", "n",
-                 F.try_divide(F.col("_po") - pe, F.lit(1.0) - pe).alias("kappa"),
-                 "pearson", F.col("_po").alias("accuracy"),
-                 precision.alias("precision"), recall.alias("recall"))
+    """Kappa, Pearson, accuracy and binary precision/recall/F1 (truth ``b``, prediction ``a``).
+
+    Everything comes from the contingency table (label, method, a, b): one shuffle of partial
+    counts, whatever values the labels take. Kappa's chance term sums over all of them.
+    """
+    cells = long.groupBy("label", "method", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    both = F.explode(F.array(F.col("method"), F.lit("all")))
+    g = (cells.withColumn("method", both).groupBy("label", "method", "a", "b").agg(F.sum("n").alias("n"))
+         .groupBy("label", "method").agg(F.collect_list(F.struct("a", "b", "n")).alias("cells"), F.sum("n").alias("n")))
+
+    def total(value) -> Column:
+        return F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + F.coalesce(value(c), F.lit(0.0)) * c["n"])
+
+    n = F.col("n").cast("double")
+    mean = lambda value: total(value) / n
+    is_ = lambda c, a, b: ((c["a"] == a) & (c["b"] == b)).cast("double")
+    chance = mean(lambda c: F.aggregate("cells", F.lit(0.0), lambda acc, d: acc + F.when(d["b"] == c["a"], d["n"]).otherwise(0)) / n)
+    g = g.select("method", "label", "n", mean(lambda c: (c["a"] == c["b"]).cast("double")).alias("_po"), chance.alias("_pe"),
+                 mean(lambda c: c["a"]).alias("_ma"), mean(lambda c: c["b"]).alias("_mb"), "cells",
+                 total(lambda c: is_(c, 1, 1)).alias("tp"), total(lambda c: is_(c, 1, 0)).alias("fp"),
+                 total(lambda c: is_(c, 0, 1)).alias("fn"))
+    da, db = (lambda c: c["a"] - F.col("_ma")), (lambda c: c["b"] - F.col("_mb"))
+    spread = F.sqrt(mean(lambda c: da(c) * da(c))) * F.sqrt(mean(lambda c: db(c) * db(c)))
+    pearson = F.when(spread > 1e-12, mean(lambda c: da(c) * db(c)) / spread)
+    precision = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
+    recall = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
+    g = g.select("method", "label", "n", F.when(F.lit(1.0) - F.col("_pe") > 1e-12, (F.col("_po") - F.col("_pe")) / (F.lit(1.0) - F.col("_pe")))
+                 .alias("kappa"), pearson.alias("pearson"), F.col("_po").alias("accuracy"), precision.alias("precision"), recall.alias("recall"))
     return g.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
                                                       F.col("precision") + F.col("recall")), F.lit(0.0)))
 

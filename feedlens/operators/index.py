@@ -4,9 +4,9 @@ pandas code uses the implicit RangeIndex as identity (reset index, ``iloc`` spli
 zips). A global ``row_number() OVER (ORDER BY ...)`` in Spark moves every row into one task, so
 positions are built from two pieces instead:
 
-* ``ordered_index``: bucket rows by quantile bounds of the sort key (a pure function of the
-  row), number them inside each bucket, and add per-bucket offsets. The offsets table has one
-  row per bucket, so its broadcast size is bounded by the bucket count, not by the data.
+* ``ordered_index``: range-partition and sort by the key, number rows inside each partition,
+  write that once, and add per-partition offsets. The offsets table has one row per partition,
+  so its broadcast size is bounded by the partition count, not by the data.
 * ``hash_positions``: position inside a group when the order is a uniform hash. Rows are split
   into ``16**digits`` buckets by the leading hex digits of the hash, so a group holding a large
   share of all rows is numbered by many tasks; per-bucket counts give the offsets.
@@ -43,61 +43,34 @@ def _sort_struct(df: DataFrame, order_by) -> tuple[Column, list]:
 
 
 def ordered_index(df: DataFrame, order_by, *, index_col: str = "idx", total_col: str | None = None,
-                  rows_per_bucket: int = 1_000_000, max_buckets: int = 65_536, sample_per_bucket: int = 20,
-                  seed: int = SEED, materialize: bool = False) -> DataFrame:
+                  partitions: int | None = None) -> DataFrame:
     """0-based position of each row in the order ``order_by`` (columns, ascending; make it unique).
 
-    Equals ``row_number() OVER (ORDER BY order_by) - 1`` without a single-partition window:
-    quantile bounds of the sort key come from one bounded sample (at most
-    ``buckets * sample_per_bucket`` keys reach the driver, as in Spark's own range partitioner).
-    Each row's bucket is a binary search over those constant bounds, a pure function of the row,
-    so every branch and every re-run of a task agrees on it. Rows are numbered by a window per
-    bucket; bucket offsets come from a table with one row per bucket (broadcast, bounded).
-
-    The input is read three times (count, sample, numbering). When it is expensive to compute
-    (joins, aggregates), ``materialize=True`` writes it once under the shared checkpoint folder
-    and runs the three passes over that table.
+    Equals ``row_number() OVER (ORDER BY order_by) - 1`` without a single-partition window: rows
+    are range-partitioned and sorted by Spark, numbered inside their partition, and written once
+    under the shared folder, so every later pass sees the same numbers. A row's position is its
+    number plus the count of rows in earlier partitions, a table with one row per partition
+    (broadcast, bounded). The plan is the same at every size. Hand in slim rows: what else a job
+    needs is joined back on the key.
     """
+    from feedlens.sources.files import materialize
+
     key, _ = _sort_struct(df, order_by)
     keyed = df.withColumn("_key", key)
-    if materialize:
-        from feedlens.sources.files import materialize as write_once
-        keyed = write_once(keyed, "ordered-index")
-    total = keyed.count()
-    n_b = int(min(max_buckets, max(1, -(-total // rows_per_bucket))))
-    bounds = []
-    if n_b > 1:
-        frac = min(1.0, n_b * sample_per_bucket / total)
-        sample = sorted(tuple(r[0]) for r in keyed.select("_key").sample(fraction=frac, seed=seed)
-                        .limit(2 * n_b * sample_per_bucket).collect())
-        bounds = sorted({sample[(len(sample) * i) // n_b] for i in range(1, n_b)} if sample else set())
-    if bounds:
-        ktype = keyed.schema["_key"].dataType
-        lit_bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, ktype.fields)])
-                               for b in bounds])
-        steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
-        nb = len(bounds)
-        # binary search: number of bounds strictly below the key
-        bucket = F.aggregate(F.array(*[F.lit(st) for st in steps]), F.lit(0),
-                             lambda acc, st: F.when((acc + st <= nb) & (F.element_at(lit_bounds, acc + st) < F.col("_key")),
-                                                    acc + st).otherwise(acc))
-    else:
-        # one bucket (at most ``rows_per_bucket`` rows): the position is the row number itself
-        out = keyed.withColumn(index_col, (F.row_number().over(Window.orderBy("_key")) - 1).cast("long"))
-        if total_col:
-            out = out.withColumn(total_col, F.lit(total).cast("long"))
-        return out.drop("_key")
-    b = keyed.withColumn("_bucket", bucket)
-    within = Window.partitionBy("_bucket").orderBy("_key")
-    b = b.withColumn("_rn", F.row_number().over(within) - 1)
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_bucket").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = b.join(F.broadcast(offsets), F.col("_bucket") == F.col("_ob"))  # one row per bucket: bounded
-    out = out.withColumn(index_col, (F.col("_off") + F.col("_rn")).cast("long"))
+    ranged = keyed.repartitionByRange(partitions, "_key") if partitions else keyed.repartitionByRange("_key")
+    # the id is (partition number << 33) + row number inside the partition, here in sorted order
+    numbered = ranged.sortWithinPartitions("_key").withColumn("_id", F.monotonically_increasing_id()).drop("_key")
+    numbered = materialize(numbered, "ordered-index").withColumn("_part", F.shiftright("_id", 33))
+    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.select(F.col("_part").alias("_op"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(every).alias("_total"))
+    out = numbered.join(F.broadcast(offsets), F.col("_part") == F.col("_op"))  # one row per partition: bounded
+    out = out.withColumn(index_col, (F.col("_off") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
     if total_col:
-        out = out.withColumn(total_col, F.lit(total).cast("long"))
-    return out.drop("_key", "_bucket", "_rn", "_ob", "_off")
+        out = out.withColumn(total_col, F.col("_total").cast("long"))
+    return out.drop("_id", "_part", "_op", "_off", "_total")
 
 
 def hash_positions(df: DataFrame, keys, hash_col: str, tie_cols, *, pos_col: str = "pos",
@@ -168,8 +141,11 @@ def split_by_share(df: DataFrame, key_cols, shares=(("train", 0.6), ("val", 0.8)
     return ordered.withColumn(split_col, expr).drop("_n").withColumnRenamed("_idx", "split_idx")
 
 
-def sample_exact(df: DataFrame, n: int, key_cols, *, seed=SEED, digits: int = 5) -> DataFrame:
-    """Exactly ``n`` rows without replacement: the ``n`` smallest seeded hashes (all rows if fewer).
+def sample_exact(df: DataFrame, n: int, key_cols, *, seed=SEED, digits: int = 5, strict: bool = False) -> DataFrame:
+    """Exactly ``n`` rows without replacement: the ``n`` smallest seeded hashes.
+
+    A table with fewer rows is returned whole, or fails the job with ``strict`` (an empty table
+    gives no rows either way).
 
     A plain ``orderBy(hash).limit(n)`` sends the local top ``n`` of every input partition to one
     task (``partitions x n`` rows). Instead, rows are counted per hash prefix (``16**digits``
@@ -184,7 +160,11 @@ def sample_exact(df: DataFrame, n: int, key_cols, *, seed=SEED, digits: int = 5)
     running = counts.withColumn("_cum", F.sum("_c").over(
         Window.orderBy("_sb").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     cut = running.filter(F.col("_cum") >= F.lit(n)).agg(F.min("_sb")).scalar()  # NULL: fewer than n rows
-    keep = h.filter(cut.isNull() | (F.col("_sb") <= cut))
+    if strict:
+        short = F.raise_error(F.lit(f"sample_exact: fewer than {n} rows")).cast("boolean")
+        keep = h.filter(F.when(cut.isNull(), short).otherwise(F.col("_sb") <= cut))
+    else:
+        keep = h.filter(cut.isNull() | (F.col("_sb") <= cut))
     return keep.orderBy("_h", *keys).limit(n).drop("_h", "_sb")
 
 

@@ -38,12 +38,13 @@ def outer_permutation(src: DataFrame, *, key: str = "row_id", rounds: int = 1, s
     Position ``i`` in key order receives the feedback at position ``i`` of the round's seeded
     order. Self-pairs can occur, as in the source.
     """
-    base = ordered_index(src, [key], index_col="_i")
+    index = ordered_index(src.select(key), [key], index_col="_i")  # positions on slim keys
+    texts = src.select(F.col(key).alias("_k2"), F.col("feedback").alias("alt_feedback"))
     outs = []
     for r in range(rounds):
-        perm = seeded_order(src.select(key, "feedback"), [key], seed=seed, salt=f"outer:{r}", index_col="_j")
-        perm = perm.select(F.col("_j"), F.col("feedback").alias("alt_feedback"))
-        outs.append(base.join(perm, F.col("_i") == F.col("_j"), "inner").drop("_i", "_j")
+        perm = seeded_order(src.select(F.col(key).alias("_k2")), ["_k2"], seed=seed, salt=f"outer:{r}", index_col="_j")
+        pairs = index.join(perm, F.col("_i") == F.col("_j"), "inner").select(F.col(key).alias("_k1"), "_k2")
+        outs.append(src.join(pairs, F.col(key) == F.col("_k1"), "inner").join(texts, "_k2", "inner").drop("_k1", "_k2")
                     .withColumn("round", F.lit(r)))
     out = outs[0]
     for o in outs[1:]:

@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.functions.text import first_line
 
-SOURCES = ("og", "icl", "ft", "reticl")
+SOURCES = ("og", "icl", "ft", "retrieved")
 
 
 def normalise(df: DataFrame, src: str, *, original: DataFrame | None = None, key: str = "row_id") -> DataFrame:
     """Put the feedback to evaluate in ``feedback`` whatever produced the table.
 
-    og: as is; icl: ``generated_feedback``; ft: first line of ``prediction`` (the generation
-    prompt kept as ``gen_prompt``); reticl: the original rows with ``pred`` joined by key.
+    og: as is; icl: ``generated_feedback``; ft: ``prediction``, whole (the generation
+    prompt kept as ``gen_prompt``); retrieved: the original rows with ``pred`` joined by key.
     """
     if src == "og":
         return df.withColumn("gen_prompt", F.lit(None).cast("string"))
     if src == "icl":
         return df.withColumn("feedback", F.col("generated_feedback")).withColumn("gen_prompt", F.lit(None).cast("string"))
     if src == "ft":
-        return df.withColumn("feedback", first_line("prediction")).withColumn("gen_prompt", F.col("prompt"))
-    if src == "reticl":
+        return df.withColumn("feedback", F.col("prediction")).withColumn("gen_prompt", F.col("prompt"))
+    if src == "retrieved":
         if original is None:
-            raise ValueError("reticl results need the original rows")
+            raise ValueError("retrieved results need the original rows")
         res = df.select(F.col(key).alias("_k"), F.col("pred").alias("_pred"), F.col("prompt").alias("gen_prompt"))
         return zip_join(original, res, key, "_k").withColumn("feedback", F.col("_pred")).drop("_pred", "_k")
     raise ValueError(f"unknown source {src}")

@@ -30,17 +30,17 @@ class View:
 
 
 _V_MCQ = """
-WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk FROM lineitem
-           WHERE l_linenumber <= 4 GROUP BY l_orderkey, l_linenumber)
+WITH l AS (SELECT l_orderkey, (l_linenumber - 1) % 4 + 1 AS slot, min(l_partkey) AS pk FROM lineitem
+           GROUP BY l_orderkey, (l_linenumber - 1) % 4 + 1)
 SELECT o_orderkey AS id, concat('Which part fits order ', o_orderkey, '?') AS question, o_custkey % 50 AS construct_id,
   CASE WHEN o_orderkey % 97 = 0 THEN 'x' ELSE CAST(o_orderkey % 4 + 1 AS STRING) END AS correct_no,
-  max(CASE WHEN l_linenumber = 1 THEN p_name END) AS answer1, max(CASE WHEN l_linenumber = 2 THEN p_name END) AS answer2,
-  max(CASE WHEN l_linenumber = 3 THEN p_name END) AS answer3, max(CASE WHEN l_linenumber = 4 THEN p_name END) AS answer4,
-  max(CASE WHEN l_linenumber = 1 THEN p_type END) AS explanation1, max(CASE WHEN l_linenumber = 2 THEN p_type END) AS explanation2,
-  max(CASE WHEN l_linenumber = 3 THEN p_type END) AS explanation3, max(CASE WHEN l_linenumber = 4 THEN p_type END) AS explanation4,
+  max(CASE WHEN slot = 1 THEN p_name END) AS answer1, max(CASE WHEN slot = 2 THEN p_name END) AS answer2,
+  max(CASE WHEN slot = 3 THEN p_name END) AS answer3, max(CASE WHEN slot = 4 THEN p_name END) AS answer4,
+  max(CASE WHEN slot = 1 THEN p_type END) AS explanation1, max(CASE WHEN slot = 2 THEN p_type END) AS explanation2,
+  max(CASE WHEN slot = 3 THEN p_type END) AS explanation3, max(CASE WHEN slot = 4 THEN p_type END) AS explanation4,
   substr(md5(concat('sc:', o_orderkey)), 1, 1) < '8' AS script_clean, substr(md5(concat('cl:', o_orderkey)), 1, 1) < 'c' AS cleaned,
   substr(md5(concat('df:', o_orderkey)), 1, 1) < '4' AS discuss_flag, substr(md5(concat('im:', o_orderkey)), 1, 1) < '2' AS image_needed
-FROM orders JOIN l ON o_orderkey = l_orderkey JOIN part ON pk = p_partkey GROUP BY o_orderkey, o_custkey
+FROM orders LEFT JOIN l ON o_orderkey = l_orderkey LEFT JOIN part ON pk = p_partkey GROUP BY o_orderkey, o_custkey
 """
 
 _V_ANNOTATED_A = """
@@ -81,10 +81,10 @@ _V_REWARD = """
 SELECT event_id AS row_id, event_id % 5 AS epoch, value AS reward FROM events
 """
 
-# Source rows in the "expanded" shape (one row per question x wrong answer): the gold rows.
+# Source rows in the "expanded" shape: question, wrong answer and a feedback text, of every document.
 _V_EXPANDED = """
 SELECT row_id, qid, question, correct_answer, explanation, distractor, feedback
-FROM v_annotated_a WHERE method = 'gold'
+FROM v_annotated_a
 """
 
 # Generated feedback of the three prompting methods, keyed to the source row they answer.

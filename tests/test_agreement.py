@@ -53,3 +53,12 @@ def test_dup_pairs(spark):
     assert len(pairs) == 3                       # two of three duplicates paired 1:1, NULL keys match
     assert (3, 14) in pairs
     assert len({x for x, _ in pairs}) == 3 and len({y for _, y in pairs}) == 3
+
+
+def test_kappa_counts_every_category(spark):
+    from feedlens.operators import agreement as ag
+
+    long = spark.createDataFrame([("m", "l", a, b) for a, b in ((4.0, 4.0), (4.0, 4.0), (0.0, 0.0), (1.0, 0.0))],
+                                 "method string, label string, a double, b double")
+    rows = {r.method: r for r in ag.agreement_metrics(long).collect()}
+    assert set(rows) == {"m", "all"} and abs(rows["m"].kappa - 0.6) < 1e-12 and rows["m"].n == 4

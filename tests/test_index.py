@@ -8,10 +8,10 @@ from feedlens.functions.hashing import seeded_hash
 from feedlens.operators import index as ix
 
 
-@pytest.mark.parametrize("parts,per_bucket", [(1, 10_000), (3, 300), (17, 7)])
-def test_ordered_index_equals_row_number(spark, parts, per_bucket):
+@pytest.mark.parametrize("parts,partitions", [(1, None), (3, 300), (17, 7)])
+def test_ordered_index_equals_row_number(spark, parts, partitions):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(parts)
-    got = ix.ordered_index(df, ["k"], total_col="n", rows_per_bucket=per_bucket)
+    got = ix.ordered_index(df, ["k"], total_col="n", partitions=partitions)
     ref = df.select("k", (F.row_number().over(Window.orderBy("k")) - 1).alias("r"))
     j = got.join(ref, "k")
     assert j.filter("idx <> r").count() == 0 and j.count() == 5000
@@ -57,7 +57,7 @@ def test_sample_exact(spark):
 def test_ordered_index_composite_with_nulls(spark):
     rows = [(q, d, i) for i, (q, d) in enumerate([(1, "b"), (None, "a"), (1, None), (2, "a"), (1, "a"), (None, None)] * 50)]
     df = spark.createDataFrame(rows, "q LONG, d STRING, i LONG")
-    got = ix.ordered_index(df, ["q", "d", "i"], rows_per_bucket=20)
+    got = ix.ordered_index(df, ["q", "d", "i"], partitions=20)
     w = Window.orderBy(F.col("q").asc_nulls_last(), F.col("d").asc_nulls_last(), "i")
     ref = df.select("i", (F.row_number().over(w) - 1).alias("r"))
     assert got.join(ref, "i").filter("idx <> r").count() == 0
@@ -94,10 +94,10 @@ def test_sample_exact_equals_smallest_hashes(spark, n, digits):
     assert got == want
 
 
-@pytest.mark.parametrize("per_bucket", [10_000, 150])
-def test_ordered_index_write_once_equals_row_number(spark, per_bucket):
+@pytest.mark.parametrize("partitions", [1, None, 15])
+def test_ordered_index_write_once_equals_row_number(spark, partitions):
     df = spark.range(0, 2000).select((F.col("id") * 7919 % 2003).alias("k"), F.lit("x").alias("t"))
-    got = ix.ordered_index(df, ["k"], rows_per_bucket=per_bucket, materialize=True)
+    got = ix.ordered_index(df, ["k"], partitions=partitions)
     assert got.columns == ["k", "t", "idx"]
     ref = df.select("k", (F.row_number().over(Window.orderBy("k")) - 1).alias("r"))
     j = got.join(ref, "k")

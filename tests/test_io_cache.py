@@ -29,8 +29,8 @@ def test_cache_merge_and_lookup(spark):
     stored = cc.with_key(spark.createDataFrame([("p1", "old1"), ("p2", "old2")], "prompt STRING, response STRING"), **k)
     cc.save_cache(spark, stored, root)
     own = cc.with_key(spark.createDataFrame([("p2", "new2"), ("p3", "new3")], "prompt STRING, response STRING"), **k)
-    cc.save_cache(spark, cc.merge(cc.load_cache(spark, root), own), root)
-    assert cc.versions(spark, root) == [0, 1]
+    cc.save_cache(spark, own, root)
+    assert len(cc.deltas(spark, root)) == 2
     got = {r.prompt: r.response for r in cc.load_cache(spark, root).collect()}
     assert got == {"p1": "old1", "p2": "new2", "p3": "new3"}
     q = cc.with_key(spark.createDataFrame([(1, "p1"), (2, "p4"), (3, "p4")], "row_id INT, prompt STRING"), **k)
@@ -55,7 +55,61 @@ def test_generate_and_retry(spark):
                                                       model="m", max_tokens=5).collect()}
     assert res == {1: "A", 2: "B", 3: "A"}
     sampled = gen.generate(spark, prompts, gen.stub_writer, root, model="m", max_tokens=50, temperature=0.7)
-    assert sampled.count() == 3
+    assert sampled.count() == 3 and set(sampled.columns) == {"row_id", "prompt", "response", "error"}
+
+
+def _rows(spark, root, *pairs):
+    rows = cc.with_key(spark.createDataFrame(list(pairs), "prompt STRING, response STRING"), "m", 10, None)
+    return cc.save_cache(spark, rows, root)
+
+
+def test_two_writers_and_an_unfinished_write_lose_nothing(spark):
+    import os
+
+    root = shared_dir(spark, "cachewriters")
+    _rows(spark, root, ("a", "1"))
+    first = cc.load_cache(spark, root)  # both writers read before either saves
+    _rows(spark, root, ("b", "2"))
+    _rows(spark, root, ("c", "3"))
+    assert first.count() == 1 and {r.prompt for r in cc.load_cache(spark, root).collect()} == {"a", "b", "c"}
+    os.remove(_rows(spark, root, ("d", "4")).replace("file:", "") + "/_SUCCESS")
+    assert {r.prompt for r in cc.load_cache(spark, root).collect()} == {"a", "b", "c"}
+
+
+def test_exhausted_retries_are_reported_and_not_cached(spark):
+    root = shared_dir(spark, "generrors")
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(4)], "row_id INT, prompt STRING")
+
+    def broken(ps, **kw):
+        if "p1" in ps:
+            raise gen.TransientError("busy")
+        return [p.upper() for p in ps]
+
+    out = {r.row_id: (r.response, r.error) for r in gen.generate(spark, prompts, broken, root, model="m", max_tokens=5, batch_size=1).collect()}
+    assert out[1] == (None, "busy") and out[0] == ("P0", None)
+    assert cc.load_cache(spark, root).count() == 3
+
+
+def test_calls_are_spread_over_tasks(spark):
+    prompts = spark.range(200).selectExpr("id as row_id", "concat('p', id) as prompt")
+
+    def where(ps, **kw):
+        from pyspark import TaskContext
+        return [str(TaskContext.get().partitionId())] * len(ps)
+
+    out = gen.generate(spark, prompts, where, shared_dir(spark, "genspread"), model="m", max_tokens=5, concurrency=4)
+    assert out.select("response").distinct().count() == 4
+
+
+def test_histories_bypass_the_cache(spark):
+    root = shared_dir(spark, "genhistory")
+    prompts = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "a", []), (3, "a", None)], "row_id INT, prompt STRING, history ARRAY<STRING>")
+
+    def client(ps, *, histories=None, **kw):
+        return [p + "".join(h) for p, h in zip(ps, histories)] if histories else [p.upper() for p in ps]
+
+    out = {r.row_id: r.response for r in gen.generate(spark, prompts, client, root, model="m", max_tokens=5).collect()}
+    assert out == {1: "axy", 2: "A", 3: "A"} and cc.load_cache(spark, root).count() == 1
 
 
 def test_incremental_stream(spark):

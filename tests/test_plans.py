@@ -1,11 +1,14 @@
 """Physical-plan properties that matter at scale."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from feedlens.operators import index as ix
 from feedlens.operators.similarity import block_topk
 from feedlens.sources import files as fl
 from feedlens.session import shared_dir
+from tests.conftest import SF
 
 
 def _plan(df) -> str:
@@ -25,10 +28,21 @@ def test_seeded_order_has_no_single_partition_on_big_side(spark):
     assert "BroadcastExchange" in p or "BroadcastHashJoin" in p
 
 
-def test_ordered_index_buckets_by_bounds(spark):
-    p = _optimized(ix.ordered_index(spark.range(0, 1000), ["id"], rows_per_bucket=100))
-    assert "hashpartitioning(_bucket" in p
-    assert p.count("SinglePartition") <= 1          # only the per-bucket offsets
+def test_ordered_index_numbers_rows_in_their_partitions(spark):
+    p = _optimized(ix.ordered_index(spark.range(0, 1000), ["id"]))
+    assert p.count("SinglePartition") <= 1          # only the per-partition offsets
+    assert p.count("Window") <= 2 and "BroadcastHashJoin" in p
+
+
+@pytest.mark.parametrize("key", ["row_index", "batch_ids", "sorted_annotations", "rm_mismatch_outer", "pref_mismatch_outer",
+                                 "rm_training_table", "preference_table", "sft_loss_mask"])
+def test_positions_move_no_rows_to_one_task(spark, key):
+    """A single-partition exchange may only hold counts (a row per partition or hash bucket)."""
+    from feedlens.catalog import QUERIES
+
+    p = _optimized(QUERIES[key](spark, SF))
+    for part in p.split("Exchange SinglePartition")[1:]:
+        assert "HashAggregate" in part[:400], part[:400]
 
 
 def test_topk_uses_window_group_limit(spark):
