@@ -216,14 +216,16 @@ def both_true_false(spark, sf):
                                                 F.count_if((a == 0) & (b == 0)).alias("n_both_false"))
 
 
-@query("show_diffs", AB, SQL_PAIRS + "\nSELECT l.row_id, l.label, l.a AS value_a, l.b AS value_b, p.question, "
-       "p.distractor, p.feedback, p.method FROM long l JOIN pairs p ON l.row_id = p.row_id WHERE l.a <> l.b")
+@query("show_diffs", (*AB, "v_reply"), SQL_PAIRS + "\nSELECT l.row_id, l.label, l.a AS value_a, l.b AS value_b, p.question, "
+       "p.distractor, p.feedback, p.method, p.correct_answer, r.response FROM long l JOIN pairs p ON l.row_id = p.row_id "
+       "LEFT JOIN v_reply r ON r.row_id = l.row_id WHERE l.a <> l.b")
 def show_diffs(spark, sf):
     p = pairs(spark, sf)
-    lg = ag.long_labels(p, FL, keep=("row_id", "method", "question", "distractor", "feedback"))
-    return lg.filter(F.col("a") != F.col("b")).select(
+    lg = ag.long_labels(p, FL, keep=("row_id", "method", "question", "correct_answer", "distractor", "feedback"))
+    replies = view(spark, sf, "v_reply").select(F.col("row_id").alias("_r"), "response")
+    return lg.filter(F.col("a") != F.col("b")).join(replies, F.col("row_id") == F.col("_r"), "left").select(
         "row_id", "label", F.col("a").alias("value_a"), F.col("b").alias("value_b"),
-        "question", "distractor", "feedback", "method")
+        "question", "distractor", "feedback", "method", "correct_answer", "response")
 
 
 @query("sorted_annotations", AB, SQL_PAIRS + "\nSELECT row_id, qid, distractor, row_number() OVER "

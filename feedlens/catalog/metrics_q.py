@@ -209,13 +209,15 @@ def knn_self(spark, sf):
         "target_id", "pool_id", "rank", "sim")
 
 
+# means of six-digit similarities in whole millionths: no rounding tie can depend on the order of a sum
+_SQL_MEAN = "CAST((2 * sum(CAST(round(m * 1000000) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000000"
 _SQL_TOKENS = ("tp AS (" + _sql_unit("v_token_vectors WHERE side = 'pred'", "pos", "vec", ", pair_id") + "),\n"
                "tr AS (" + _sql_unit("v_token_vectors WHERE side = 'ref'", "pos", "vec", ", pair_id") + "),\n"
                "ts AS (SELECT a.pair_id, a.id AS pid, b.id AS rid, round(list_dot_product(a.u, b.u), 6) AS sim "
                "FROM tp a JOIN tr b ON a.pair_id = b.pair_id),\n"
-               "bp AS (SELECT pair_id, avg(m) AS p FROM (SELECT pair_id, pid, max(sim) AS m FROM ts GROUP BY pair_id, pid) "
+               f"bp AS (SELECT pair_id, {_SQL_MEAN} AS p FROM (SELECT pair_id, pid, max(sim) AS m FROM ts GROUP BY pair_id, pid) "
                "GROUP BY pair_id),\n"
-               "br AS (SELECT pair_id, avg(m) AS r FROM (SELECT pair_id, rid, max(sim) AS m FROM ts GROUP BY pair_id, rid) "
+               f"br AS (SELECT pair_id, {_SQL_MEAN} AS r FROM (SELECT pair_id, rid, max(sim) AS m FROM ts GROUP BY pair_id, rid) "
                "GROUP BY pair_id),\n"
                "bs AS (SELECT bp.pair_id, p, r, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1 "
                "FROM bp JOIN br ON bp.pair_id = br.pair_id)")
@@ -228,8 +230,9 @@ def bertscore(spark, sf):
     ref = tv.filter(F.col("side") == "ref").select("pair_id", F.col("pos").alias("rid"), "vec")
     p = block_topk(pred, ref, left_id="pid", right_id="rid", group_cols=["pair_id"], k=1)
     r = block_topk(ref, pred, left_id="rid", right_id="pid", group_cols=["pair_id"], k=1)
-    bp = p.groupBy("pair_id").agg(F.avg("sim").alias("p"))
-    br = r.groupBy("pair_id").agg(F.avg("sim").alias("r"))
+    mean = F.expr("(2 * sum(cast(round(sim * 1000000) as bigint)) + count(*)) div (2 * count(*))").cast("double") / 1000000
+    bp = p.groupBy("pair_id").agg(mean.alias("p"))
+    br = r.groupBy("pair_id").agg(mean.alias("r"))
     out = bp.join(br, "pair_id")
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")),
                                            F.lit(0.0)))
