@@ -72,22 +72,36 @@ def long(spark, sf):
     return ag.long_labels(pairs(spark, sf), FL)
 
 
+def with_reference(rows, spark, sf):
+    """``rows`` (qid, distractor, ...) with the reference feedback of their item; NULL if there is none.
+
+    Which row is an item's reference is settled on ids; only that row's text is fetched."""
+    x = view(spark, sf, "v_expanded")
+    first = x.groupBy(F.col("qid").alias("_q"), F.col("distractor").alias("_d")).agg(F.min("row_id").alias("ref_row_id"))
+    refs = first.join(x.select(F.col("row_id").alias("_r"), F.col("feedback").alias("ref_feedback")), F.col("ref_row_id") == F.col("_r"))
+    cond = [F.col("qid").eqNullSafe(F.col("_q")), F.col("distractor").eqNullSafe(F.col("_d"))]
+    return rows.join(refs, cond, "left").drop("_q", "_d", "_r")
+
+
 def reference_rows(spark, sf):
     """Each annotated row with the reference feedback of its (qid, distractor); NULL if none."""
-    a = view(spark, sf, "v_annotated_a")
-    og = first_per_key(view(spark, sf, "v_expanded"), ["qid", "distractor"], "row_id")
-    og = og.select(F.col("qid").alias("_q"), F.col("distractor").alias("_d"),
-                   F.col("row_id").alias("ref_row_id"), F.col("feedback").alias("ref_feedback"))
-    cond = [F.col("qid").eqNullSafe(F.col("_q")), F.col("distractor").eqNullSafe(F.col("_d"))]
-    return a.join(og, cond, "left").drop("_q", "_d")
+    return with_reference(view(spark, sf, "v_annotated_a"), spark, sf)
 
 
-def rouge_rows(spark, sf):
-    j = reference_rows(spark, sf)
+def _rouge(rows, *keep):
     p, r, f = rouge_l(F.col("feedback"), F.col("ref_feedback"))
     has = F.col("ref_feedback").isNotNull()
-    return j.select("row_id", "method", F.when(has, p).alias("rouge_p"), F.when(has, r).alias("rouge_r"),
-                    F.when(has, f).alias("rouge_f"))
+    return rows.select(*keep, F.when(has, p).alias("rouge_p"), F.when(has, r).alias("rouge_r"), F.when(has, f).alias("rouge_f"))
+
+
+def rouge_rows(spark, sf):
+    return _rouge(reference_rows(spark, sf), "row_id", "method")
+
+
+def paired_rouge(spark, sf):
+    """The paired annotations with ROUGE-L: the LCS runs on paired rows only."""
+    p = pairs(spark, sf)
+    return _rouge(with_reference(p, spark, sf), "row_id", "method", *[f"{f}_{s}" for f in FL for s in "ab"])
 
 
 # ---------------------------------------------------------------- queries
@@ -290,7 +304,7 @@ _PAIRS_ROUGE = SQL_PAIRS + ",\n" + SQL_REF + ",\npr AS (SELECT p.*, r.rouge_f FR
 @query("rouge_means", AB + ("v_expanded",), brute=_PAIRS_ROUGE +
        f"\nSELECT {_METHOD_ALL} AS method, {sr6('avg(rouge_f)')} AS rouge_l FROM pr GROUP BY GROUPING SETS ((method), ())")
 def rouge_means(spark, sf):
-    p = pairs(spark, sf).join(rouge_rows(spark, sf).select("row_id", "rouge_f"), "row_id", "left")
+    p = paired_rouge(spark, sf)
     g = p.rollup("method").agg(F.avg("rouge_f").alias("rouge_l"), F.grouping_id().alias("_g"))
     return g.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("method")).alias("method"),
                     r6("rouge_l").alias("rouge_l"))
@@ -301,7 +315,7 @@ s AS (SELECT method, {_sql_gated('a')} AS sa, {_sql_gated('b')} AS sb, rouge_f F
 SELECT {_METHOD_ALL} AS method, {sr6(_sql_pearson('sa', 'sb'))} AS pearson_scores,
   {sr6(_sql_pearson('sb', 'rouge_f'))} AS pearson_rouge FROM s GROUP BY GROUPING SETS ((method), ())""")
 def score_correlation(spark, sf):
-    p = pairs(spark, sf).join(rouge_rows(spark, sf).select("row_id", "rouge_f"), "row_id", "left")
+    p = paired_rouge(spark, sf)
     s = p.select("method", ag.gated_score(FL, "_a").alias("sa"), ag.gated_score(FL, "_b").alias("sb"), "rouge_f")
     g = s.rollup("method").agg(ag.pearson(F.col("sa"), F.col("sb")).alias("pearson_scores"),
                                ag.pearson(F.col("sb"), F.col("rouge_f")).alias("pearson_rouge"),
@@ -316,7 +330,7 @@ def score_correlation(spark, sf):
     [f"SELECT '{m}' AS metric, {sr6(_sql_pearson(m + '_a', m + '_b'))} AS pearson FROM mm" for m in FL + ['score']]
     + [f"SELECT 'rouge' AS metric, {sr6(_sql_pearson('score_b', 'rouge'))} AS pearson FROM mm"]))
 def system_correlation(spark, sf):
-    p = pairs(spark, sf).join(rouge_rows(spark, sf).select("row_id", "rouge_f"), "row_id", "left")
+    p = paired_rouge(spark, sf)
     mm = p.groupBy("method").agg(*[F.avg(f"{f}_{s}").alias(f"{f}_{s}") for f in FL for s in "ab"],
                                  F.avg(ag.gated_score(FL, "_a")).alias("score_a"),
                                  F.avg(ag.gated_score(FL, "_b")).alias("score_b"),

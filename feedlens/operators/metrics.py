@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlens.sources.files import materialize
 from feedlens.operators.agreement import pearson
 
 N_LABELS = 5
@@ -79,6 +80,7 @@ def roc_auc(long: DataFrame, group_cols=("grp", "label"), score: str = "x", trut
     g = list(group_cols)
     hist = long.groupBy(*g, score).agg(F.count_if(F.col(truth) == 1).alias("pos"),
                                        F.count_if(F.col(truth) == 0).alias("neg"))
+    hist = materialize(hist, "roc-histogram")  # read by the bounds, the offsets and the running counts
     fracs = [i / buckets for i in range(1, buckets)]
     bounds = hist.groupBy(*g).agg(F.percentile_approx(score, fracs, 10000).alias("_b"))  # groups x buckets values
     hb = hist.join(bounds, g).withColumn("_bk", count_below(F.col("_b"), F.col(score), len(fracs))).drop("_b")

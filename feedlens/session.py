@@ -34,6 +34,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_MADE: list[str] = []  # folders of this process under the shared folder
+
+
+def release_intermediates(spark: SparkSession) -> int:
+    """Deletes the folders that ``shared_dir`` made in this process and returns their number. Call it
+    when the results that read them have been written; none of them is read by a later call."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    made, _MADE[:] = list(_MADE), []
+    for path in made:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(made)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
@@ -50,6 +64,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
     path = root.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
     return path

@@ -126,3 +126,26 @@ def test_incremental_stream(spark):
     assert set(rows) == {1, 2, 3, 4} and rows[1] == rows[3]
     cached = {r.prompt for r in cc.load_cache(spark, root).collect()}
     assert cached == {"x", "y", "z"}
+
+
+def test_shared_folder_rules(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from feedlens import session
+
+    path = session.shared_dir(spark, "gone").replace("file:", "")
+    assert os.path.isdir(path)
+    assert session.release_intermediates(spark) >= 1 and not os.path.exists(path)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster, "x")
