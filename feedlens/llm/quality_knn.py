@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlens.llm.words import sliced, text_buffers, word_hashes, word_spans
+from feedlens.operators.index import sample_exact
 
 _MUL = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
@@ -144,9 +145,9 @@ def _count_batches(id_col: str, text_col: str, dims: int):
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         max_rows: int = 4096, dims: int = 2048, rank: int = 64, k: int = 16, power: float = 8.0, seed: int = 42) -> LatentVotes:
     """Fits on at most ``max_rows`` labelled rows; only their hashed counts (4 KB each) reach the driver."""
-    sample = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
-              .agg(F.avg(F.col(label_col).cast("double")).alias("label"))
-              .orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_rows))
+    usable = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
+              .agg(F.avg(F.col(label_col).cast("double")).alias("label")))
+    sample = sample_exact(usable, max_rows, ["_id"], seed=seed)  # the smallest seeded hashes, without a wide sort
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     rows = chosen.mapInArrow(_count_batches("_id", "_text", dims), "label double, counts binary").limit(2 * max_rows).toArrow()
     counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u2").reshape(-1, dims + 1).astype(np.float32)
