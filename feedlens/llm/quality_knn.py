@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Fits on at most ``max_rows`` labelled rows; only their hashed counts (4 KB each) reach the driver."""
     usable = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
               .agg(F.avg(F.col(label_col).cast("double")).alias("label")))
-    sample = sample_exact(usable, max_rows, ["_id"], seed=seed)  # the smallest seeded hashes, without a wide sort
+    # the smallest seeded hashes; 16**3 prefix counts settle which rows the last sort has to see
+    sample = sample_exact(usable, max_rows, ["_id"], seed=seed, digits=3)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     rows = chosen.mapInArrow(_count_batches("_id", "_text", dims), "label double, counts binary").limit(2 * max_rows).toArrow()
     counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u2").reshape(-1, dims + 1).astype(np.float32)
