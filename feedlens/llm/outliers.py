@@ -225,7 +225,7 @@ def _group_name(*cols: str) -> Column:
 
 
 def rule_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                  least_words: int = 50, repeat_percent: int = 50, quantile: float = 1 - 1e-6, lean: float = 50.0,
+                  least_words: int = 50, repeat_percent: int = 50, quantile: float = 1 - 1e-10, lean: float = 50.0,
                   slice_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: doc_id, the base statistics, base_failed, distance, kept."""
     kind = docs.schema[id_col].dataType.simpleString()
