@@ -13,9 +13,9 @@ bound of the final distance are rejected.
 * Small groups lean on their language: an estimate counts with its number of rows against
   ``lean`` rows of the language's own estimate, a smooth weight at every size.
 
-Scale. One pass over the texts gives slim rows. Each step is two grouped sums over them, which
-are combined per map task, so a hot source is no larger than any other for the reducer. The cut
-of a step comes from a histogram of distances in fixed bins, not from a sort. Parameters (a row
+Scale. One pass over the texts gives slim rows. Each step is one grouped sum over them, by bins of
+distance, which is combined per map task, so a hot source is no larger than any other for the
+reducer. The cut of a step is one of these bins, not the result of a sort. Parameters (a row
 per group) stay a table and are joined back.
 
 Defined cases: null and empty texts have no word and fail the base rules; null language or
@@ -31,9 +31,10 @@ from statistics import NormalDist
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feedlens.llm.words import mix, sliced, text_buffers, window_hashes, word_hashes, word_spans
+from feedlens.llm.words import _SEP, mix, sliced, text_buffers, window_hashes, word_hashes, word_spans
 from feedlens.sources.files import materialize
 
 STATS = ("log_words", "log_word_chars", "log_symbols", "dup_lines", "repeats")
@@ -71,11 +72,7 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray, window: int = 3) -> d
     counts = np.diff(first)
     owner = np.repeat(np.arange(n), counts)
     total = lambda flags: np.diff(np.r_[0, np.cumsum(flags, dtype=np.int64)][offsets])
-    in_word = np.zeros(len(data) + 1, np.int64)
-    np.add.at(in_word, starts, 1)
-    np.add.at(in_word, ends, -1)
-    inside = np.cumsum(in_word[:-1]) > 0
-    chars = total(inside & ((data & 0xC0) != 0x80))
+    chars = total(~_SEP[data] & ((data & 0xC0) != 0x80))  # whatever separates no words lies in one
     # lines: cut at \n and at the borders of texts
     breaks = np.flatnonzero(data == 0x0A)
     line_start = np.unique(np.r_[offsets[:-1], breaks + 1])
@@ -119,10 +116,10 @@ def _vector() -> list[Column]:
             F.sqrt(share("n_dup_lines")), F.sqrt(share("n_repeat_words"))]
 
 
-def _distance(mean: str = "mean", inverse: str = "inverse") -> Column:
-    d = [F.col(f"x{i}") - F.get(mean, F.lit(i)) for i in range(P)]
-    terms = [d[i] * d[j] * F.get(inverse, F.lit(k)) * (1 if i == j else 2) for k, (i, j) in enumerate(_UPPER)]
-    return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
+def _distance() -> Column:
+    """Squared Mahalanobis distance of x0.. from ``mean`` under ``inverse`` (upper triangle)."""
+    terms = [f"(x{i} - mean[{i}]) * (x{j} - mean[{j}]) * inverse[{k}] * {1 if i == j else 2}" for k, (i, j) in enumerate(_UPPER)]
+    return F.expr(f"greatest({' + '.join(terms)}, 0D)")
 
 
 def _square(upper: np.ndarray) -> np.ndarray:
@@ -136,20 +133,22 @@ def _floored(cov: np.ndarray) -> np.ndarray:
     return cov + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(cov)))
 
 
-def _row(group, mean, cov) -> dict:
+def _row(group, mean, cov, before: float | None = None) -> dict:
     inverse = np.linalg.inv(_floored(cov))
+    logdet = float(np.linalg.slogdet(_floored(cov))[1])
     return {"grp": group, "mean": np.round(mean, 9).tolist(), "cov": [float(cov[i, j]) for i, j in _UPPER],
-            "inverse": [float(inverse[i, j]) for i, j in _UPPER], "logdet": float(np.linalg.slogdet(_floored(cov))[1])}
+            "inverse": [float(inverse[i, j]) for i, j in _UPPER], "logdet": logdet, "moved": None if before is None else abs(logdet - before)}
 
 
-_PARAMS = "grp string, mean array<double>, cov array<double>, inverse array<double>, logdet double"
+_PARAMS = "grp string, mean array<double>, cov array<double>, inverse array<double>, logdet double, moved double"
 
 
 def _rows_to_params(make):
     """A table of groups -> parameter rows, batch by batch."""
 
     def run(batches):
-        schema = pa.schema([("grp", pa.string()), *[(c, pa.list_(pa.float64())) for c in ("mean", "cov", "inverse")], ("logdet", pa.float64())])
+        schema = pa.schema([("grp", pa.string()), *[(c, pa.list_(pa.float64())) for c in ("mean", "cov", "inverse")],
+                            ("logdet", pa.float64()), ("moved", pa.float64())])
         for b in batches:
             yield pa.RecordBatch.from_pylist([make(r) for r in b.to_pylist()], schema=schema)
 
@@ -166,7 +165,7 @@ def _moments(r: dict) -> dict:
     n = r["n"]
     mean = np.array(r["s"]) / n
     cov = _square(np.array(r["ss"]) / n) - np.outer(mean, mean)
-    return _row(r["grp"], mean, (cov + cov.T) / 2)
+    return _row(r["grp"], mean, (cov + cov.T) / 2, r["before"])
 
 
 BINS = 32  # histogram bins per doubling of a distance
@@ -176,34 +175,35 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + 1e-6) * BINS).cast("int")
 
 
-def _halves(d: DataFrame) -> DataFrame:
-    """(grp, rows, cut): the bin of distances at which a group's half is reached."""
-    from pyspark.sql import Window as W
-
-    h = d.groupBy("grp", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
+def _halves(bins: DataFrame) -> DataFrame:
+    """The rows of ``bins`` (grp, bin, n, ...) that make up the half of each group with the smallest
+    distances, in whole bins, with the group's number of rows. A group has a bounded number of bins."""
     w = W.partitionBy("grp")
-    h = h.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("rows", F.sum("n").over(w))
-    return h.filter(F.col("upto") * 2 >= F.col("rows")).groupBy("grp").agg(F.min("bin").alias("cut"), F.first("rows").alias("rows"))
+    earlier = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return bins.select("*", earlier.alias("earlier"), F.sum("n").over(w).alias("rows")).filter(F.col("earlier") * 2 < F.col("rows"))
 
 
 def robust_estimates(rows: DataFrame, steps: int = 10, tolerance: float = 1e-3) -> DataFrame:
-    """(grp, mean, cov, n_rows) for ``rows`` (grp, x0..): concentration steps to convergence."""
+    """(grp, mean, cov, n_rows) for ``rows`` (grp, x0..): concentration steps to convergence.
+
+    A step is one aggregate over the rows: sums by bin of distance, of which the bins of the nearer
+    half are then added up."""
     quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)])
     params = materialize(quartiles.mapInArrow(_rows_to_params(_start), _PARAMS), "mcd-start")
+    sums = [f"sum(x{i}) AS s{i}" for i in range(P)] + [f"sum(x{i} * x{j}) AS s{i}_{j}" for i, j in _UPPER]
     for step in range(steps):
-        d = rows.join(params.select("grp", "mean", "inverse"), "grp").withColumn("d2", _distance())
-        cuts = materialize(_halves(d.select("grp", "d2")), "mcd-cuts")
-        near = d.join(cuts, "grp").filter(_bin(F.col("d2")) <= F.col("cut"))
-        sums = near.groupBy("grp").agg(
-            F.count("*").alias("n"), F.array(*[F.sum(f"x{i}") for i in range(P)]).alias("s"),
-            F.array(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in _UPPER]).alias("ss"))
-        new = materialize(sums.mapInArrow(_rows_to_params(_moments), _PARAMS), "mcd-step")
-        moved = new.select("grp", "logdet").join(params.select("grp", F.col("logdet").alias("old")), "grp")
-        params, moving = new, not moved.filter(F.abs(F.col("logdet") - F.col("old")) > tolerance).isEmpty()
-        if step and not moving:
+        d = rows.join(params.select("grp", "mean", "inverse", "logdet"), "grp").withColumn("bin", _bin(_distance()))
+        bins = d.groupBy("grp", "bin").agg(F.count("*").alias("n"), F.max("logdet").alias("before"), *map(F.expr, sums))
+        near = _halves(bins).groupBy("grp").agg(
+            F.sum("n").alias("n"), F.max("before").alias("before"), F.expr(f"array({', '.join(f'sum(s{i})' for i in range(P))}) AS s"),
+            F.expr(f"array({', '.join(f'sum(s{i}_{j})' for i, j in _UPPER)}) AS ss"))
+        params = materialize(near.mapInArrow(_rows_to_params(_moments), _PARAMS), "mcd-step")
+        if step and params.filter(F.col("moved") > tolerance).isEmpty():
             break
-    d = rows.join(params.select("grp", "mean", "inverse"), "grp").select("grp", _distance().alias("d2"))
-    halves = _halves(d).select("grp", "rows", F.pow(F.lit(2.0), (F.col("cut") + 1) / F.lit(float(BINS))).alias("median"))
+    bins = (rows.join(params.select("grp", "mean", "inverse"), "grp").groupBy("grp", _bin(_distance()).alias("bin"))
+            .agg(F.count("*").alias("n")))
+    halves = _halves(bins).groupBy("grp").agg(F.max("bin").alias("cut"), F.max("rows").alias("rows")).select(
+        "grp", "rows", F.pow(F.lit(2.0), (F.col("cut") + 1) / F.lit(float(BINS))).alias("median"))
 
     def consistent(r: dict) -> dict:
         cov = _square(np.array(r["cov"]))
