@@ -13,8 +13,9 @@ order of bound_i / w_i (one row per source).
 
 Scale. Texts are read once, for their lengths. What is shuffled is one slim row per document
 and a histogram (source, length), which a hot source or a hot length does not enlarge. Selection
-in a hot (source, length) class is spread over 64 hash buckets: counts by bucket tell which
-buckets are taken whole, and rows are only ordered within a bucket.
+in a hot (source, length) class is spread over 1,024 hash buckets: counts by bucket tell which
+buckets are taken whole or not at all, and only the rows of the one bucket in which the class's
+number runs out are ordered.
 
 Defined cases: a null or empty text has size 0 and nothing taken; a null source is a source of
 its own, last in order; repeated rows are documents of their own; sources without words get
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from feedlens.llm.words import sliced, text_buffers, word_spans
 from feedlens.sources.files import materialize
 
-BUCKETS = 64
+BUCKETS = 1024
 
 
 def fit_budget(lengths: np.ndarray, free: np.ndarray, budget: int, table: int = 1 << 17) -> np.ndarray:
@@ -152,17 +153,18 @@ def mix_plan(slim: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     lengths = materialize(lengths, "mix-lengths")
     running = F.coalesce(F.sum("n").over(W.partitionBy("source", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     same = lambda a, b: a.source.eqNullSafe(b.source) & (a["size"] == b["size"])
-    quota = (counts.withColumn("before", running).join(lengths, same(counts, lengths)).drop(lengths.source).drop(lengths["size"])
-             .withColumn("quota", F.greatest(F.lit(0), F.col("extra") - F.col("before")))
-             .select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("bucket").alias("p_bucket"),
-                     "source_size", "target", "passes", "quota"))
+    quota = materialize(
+        counts.withColumn("before", running).join(lengths, same(counts, lengths)).drop(lengths.source).drop(lengths["size"])
+        .withColumn("quota", F.greatest(F.lit(0), F.col("extra") - F.col("before")))
+        .select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("bucket").alias("p_bucket"),
+                "source_size", "target", "passes", "quota", ((F.col("quota") > 0) & (F.col("quota") < F.col("n"))).alias("split")),
+        "mix-quota")
+    of_bucket = (F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("bucket") == F.col("p_bucket")))
     place = F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("h", *keys))
-    return (slim.withColumn("place", place)
-            .join(quota, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
-                  & (F.col("bucket") == F.col("p_bucket")))
-            .withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("place") <= F.col("quota"), 1).otherwise(0))
-                        .otherwise(0))
-            .select(*keys, "source", "size", "source_size", "target", "copies"))
+    whole = slim.join(quota.filter("NOT split"), of_bucket).withColumn("once", F.col("quota") > 0)
+    split = slim.join(quota.filter("split"), of_bucket).withColumn("once", place <= F.col("quota"))
+    copies = F.when(F.col("size") > 0, F.col("passes") + F.col("once").cast("long")).otherwise(0)
+    return whole.unionByName(split).select(*keys, "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
