@@ -8,3 +8,4 @@ from feedlens.catalog import training_q  # noqa: F401,E402
 from feedlens.catalog import metrics_q  # noqa: F401,E402
 from feedlens.catalog import sources_q  # noqa: F401,E402
 from feedlens.catalog import extended_q  # noqa: F401,E402
+from feedlens.catalog import bertscore_q  # noqa: F401,E402
