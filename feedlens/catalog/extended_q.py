@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedlens.catalog.agreement_q import _AGREE_SQL, SQL_PAIRS
-from feedlens.catalog.metrics_q import _FEWSHOT_KNN, _FEWSHOT_RANDOM, LOG, P_NAMES, R_NAMES, SQL_ENS, SQL_PROBS, _ens, fewshot_knn, fewshot_random
+from feedlens.catalog.metrics_q import _sql_example, _FEWSHOT_KNN, _FEWSHOT_RANDOM, LOG, P_NAMES, R_NAMES, SQL_ENS, SQL_PROBS, _ens, fewshot_knn, fewshot_random
 from feedlens.catalog.registry import query, r6, sr6
 from feedlens.catalog.sources_q import MAX_TOKENS, MODEL
 from feedlens.functions import prompts as pr
+from feedlens.functions.encode import encoder_udf, hashed_bow
 from feedlens.functions.parse import parse_likert, sql_likert_scores, sql_parse_likert
 from feedlens.functions.rouge import rouge_l, sql_tokens
 from feedlens.operators import agreement as ag
+from feedlens.operators import fewshot as fs
+from feedlens.operators import index as ix
 from feedlens.operators import metrics as mt
+from feedlens.operators.similarity import block_topk
 from feedlens.plans import generate as pg
 from feedlens.rubric import LIKERT, LIKERT_MAX_SCORES, LIKERT_NAMES
 from feedlens.session import shared_dir
+from feedlens.sources.files import materialize
 from feedlens.sources.views import view
 from feedlens.streaming import generation as gen
 
@@ -114,6 +119,42 @@ def generate_knn(spark, sf):
     return _written(spark, fewshot_knn(spark, sf))
 
 
+# ---- nearest examples by encoded prompt inputs --------------------------------------------------------
+
+_SQL_ENCODED = f"""sp AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '221', 'shuffle', CAST(row_id AS VARCHAR))), row_id) - 1 AS idx,
+  count(*) OVER () AS n FROM v_expanded),
+x AS (SELECT *, CASE WHEN idx < floor(n * 0.6) THEN 'train' WHEN idx < floor(n * 0.8) THEN 'val' ELSE 'test' END AS split,
+  {pr.sql_prompt_input(False)} AS txt FROM sp),
+c AS (SELECT row_id, slot, CAST(count(*) AS DOUBLE) AS n FROM (SELECT row_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 64 AS slot
+  FROM (SELECT row_id, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS w FROM x)) GROUP BY row_id, slot),
+m AS (SELECT row_id, map(list(slot), list(n)) AS mp, sqrt(sum(n * n)) AS len FROM c GROUP BY row_id),
+u AS (SELECT m.row_id, split, list_transform(range(64), lambda i: coalesce(m.mp[i], 0.0) / m.len) AS u FROM m JOIN x ON x.row_id = m.row_id),
+sims AS (SELECT t.row_id AS target_id, p.row_id AS pool_id, round(list_dot_product(t.u, p.u), 6) AS sim
+  FROM u t JOIN u p ON p.split = 'train' AND t.row_id <> p.row_id),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY sim DESC, pool_id) AS rank FROM sims) WHERE rank <= 2)"""
+
+
+@query("fewshot_knn_encoded", ("v_expanded",), f"""WITH {_SQL_ENCODED},
+exs AS (SELECT k.target_id AS row_id, k.rank, {_sql_example('p.')} AS text FROM knn k JOIN x p ON p.row_id = k.pool_id),
+body AS (SELECT row_id, string_agg(text, '' ORDER BY rank DESC) AS b FROM exs GROUP BY row_id)
+SELECT x.row_id, x.split, {pr.sql_lit(pr.instruction(False) + chr(10) + chr(10))} || coalesce(body.b, '') || {pr.sql_prompt_input(False, 'x.')}
+  || chr(10) || 'Feedback:' AS prompt FROM x LEFT JOIN body ON body.row_id = x.row_id""")
+def fewshot_knn_encoded(spark, sf):
+    """Examples of the train split nearest to each row's own encoded prompt input (self excluded);
+    targets are the rows of all three splits."""
+    x = view(spark, sf, "v_expanded")
+    split = ix.split_by_share(x.select("row_id"), ["row_id"]).select(F.col("row_id").alias("_s"), "split")
+    vec = encoder_udf(hashed_bow, 64)(pr.prompt_input(False))
+    coded = materialize(x.select("row_id", vec.alias("vec")).join(split, F.col("row_id") == F.col("_s")).drop("_s"), "encoded")
+    targets = coded.select(F.col("row_id").alias("target_id"), "vec")
+    pool = coded.filter("split = 'train'").select(F.col("row_id").alias("pool_id"), "vec")
+    knn = block_topk(targets, pool, left_id="target_id", right_id="pool_id", k=2, exclude_self=True)
+    texts = x.select(F.col("row_id").alias("pool_id"), fs.example_texts(x).alias("text"))
+    examples = knn.join(texts, "pool_id").select(F.col("target_id").alias("row_id"), "rank", "text")
+    prompts = fs.assemble(x, examples, descending=True)
+    return prompts.join(coded.select(F.col("row_id").alias("_s"), "split"), F.col("row_id") == F.col("_s")).select("row_id", "split", "prompt")
+
+
 # ---- ROUGE-L on short texts, where an LCS in SQL ends ---------------------------------------------
 
 @query("rouge_l_short", (), f"""WITH RECURSIVE tok AS (SELECT a.p_partkey, {sql_tokens('a.p_name')} AS ta, {sql_tokens("b.p_name || ' ' || a.p_type")} AS tb
