@@ -32,11 +32,13 @@ def inner_neighbours(src: DataFrame, *, group: str = "qid", key: str = "row_id",
     return out.drop("_pos", "_n", "_tpos", "_g", "_ppos")
 
 
-def outer_permutation(src: DataFrame, *, key: str = "row_id", rounds: int = 1, seed=SEED) -> DataFrame:
+def outer_permutation(src: DataFrame, *, key: str = "row_id", rounds: int = 1, seed=SEED,
+                      exclude_equal: bool = False) -> DataFrame:
     """Rows of ``src`` plus ``alt_feedback`` from a seeded permutation, once per round (``round``).
 
     Position ``i`` in key order receives the feedback at position ``i`` of the round's seeded
-    order. Self-pairs can occur, as in the source.
+    order. Self-pairs can occur, as in the source; ``exclude_equal`` leaves out the rows that got
+    their own text.
     """
     index = ordered_index(src.select(key), [key], index_col="_i")  # positions on slim keys
     texts = src.select(F.col(key).alias("_k2"), F.col("feedback").alias("alt_feedback"))
@@ -49,7 +51,7 @@ def outer_permutation(src: DataFrame, *, key: str = "row_id", rounds: int = 1, s
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
-    return out
+    return out.filter(~F.col("feedback").eqNullSafe(F.col("alt_feedback"))) if exclude_equal else out
 
 
 def score_pairs(df: DataFrame, score_col: str = "score", *, item=("question", "distractor"),

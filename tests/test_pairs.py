@@ -38,6 +38,14 @@ def test_outer_permutation_bijection(spark):
         assert sorted(alts) == sorted(r[2] for r in rows)
 
 
+def test_outer_permutation_exclude_equal(spark):
+    src = _src(spark, [(i, 1, f"t{i % 3}") for i in range(30)] + [(30, 1, None)])
+    every = pa.outer_permutation(src).collect()
+    got = pa.outer_permutation(src, exclude_equal=True).collect()
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in every if r.feedback != r.alt_feedback)
+    assert 0 < len(got) < len(every)
+
+
 def test_score_pairs(spark):
     cols = "row_id LONG, qid LONG, question STRING, correct_answer STRING, explanation STRING, distractor STRING, " \
            "feedback STRING, incorrect DOUBLE, reveal DOUBLE, suggestions DOUBLE, misconceptions DOUBLE, positive DOUBLE"
