@@ -7,9 +7,16 @@ covariance determinant estimate is grown by concentration steps from a determini
 the next mean and covariance, until the determinant no longer falls. Rows beyond a chi-square
 bound of the final distance are rejected.
 
-* Consistency: the covariance is scaled so that the median distance is that of a chi-square with
-  as many degrees as there are statistics that vary; ``FLOORS`` is the least standard deviation
-  of each statistic, since most texts have no symbol and no repeated line at all.
+* Bound: ``QUANTILE`` of a chi-square with as many degrees as there are statistics, a stated
+  false-rejection rate of one normal row in a thousand. No label sets it.
+* Floors: most texts have no symbol and no repeated line at all, so the nearer half does not vary
+  in these shares. ``FLOORS`` squared is added to the variances; for the three shares it is set so
+  that a share of ``REACH`` reaches the bound by itself in a text that is otherwise at the mean.
+* Short texts: shares are over ``PRIOR_WORDS`` more words than the text has (one repeated line of
+  a short text is little evidence); at 50 words of which half repeat, the share is still at reach.
+* Consistency: the covariance of the nearer half is scaled so that the median distance is that of a
+  chi-square with the degrees in which the rows vary above the floors (a sum of fractions, at
+  least one). The half varies less than the whole, so the factor is never below one.
 * Small groups lean on their language: an estimate counts with its number of rows against
   ``lean`` rows of the language's own estimate, a smooth weight at every size.
 
@@ -25,7 +32,7 @@ by itself. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from math import sqrt
+from math import log1p, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -38,8 +45,6 @@ from feedlens.llm.words import _SEP, mix, sliced, text_buffers, window_hashes, w
 from feedlens.sources.files import materialize
 
 STATS = ("log_words", "log_word_chars", "log_symbols", "dup_lines", "repeats")
-# Least standard deviation of each statistic, in its transformed unit.
-FLOORS = (0.5, 0.05, 0.03, 0.06, 0.15)
 SYMBOLS = b"#*$%&|<>"
 P = len(STATS)
 _UPPER = [(i, j) for i in range(P) for j in range(i, P)]
@@ -53,6 +58,14 @@ def chi_square_bound(p: float, degrees: float) -> float:
     return degrees * (1 - c + NormalDist().inv_cdf(p) * sqrt(c)) ** 3
 
 
+QUANTILE = 0.999
+PRIOR_WORDS = 50
+# Shares that reach the bound by themselves: symbols a word, duplicate lines a word (30 % of lines of ten words), repeated words.
+REACH = (0.1, 0.03, 0.25)
+# Standard deviation added to each statistic's own, in its transformed unit.
+FLOORS = (0.1, 0.01, *[x / sqrt(chi_square_bound(QUANTILE, P)) for x in (log1p(REACH[0]), sqrt(REACH[1]), sqrt(REACH[2]))])
+
+
 def _again(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(equal to an earlier entry of the same text, equal to any other entry of it)."""
     key = mix(h, owner.astype(np.uint64))
@@ -111,8 +124,8 @@ def _statistics(text_col: str, slice_bytes: int):
 
 def _vector() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    share = lambda c: F.col(c) / n
-    return [F.log1p("n_words"), F.log(F.greatest(share("word_chars"), F.lit(1.0))), F.log1p(share("n_symbols")),
+    share = lambda c: F.col(c) / (F.col("n_words") + PRIOR_WORDS)
+    return [F.log1p("n_words"), F.log(F.greatest(F.col("word_chars") / n, F.lit(1.0))), F.log1p(share("n_symbols")),
             F.sqrt(share("n_dup_lines")), F.sqrt(share("n_repeat_words"))]
 
 
@@ -130,7 +143,7 @@ def _square(upper: np.ndarray) -> np.ndarray:
 
 
 def _floored(cov: np.ndarray) -> np.ndarray:
-    return cov + np.diag(np.maximum(0, np.square(FLOORS) - np.diag(cov)))
+    return cov + np.diag(np.square(FLOORS))
 
 
 def _row(group, mean, cov, before: float | None = None) -> dict:
@@ -207,8 +220,8 @@ def robust_estimates(rows: DataFrame, steps: int = 10, tolerance: float = 1e-3)
 
     def consistent(r: dict) -> dict:
         cov = _square(np.array(r["cov"]))
-        varying = int((np.diag(cov) > np.square(FLOORS)).sum())
-        factor = max(1.0, r["median"] / chi_square_bound(0.5, varying)) if varying else 1.0
+        varying = max(1.0, float(np.trace(np.linalg.inv(_floored(cov)) @ cov)))
+        factor = max(1.0, r["median"] / chi_square_bound(0.5, varying))
         return {"grp": r["grp"], "mean": r["mean"], "cov": [x * factor for x in r["cov"]], "n_rows": r["rows"]}
 
     def scale(batches):
@@ -225,7 +238,7 @@ def _group_name(*cols: str) -> Column:
 
 
 def rule_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                  least_words: int = 50, repeat_percent: int = 50, quantile: float = 1 - 1e-10, lean: float = 50.0,
+                  least_words: int = 50, repeat_percent: int = 50, quantile: float = QUANTILE, lean: float = 50.0,
                   slice_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: doc_id, the base statistics, base_failed, distance, kept."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -97,6 +97,33 @@ def test_rules_equal_a_brute_force_estimate(spark):
     assert 0.3 < cov[0, 0] < 2 and 0.01 < cov[1, 1] < 0.1
 
 
+def test_rules_reject_planted_outliers_that_pass_the_base_rules(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 8))) for _ in range(3000)]
+    words = lambda n: [vocabulary[i] for i in rng.integers(0, len(vocabulary), n)]
+    clean = [" ".join(words(int(n))) for n in np.exp(rng.normal(5.6, 0.6, 400)).clip(60, 2000)]
+    w, planted = words(200), words(15)
+    passage = " ".join([*w[:120], *planted * 6])  # 90 of 210 words repeat
+    lines = "\n".join(x for k in range(0, 198, 6) for x in (" ".join(w[k:k + 6]), "more"))  # 32 duplicate lines of one word
+    symbols = " ".join(x + " #" * (i % 6 == 0) for i, x in enumerate(w))  # a symbol to six words
+    docs = spark.createDataFrame(list(enumerate([*clean, passage, lines, symbols])), "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    got = {r.doc_id: r for r in outliers.rule_verdicts(docs).collect()}
+    assert [(got[i].base_failed, got[i].kept) for i in (400, 401, 402)] == [(False, False)] * 3
+    assert sum(got[i].kept for i in range(400)) >= 396
+
+
+def test_rules_hold_their_false_rejection_rate(spark):
+    """Normal rows that vary in every statistic are beyond the bound about as often as it says."""
+    rng = np.random.default_rng(3)
+    x = rng.normal([5.6, 1.6, 0.3, 0.3, 0.3], [0.85, 0.05, 0.2, 0.2, 0.2], (20_000, 5))
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"x{i} double" for i in range(5)))
+    r = outliers.robust_estimates(rows).first()
+    inverse = np.linalg.inv(outliers._floored(outliers._square(np.array(r["cov"]))))
+    d = x - np.array(r["mean"])
+    beyond = np.einsum("ij,jk,ik->i", d, inverse, d) > outliers.chi_square_bound(outliers.QUANTILE, outliers.P)
+    assert 0.0003 < beyond.mean() < 0.003
+
+
 def test_rule_edges(spark):
     good = " ".join(f"word{i}" for i in range(80))
     docs = spark.createDataFrame([(1, None, None, None), (2, "", "en", None), (3, good, None, "s"), (3, good, None, "s"), (None, good + " x", "en", "s"), (5, "a " * 100, "en", "s")],
