@@ -4,7 +4,7 @@ Method: documents are counted by exact length per source. A source's target is f
 whole passes over the source, then with the same share of every length class, and what remains
 of the budget is fitted by a bounded-knapsack dynamic program over the lengths still free. The
 program's answer is a number of documents per length; that many documents of each length are
-selected by seeded hash order.
+selected by seeded hash order. Documents of any length take part.
 
 Targets: source i weighs w_i and may give at most ``max_passes`` times its size. Sharing the
 total by weight and resharing every excess until no source is above its bound is the water
@@ -42,25 +42,41 @@ def fit_budget(lengths: np.ndarray, free: np.ndarray, budget: int, table: int =
     """How many documents of each length to take so that their sum comes closest to ``budget``
     (of two equally close sums the smaller): the longest first while more than ``table`` words
     are missing, then a bounded knapsack over every sum up to the missing words plus the longest
-    length, beyond which no better sum can lie."""
+    length, beyond which no better sum can lie. A budget above ``table`` that is not met to the
+    word that way is also fitted by the sums that documents make, and the closer answer stands."""
     take = np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
+    rest = budget
     for reserve in (table // 2, 0):  # then without a reserve, where single documents exceed it
         for i in order:
-            if budget <= table:
+            if rest <= table:
                 break
-            n = min(int(free[i] - take[i]), (budget - reserve) // int(lengths[i]))
+            n = min(int(free[i] - take[i]), (rest - reserve) // int(lengths[i]))
             if n > 0:
                 take[i] += n
-                budget -= n * int(lengths[i])
-    budget = min(budget, table)
+                rest -= n * int(lengths[i])
+    if rest <= table:
+        take += _fit_every_sum(lengths, free - take, rest)
+    else:  # every free document is longer than what is missing, so at most one of them can help
+        open_ = [i for i in order if free[i] > take[i]]
+        if open_ and int(lengths[open_[-1]]) - rest < rest:
+            take[open_[-1]] += 1
+    if budget <= table or (take * lengths).sum() == budget:
+        return take
+    total = lambda t: int((t * lengths).sum())
+    return min(take, _fit_sums(lengths, free, budget, 2 * table), key=lambda t: (abs(total(t) - budget), total(t)))
+
+
+def _fit_every_sum(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
+    """``fit_budget`` by a table of every sum."""
+    take = np.zeros(len(lengths), np.int64)
     most = budget + min(budget, int(lengths.max(initial=0)))
     reach = np.zeros(most + 1, bool)
     reach[0] = True
     by = np.full(most + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
-    for i in order:
-        length, left = int(lengths[i]), int(free[i] - take[i])
+    for i in np.argsort(-lengths, kind="stable"):
+        length, left = int(lengths[i]), int(free[i])
         left = min(left, most // length)
         copies = 1
         while left > 0 and not reach[budget]:  # 1, 2, 4, ... copies make every count up to left
@@ -85,6 +101,40 @@ def fit_budget(lengths: np.ndarray, free: np.ndarray, budget: int, table: int =
     return take
 
 
+def _fit_sums(lengths: np.ndarray, free: np.ndarray, budget: int, room: int) -> np.ndarray:
+    """``fit_budget`` by the sums that documents make: exact up to ``room`` different sums; from
+    then on a sum is added only if none lies in its ``room``-th part of twice the budget."""
+    take = np.zeros(len(lengths), np.int64)
+    most = 2 * budget  # a larger sum is further off than none at all
+    width = -(-most // room)
+    items: list[tuple[int, int]] = []
+    for i in np.argsort(-lengths, kind="stable"):
+        left, copies = min(int(free[i]), most // int(lengths[i])), 1
+        while left > 0:
+            items.append((int(i), min(copies, left)))
+            left -= copies
+            copies *= 2
+    sums, by, full = np.zeros(1, np.int64), np.full(1, -1, np.int64), False
+    for k, (i, n) in enumerate(items):
+        new = np.setdiff1d(sums + n * int(lengths[i]), sums, assume_unique=True)
+        new = new[new <= most]
+        full |= len(sums) + len(new) > room
+        if full:
+            cells, first = np.unique(new // width, return_index=True)
+            new = new[first[~np.isin(cells, sums // width)]]
+        at = np.searchsorted(sums, new)
+        sums, by = np.insert(sums, at, new), np.insert(by, at, k)
+        best = int(np.abs(sums - budget).min())
+        if not best or full and best <= width:
+            break
+    at = int(sums[np.argmin(np.abs(sums - budget))])
+    while at:
+        i, n = items[by[np.searchsorted(sums, at)]]
+        take[i] += n
+        at -= n * int(lengths[i])
+    return take
+
+
 def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float, table: int = 1 << 17):
     """(whole passes, documents of each length taken once more) for one source."""
     total, goal = int((lengths * counts).sum()), round(target)

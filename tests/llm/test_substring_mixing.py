@@ -126,6 +126,38 @@ def test_fit_budget_is_a_subset_sum():
         assert (take <= free).all() and abs((take * lengths).sum() - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_fit_budget_takes_documents_of_any_length():
+    one = lambda n, target: int(mixing.plan_source(np.array([n]), np.array([1]), target)[1][0])
+    assert [one(n, 0.75 * n) for n in (100_000, 150_000, 300_000, 3_000_000)] == [1, 1, 1, 1]
+    assert [one(n, 0.25 * n) for n in (100_000, 150_000, 300_000, 3_000_000)] == [0, 0, 0, 0]
+    assert mixing.plan_source(np.array([1_000_000]), np.array([3]), 1_600_000)[1].tolist() == [2]
+    rng = np.random.default_rng(2)
+    for top in (200_000, 400_000, 2_000_000):  # over 131,072 and over 262,144
+        for _ in range(20):
+            lengths = np.unique(rng.integers(100_000, top, 6))
+            free = rng.integers(0, 3, len(lengths))
+            budget = int(rng.integers(0, max(1, (lengths * free).sum()) + 1))
+            sums = {0}
+            for n, f in zip(lengths.tolist(), free.tolist()):
+                sums = {s + k * n for s in sums for k in range(f + 1)}
+            take = mixing.fit_budget(lengths, free, budget)
+            assert (take <= free).all() and abs((take * lengths).sum() - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_fit_budget_of_more_sums_than_room():
+    lengths = np.unique(np.random.default_rng(3).integers(140_000, 3_000_000, 60))
+    free = np.full(len(lengths), 2)
+    for budget in (10_000_001, 50_000_001):
+        take = mixing.fit_budget(lengths, free, budget)
+        assert (take <= free).all() and abs((take * lengths).sum() - budget) <= -(-budget // (1 << 17))
+
+
+def test_mix_of_a_long_document(spark):
+    docs = spark.createDataFrame([(1, "f " * 300_000, "a"), (2, "g " * 300_000, "b")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.mix_sizes(docs, weights=(3, 1), share=0.5, max_passes=2).collect()}
+    assert (rows[1].target, rows[1].taken, rows[2].taken) == (225_000, 300_000, 0)
+
+
 def test_mix_hot_length_class_is_exact(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "'one two three' as text", "'only' as source")
     rows = mixing.mix_sizes(docs).collect()
