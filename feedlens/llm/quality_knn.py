@@ -17,8 +17,8 @@ Labels, language, source and ids are never inputs of a score.
 Defined cases: a null or empty text has a zero vector, no similar neighbour, and so the label
 mean as its score; without any usable label the mean is 0.5. Rows of labels with a null id or
 null label are ignored; repeated labels of one id count by their mean. Repeated documents are
-scored each; of documents that repeat a labelled id all are fitted, within the bound. An empty
-table gives no rows. Columns ``score`` and ``predicted`` replace input columns of that name.
+scored each; of documents that repeat a labelled id the one with the smallest seeded text hash is
+fitted. An empty table gives no rows. Columns ``score`` and ``predicted`` replace input columns of that name.
 """
 
 from __future__ import annotations
@@ -130,13 +130,13 @@ def fit_votes(counts: np.ndarray, labels: np.ndarray, rank: int, k: int, power:
     return model
 
 
-def _count_batches(id_col: str, text_col: str, dims: int):
+def _count_batches(text_col: str, dims: int):
     def run(batches):
         for b in sliced(batches, text_col, 1 << 20):
             at = b.schema.get_field_index(text_col)
             label = b.column(b.schema.get_field_index("label"))
             counts = features(*text_buffers(b.column(at)), dims)
-            yield pa.RecordBatch.from_arrays([label, pa.array([np.minimum(r, 65535).astype("<u2").tobytes() for r in counts], pa.binary())],
+            yield pa.RecordBatch.from_arrays([label, pa.array([r.astype("<f4").tobytes() for r in counts], pa.binary())],
                                              ["label", "counts"])
 
     return run
@@ -144,14 +144,19 @@ def _count_batches(id_col: str, text_col: str, dims: int):
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         max_rows: int = 4096, dims: int = 2048, rank: int = 64, k: int = 16, power: float = 8.0, seed: int = 42) -> LatentVotes:
-    """Fits on at most ``max_rows`` labelled rows; only their hashed counts (4 KB each) reach the driver."""
+    """Fits on at most ``max_rows`` labelled rows; only their hashed counts (8 KB each) reach the driver."""
     usable = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
               .agg(F.avg(F.col(label_col).cast("double")).alias("label")))
     # the smallest seeded hashes; 16**3 prefix counts settle which rows the last sort has to see
     sample = sample_exact(usable, max_rows, ["_id"], seed=seed, digits=3)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    rows = chosen.mapInArrow(_count_batches("_id", "_text", dims), "label double, counts binary").limit(2 * max_rows).toArrow()
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u2").reshape(-1, dims + 1).astype(np.float32)
+    # one text per id, whatever the order of arrival: first the hash alone, then one of the equal texts
+    h = F.xxhash64(F.lit(seed), "_text")
+    least = chosen.groupBy("_id").agg(F.min(h).alias("_h"))
+    chosen = (chosen.withColumn("_h", h).join(F.broadcast(least), ["_id", "_h"]).groupBy("_id")
+              .agg(F.first("label").alias("label"), F.min("_text").alias("_text")).drop("_id"))
+    rows = chosen.mapInArrow(_count_batches("_text", dims), "label double, counts binary").toArrow()
+    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<f4").reshape(-1, dims + 1)
     y = rows.column("label").to_numpy()
     order = np.lexsort((counts.sum(1), y)) if len(y) else np.zeros(0, np.int64)  # row order must not matter
     return fit_votes(counts[order], y[order], rank, k, power, seed)

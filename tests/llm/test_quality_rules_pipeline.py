@@ -39,6 +39,22 @@ def test_quality_edges(spark):
     assert quality_knn.classify(docs.limit(0), quality_knn.fit(docs, labels)).collect() == []
 
 
+def test_quality_fits_one_text_of_each_labelled_id(spark):
+    texts = [(i, f"text {i} " + "ab " * i) for i in range(10)]
+    docs = spark.createDataFrame([*[(0, f"copy {k % 3}") for k in range(60)], *texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    fits = [quality_knn.fit(d, labels, max_rows=10) for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy(F.desc("text")))]
+    assert all(len(m.labels) == 10 and m.labels.sum() == 5 for m in fits)
+    assert all(np.array_equal(fits[0].vectors, m.vectors) for m in fits[1:])
+
+
+def test_quality_counts_are_not_clipped(spark):
+    docs = spark.createDataFrame([(1, "q" * 200_000), (2, "r s")], "doc_id long, text string")
+    m = quality_knn.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    long = quality_knn.features(*text_buffers(pa.array(["q" * 200_000], pa.string())), len(m.weights))
+    assert np.abs(m.vectors - m.project(long)).sum(1).min() < 1e-5
+
+
 def test_blocked_votes_are_exact():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((500, 8)).astype(np.float32)
