@@ -27,7 +27,7 @@ def unit(vec) -> Column:
     return F.transform(v, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm))
 
 
-def _block_fn(left_id, right_id, gcols, k, exclude_self, digits):
+def _block_fn(left_id, right_id, gcols, k, exclude_self, self_sim_zero, digits):
     def fn(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         cols = [*gcols, left_id, right_id, "sim"]
         if lp.empty or rp.empty:
@@ -39,6 +39,8 @@ def _block_fn(left_id, right_id, gcols, k, exclude_self, digits):
         rid = rp[right_id].to_numpy()
         if exclude_self:
             s[lid[:, None] == rid[None, :]] = -np.inf
+        elif self_sim_zero:
+            s[lid[:, None] == rid[None, :]] = 0.0
         kk = min(k, s.shape[1])
         # threshold = kth largest per row; keep everything at or above it, then order exactly
         thresh = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
@@ -60,11 +62,14 @@ def _block_fn(left_id, right_id, gcols, k, exclude_self, digits):
 
 
 def block_topk(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, vec: str = "vec", k: int = 2,
-               group_cols=(), exclude_self: bool = False, block_rows: int = 4096, digits: int = 6) -> DataFrame:
+               group_cols=(), exclude_self: bool = False, self_sim_zero: bool = False, block_rows: int = 4096, digits: int = 6) -> DataFrame:
     """Top-``k`` right rows per left row by cosine similarity (within ``group_cols``).
 
     Returns ``(*group_cols, left_id, right_id, sim, rank)`` with rank 1 = most similar.
+    ``self_sim_zero`` keeps a row as its own candidate with similarity 0, as the reference does.
     """
+    if exclude_self and self_sim_zero:
+        raise ValueError("exclude_self and self_sim_zero exclude each other")
     g = list(group_cols)
     # fresh aliases: both sides may come from one table (self-similarity)
     lv = left.select(*[F.col(c).alias(c) for c in g], F.col(left_id).alias(left_id), unit(vec).alias("_v"))
@@ -87,6 +92,6 @@ def block_topk(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
                                             T.StructField("sim", T.DoubleType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
     part = lrep.groupBy(*g, "_lb", "_rb").cogroup(rrep.groupBy(*g, "_lb", "_rb")).applyInPandas(
-        _block_fn(left_id, right_id, g, k, exclude_self, digits), schema)
+        _block_fn(left_id, right_id, g, k, exclude_self, self_sim_zero, digits), schema)
     w = Window.partitionBy(*g, left_id).orderBy(F.col("sim").desc(), F.col(right_id).asc())
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -36,6 +36,17 @@ def test_block_topk_brute_force(spark, block_rows, exclude):
     assert res == _brute(vecs, vecs, 3, exclude)
 
 
+@pytest.mark.parametrize("block_rows", [1, 1000])
+def test_self_similarity_of_zero(spark, block_rows):
+    vecs = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0])]
+    t = spark.createDataFrame(vecs, "target_id LONG, vec ARRAY<DOUBLE>")
+    p = spark.createDataFrame(vecs, "pool_id LONG, vec ARRAY<DOUBLE>")
+    got = block_topk(t, p, left_id="target_id", right_id="pool_id", k=2, self_sim_zero=True, block_rows=block_rows).collect()
+    # 1 and 3 point apart: row 3 has no positive neighbour and takes itself first
+    assert {(r.target_id, r["rank"]): (r.pool_id, r.sim) for r in got} == {
+        (1, 1): (2, 0.707107), (1, 2): (1, 0.0), (2, 1): (1, 0.707107), (2, 2): (2, 0.0), (3, 1): (3, 0.0), (3, 2): (2, -0.707107)}
+
+
 def test_pool_smaller_than_k(spark):
     t = spark.createDataFrame([(1, [1.0, 0.0])], "target_id LONG, vec ARRAY<DOUBLE>")
     p = spark.createDataFrame([(7, [1.0, 1.0])], "pool_id LONG, vec ARRAY<DOUBLE>")
