@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, mixing, outliers, packing, quality_knn, sharding, simhash, substring_cover, topk, warc
+from feedlens.llm import chat, mixing, outliers, packing, periodic, quality_knn, sharding, simhash, substring_cover, topk, warc
 
 SHARD_BYTES = 1 << 20
 
@@ -158,8 +158,19 @@ def op10_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_periodic_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.find_runs(docs)
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.back")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.short")).alias("period"), F.expr("(1000 * top.length) div (-top.short)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_votes, op2_repeated_passages, op3_chat_format, op4_extendible_shards, op5_simhash, op6_topk_search,
-    op7_weighted_mix, op8_rule_outliers, op9_warc_pages, op10_harmonic_pack)}
+    op7_weighted_mix, op8_rule_outliers, op9_warc_pages, op10_harmonic_pack, op13_periodic_runs)}
 ORACLE: dict[str, str] = {"op2_repeated_passages": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_extendible_shards": OP4_SQL,
                           "op6_topk_search": OP6_SQL, "op9_warc_pages": OP9_SQL}
