@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, mixing, outliers, packing, periodic, quality_knn, sharding, simhash, substring_cover, topk, warc
+from feedlens.llm import chat, mixing, outliers, packing, periodic, quality_knn, sharding, simhash, substring_cover, topk, turn_repair, warc
 
 SHARD_BYTES = 1 << 20
 
@@ -158,6 +158,75 @@ def op10_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damaged(_table(spark, sf_dir, "conversations"))
+    edits = turn_repair.repair_turns(rows, absent=F.col("absent"))
+    return turn_repair.conversation_digests(edits).withColumnRenamed("conv", "conv_id")
+
+
+def _op12_sql() -> str:
+    """The same edits as a recursive table over the rows' positions: per conversation and state
+    (0 nothing, 1 system, 2 user, 3 assistant) the least (cost, letters, text) so far."""
+    def step(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        said = f" || chr(10) || {line}" if line else ""
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t{said}}}"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def when(test: str, option: str) -> str:
+        return f"CASE WHEN {test} THEN {option} END"
+
+    own, before_u = "o.role || ':' || o.text", ("s0", "s1", "s3")
+    n0 = step("s0", "3", "D")
+    n1 = least(step("s1", "3", "D"), when("NOT o.must AND o.was = 's'", step("s0", "o.cut", "K", own)))
+    n2 = least(step("s2", "3", "D"), *[when("NOT o.must AND o.was = 'u'", step(s, "o.cut", "K", own)) for s in before_u],
+               *[when("NOT o.must", step(s, "2 + o.cut", "R", "'user:' || o.text")) for s in before_u])
+    n3 = least(step("s3", "3", "D"), when("NOT o.must AND o.was = 'a'", step("s2", "o.cut", "K", own)),
+               when("NOT o.must", step("s2", "2 + o.cut", "R", "'assistant:' || o.text")))
+    m2 = least("s2", *[step(s, "2", "I", "'user:'") for s in before_u])
+    m3 = least("s3", step("s2", "2", "I", "'assistant:'"))
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    none = "{'c': 1000000, 'a': '', 't': ''}"
+    return rf"""
+WITH RECURSIVE base AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+act AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                        lambda c, b: {byte}), 4294967295) % 20 AS act FROM base),
+hurt AS (SELECT conv_id, turn, CASE WHEN act = 4 THEN 'user' ELSE role END AS role,
+                CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE WHEN act = 3 THEN 2 ELSE 1 END)) AS copy FROM act WHERE act <> 0),
+sorted AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                  regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM hurt),
+nth AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
+               left(role, 1) AS was, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM sorted),
+o AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             fault IN ('blank', 'duplicate') AS must, CAST(fault = 'truncated' AS INTEGER) AS cut FROM nth),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 't': ''}} AS s0, {none} AS s1,
+         {{'c': 2, 'a': 'I', 't': chr(10) || 'user:'}} AS s2, {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3
+  FROM (SELECT DISTINCT conv_id FROM o)
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, {m3} AS s3 FROM (
+    SELECT conv_id, i, s0, s1, {m2} AS s2, s3 FROM (
+      SELECT w.conv_id, o.i, {n0} AS s0, {n1} AS s1, {n2} AS s2, {n3} AS s3
+      FROM walk w JOIN o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i + 1))),
+done AS (SELECT conv_id, {least("s0", "s3")} AS r FROM walk
+         WHERE i = (SELECT max(i) FROM o WHERE o.conv_id IS NOT DISTINCT FROM walk.conv_id)),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                 count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (prior IS NOT NULL AND prior || was NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(r.c, 0) AS BIGINT) AS cost,
+       coalesce(r.a, '') AS audit, sha256(coalesce(substr(r.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_periodic_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = periodic.find_runs(docs)
@@ -171,6 +240,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_votes, op2_repeated_passages, op3_chat_format, op4_extendible_shards, op5_simhash, op6_topk_search,
-    op7_weighted_mix, op8_rule_outliers, op9_warc_pages, op10_harmonic_pack, op13_periodic_runs)}
+    op7_weighted_mix, op8_rule_outliers, op9_warc_pages, op10_harmonic_pack, op12_turn_repair, op13_periodic_runs)}
 ORACLE: dict[str, str] = {"op2_repeated_passages": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_extendible_shards": OP4_SQL,
-                          "op6_topk_search": OP6_SQL, "op9_warc_pages": OP9_SQL}
+                          "op6_topk_search": OP6_SQL, "op9_warc_pages": OP9_SQL, "op12_turn_repair": OP12_SQL}
