@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, mixing, outliers, packing, periodic, quality_knn, sharding, simhash, substring_cover, topk, turn_repair, warc
+from feedlens.llm import chat, mixing, outliers, ownership, packing, periodic, quality_knn, sharding, simhash, substring_cover, topk, turn_repair, warc
 
 SHARD_BYTES = 1 << 20
 
@@ -158,6 +158,54 @@ def op10_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a source is the owner, its documents of one language are a repository
+    docs = ownership.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def count(test):
+        return F.size(F.filter("spans", test)).cast("long")
+
+    def of_kind(k):
+        return count(lambda s: s["kind"] == k)
+
+    return docs.select(
+        "doc_id", *[of_kind(k).alias(f"n_{name}") for k, name in enumerate(ownership.KINDS[:3])],
+        F.sha2(ownership.span_text(base), 256).alias("base_sha256"), ownership.span_text(F.col("spans")).alias("spans"),
+        count(lambda s: s["live"]).alias("n_live"), count(lambda s: s["owners"] > 1).alias("n_copied"))
+
+
+def _op11_sql() -> str:
+    name = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+    patterns = [rf"""({name})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "()(AKIA[A-Z0-9]+)", "()([0-9a-f]{24,})", "()([A-Za-z0-9+/_=-]{20,})"]
+    found = " UNION ALL ".join(f"""
+    SELECT r, {kind} AS kind, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', 2) AS vals
+    FROM d WHERE regexp_matches(t, '{p}')""" for kind, p in enumerate(patterns))
+    name_of = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END || ':' || a || ':' || b"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS n FROM m),
+p AS (SELECT r, kind, vals[n] AS val, length(hits[n]) AS chars, CAST(list_sum(list_transform(gaps[1:n], lambda x: length(x))) AS BIGINT)
+             + CAST(coalesce(list_sum(list_transform(hits[1:n - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e),
+f AS (SELECT *, a + chars AS b FROM p WHERE length(val) >= CASE kind WHEN 0 THEN 6 WHEN 1 THEN 20 WHEN 2 THEN 24 ELSE 0 END),
+owners AS (SELECT val, count(DISTINCT coalesce('+' || source, '-')) AS owners FROM f JOIN d ON d.r = f.r GROUP BY val),
+live AS (SELECT f.*, owners, owners <= 1 AND NOT regexp_matches(f.val, '(?i)example|sample|dummy|placeholder|changeme|xxxx|your_|1234567|abcdef')
+                AND len(regexp_extract_all(f.val, '[A-Za-z][0-9]|[0-9][A-Za-z]')) >= 4 AND len(list_distinct(string_split(f.val, ''))) >= 10 AS live
+         FROM f JOIN owners ON owners.val = f.val),
+kept AS (SELECT * FROM live x WHERE kind < 3 OR live AND NOT EXISTS (SELECT 1 FROM f y WHERE y.r = x.r AND y.kind < 3 AND y.a < x.b AND x.a < y.b)),
+s AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             string_agg({name_of}, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg({name_of}, ',' ORDER BY a, kind) AS spans,
+             count(*) FILTER (live) AS n_live, count(*) FILTER (owners > 1) AS n_copied FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN s ON s.r = d.r
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turn_repair.damaged(_table(spark, sf_dir, "conversations"))
     edits = turn_repair.repair_turns(rows, absent=F.col("absent"))
@@ -197,7 +245,9 @@ hurt AS (SELECT conv_id, turn, CASE WHEN act = 4 THEN 'user' ELSE role END AS ro
                 CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
                 unnest(range(CASE WHEN act = 3 THEN 2 ELSE 1 END)) AS copy FROM act WHERE act <> 0),
 sorted AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
-                  regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM hurt),
+                  regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last FROM hurt),
 nth AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
                left(role, 1) AS was, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM sorted),
 o AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
@@ -240,6 +290,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_votes, op2_repeated_passages, op3_chat_format, op4_extendible_shards, op5_simhash, op6_topk_search,
-    op7_weighted_mix, op8_rule_outliers, op9_warc_pages, op10_harmonic_pack, op12_turn_repair, op13_periodic_runs)}
+    op7_weighted_mix, op8_rule_outliers, op9_warc_pages, op10_harmonic_pack, op11_secret_ownership, op12_turn_repair, op13_periodic_runs)}
 ORACLE: dict[str, str] = {"op2_repeated_passages": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_extendible_shards": OP4_SQL,
-                          "op6_topk_search": OP6_SQL, "op9_warc_pages": OP9_SQL, "op12_turn_repair": OP12_SQL}
+                          "op6_topk_search": OP6_SQL, "op9_warc_pages": OP9_SQL, "op11_secret_ownership": OP11_SQL,
+                          "op12_turn_repair": OP12_SQL}
