@@ -30,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlens.llm.hot import join_counted
 from feedlens.sources.files import materialize
 
 # fixed values: the three base patterns, their kinds in order and their least lengths
@@ -82,15 +83,6 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("spots").alias("spots"), F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
-def _with_owners(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """Joins the counts to all matches; hot hashes, at most 1,024, by broadcast."""
-    hot = counts.filter(F.col("spots") * 1024 >= counts.agg(F.sum("spots")).scalar()).select("hash", F.col("owners").alias("hot"), F.col("repositories").alias("hot_repositories"))
-    marked = found.join(F.broadcast(hot), "hash", "left")
-    cold = marked.filter("hot IS NULL").join(counts.select("hash", "owners", "repositories"), "hash")
-    warm = marked.filter("hot IS NOT NULL").withColumns({"owners": F.col("hot"), "repositories": F.col("hot_repositories")})
-    return warm.unionByName(cold).drop("hot", "hot_repositories")
-
-
 def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner: Column | None = None,
                  repository: Column | None = None, max_owners: int = 1) -> DataFrame:
     """One row per document: the id, and spans, an array of (start, kind, end, owners,
@@ -101,7 +93,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     slim, found = matches(named, "text", F.col("owner"), F.col("repository"))
     found = materialize(found, "secrets-found")
     counts = materialize(ownership(found), "secrets-owners")
-    spans = _with_owners(found, counts).withColumn("live", (F.col("owners") <= max_owners) & looks_live(F.col("value")))
+    spans = join_counted(found, counts, ["hash"], "spots").withColumn("live", (F.col("owners") <= max_owners) & looks_live(F.col("value")))
     spans = spans.filter("kind < 3 OR live").withColumn("base_end", F.when(F.col("kind") < 3, F.col("end"))).withColumn(
         "base_start", F.when(F.col("kind") < 3, F.col("start")))
     ahead = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)

@@ -170,3 +170,48 @@ def test_mix_repeats_take_rows_as_often(spark):
     assert set(times.values()) <= {1, 2} and len(times) > 100
     assert hashlib.md5(str(sorted(times.items())).encode()).hexdigest() == hashlib.md5(
         str(sorted(Counter(r.doc_id for r in mixing.mix(docs).collect()).items())).encode()).hexdigest()
+
+
+def test_plan_takes_every_length_at_the_wanted_share():
+    rng = np.random.default_rng(5)
+    for n, per, share in ((5200, 3, 0.3), (900, 1, 0.758), (400, 40, 0.635), (60, 900, 0.02)):
+        lengths = np.sort(rng.choice(np.arange(1, 20_000), n, replace=False))
+        counts = np.full(n, per)
+        total = int((lengths * counts).sum())
+        for seed in range(4):
+            passes, take = mixing.plan_source(lengths, counts, share * total, seed=seed)
+            assert passes == 0 and (take >= 0).all() and (take <= counts).all()
+            assert (take * lengths).sum() == round(share * total)
+            for part in np.array_split(np.arange(n), 5):
+                assert abs(take[part].sum() / counts[part].sum() - share) < 0.05 * max(share, 0.2)
+
+
+def test_mix_takes_every_fifth_of_lengths_alike(spark):
+    """Every source of sf0.1, by fifths of document length: the wanted share within 0.05."""
+    rows = mixing.mix_sizes(spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    for docs in by.values():
+        passes, rest = divmod(round(docs[0].target), docs[0].source_size)
+        assert abs(sum(r.taken for r in docs) - round(docs[0].target)) <= min(r["size"] for r in docs if r["size"])
+        docs = sorted((r for r in docs if r["size"]), key=lambda r: r["size"])
+        for part in np.array_split(np.arange(len(docs)), 5):
+            took = sum(docs[i].copies - passes for i in part) / len(part)
+            assert abs(took - rest / docs[0].source_size) < 0.05
+
+
+def test_mix_of_identical_rows(spark):
+    """A third of all rows are one document; no window or join key holds them all."""
+    docs = spark.range(9000).selectExpr("if(id % 3 = 0, -1, id) as doc_id", "if(id % 3 = 0, 'one two three', concat('w x y ', id)) as text",
+                                        "if(id % 3 < 2, 'a', 'b') as source")
+    rows = mixing.mix_sizes(docs, weights=(1, 4), share=0.5).collect()
+    for s in "ab":
+        mine = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) < 3
+    a = [r for r in rows if r.source == "a"]
+    same, other = [r.copies for r in a if r.doc_id == -1], [r.copies for r in a if r.doc_id != -1]
+    assert len(same) == len(other) == 3000 and 0 < sum(same) < 3000
+    again = mixing.mix_sizes(docs.repartition(5), weights=(1, 4), share=0.5).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    assert len(mixing.mix(docs, weights=(1, 4), share=0.5).collect()) == sum(r.copies for r in rows)
