@@ -37,12 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; texts that lose nothing stay as they are, texts
-    that lose every word go."""
-    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"))
-    cut = substring_cover.remove_repeats(marked).filter("n_removed = 0 OR n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("doc.text"))
-    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("doc.n_chars"))}
+    """Texts without their repeated passages; texts that lose nothing stay as they are, those that
+    lose every word stay as empty texts. The operator's chunks carry each text once."""
+    marked = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text")
+    cut = substring_cover.remove_repeats(marked)
+    lost = F.col("n_removed") > 0
+    changed = {"text": F.when(lost, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(lost, F.length("kept_text")).otherwise(F.col("doc.n_chars"))
     return cut.select(*[(changed[f.name] if f.name in changed else F.col("doc").getField(f.name)).cast(f.dataType).alias(f.name)
                         for f in docs.schema])
 
