@@ -118,18 +118,26 @@ def seeded_shuffle(spark, sf):
 
 
 SAMPLE_SIZES = {"train": 10_000, "val": 1000, "test": 1000}
+_STAND_IN = {m: f"'{m} feedback ' || substr(md5(concat_ws(':', '{m}', CAST(row_id AS STRING))), 1, 8)" for m in METHODS if m != "gold"}
+_SQL_COMPILED = (SQL_EXPANDED_SPLITS + ", cs AS (" + " UNION ALL ".join(
+    f"SELECT row_id AS src_row_id, qid, question, correct_answer, explanation, distractor, {e} AS feedback, '{m}' AS method, split FROM ex"
+    for m, e in {**_STAND_IN, "gold": "feedback"}.items()) + ")")
 
 
-@query("sample_exact", MCQ, SQL_EXPANDED_SPLITS + " SELECT row_id, split FROM (SELECT row_id, split, row_number() OVER "
-       "(PARTITION BY split ORDER BY md5(concat_ws(':', '221', 'sample', CAST(row_id AS VARCHAR))), row_id) AS rn "
-       "FROM ex) WHERE rn <= CASE split WHEN 'train' THEN 10000 ELSE 1000 END")
+def compiled_splits(spark, sf):
+    """The compiled method table of all three splits over stand-in generated feedback, written once."""
+    from feedlens.sources.files import materialize
+    ex = expanded_table(spark, sf).withColumn("src_row_id", F.col("row_id"))
+    generated = {m: ex.withColumn("generated_feedback", F.expr(e)) for m, e in _STAND_IN.items()}
+    return materialize(cp.compile_single(generated, extra=("split",)), "compiled", partition_by=["split"])
+
+
+@query("sample_exact", MCQ, _SQL_COMPILED + " SELECT src_row_id, qid, question, correct_answer, explanation, distractor, feedback, method, split "
+       "FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws(':', '221', 'sample', CAST(src_row_id AS VARCHAR), method)), "
+       "src_row_id, method) AS rn FROM cs) WHERE rn <= CASE split WHEN 'train' THEN 10000 ELSE 1000 END")
 def sample_exact(spark, sf):
-    ex = expanded_table(spark, sf).select("row_id", "split")
-    parts = [ix.sample_exact(ex.filter(F.col("split") == s), n, ["row_id"], strict=True) for s, n in SAMPLE_SIZES.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The training subsets: rows of the compiled method table, an exact number of every split."""
+    return ix.stratified_sample(compiled_splits(spark, sf), SAMPLE_SIZES, "split", ["src_row_id", "method"], strict=True)
 
 
 @query("prefix_limit", ("v_annotated_a",), "SELECT row_id, method FROM v_annotated_a ORDER BY row_id LIMIT 250")
@@ -174,12 +182,12 @@ def compile_single(spark, sf):
 
 _ORD = "CASE method " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(METHODS)) + " END"
 _SQL_H2H = (_SQL_GEN_SINGLE + f""",
-co AS (SELECT *, {_ORD} AS ord FROM cs),
-it AS (SELECT src_row_id, qid, question, correct_answer, explanation, distractor FROM cs WHERE method = '{METHODS[0]}'),
+co AS (SELECT *, {_ORD} AS ord, row_number() OVER (PARTITION BY src_row_id, method ORDER BY coalesce(md5(feedback), ''), feedback) AS nth FROM cs),
+it AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_row_id, nth ORDER BY ord) AS first FROM co) WHERE first = 1),
 mu AS (SELECT it.src_row_id, it.qid, it.question, it.correct_answer, it.explanation, it.distractor,
   a.method AS mi, a.feedback AS fi, b.method AS mj, b.feedback AS fj,
   substr(md5(concat_ws(':', '221', 'h2h', CAST(a.src_row_id AS VARCHAR), CAST(a.ord AS VARCHAR), CAST(b.ord AS VARCHAR))), 1, 1) < '8' AS swap
-  FROM co a JOIN co b ON a.src_row_id = b.src_row_id AND a.ord < b.ord JOIN it ON it.src_row_id = a.src_row_id),
+  FROM co a JOIN co b ON a.src_row_id = b.src_row_id AND a.nth = b.nth AND a.ord < b.ord JOIN it ON it.src_row_id = a.src_row_id AND it.nth = a.nth),
 h AS (SELECT src_row_id, qid, question, correct_answer, explanation, distractor,
   CASE WHEN swap THEN fj ELSE fi END AS feedback_1, CASE WHEN swap THEN fi ELSE fj END AS feedback_2,
   CASE WHEN swap THEN mj ELSE mi END AS method_1, CASE WHEN swap THEN mi ELSE mj END AS method_2 FROM mu)""")

@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.functions.hashing import seeded_hash
+from feedlens.operators import index as ix
 from feedlens.rubric import METHODS, SEED
 
 ITEM = ("src_row_id", "qid", "question", "correct_answer", "explanation", "distractor")
 
 
-def compile_single(generated: dict[str, DataFrame], gold_from: str | None = None) -> DataFrame:
+def compile_single(generated: dict[str, DataFrame], gold_from: str | None = None, extra=()) -> DataFrame:
     """Union of every method's generated feedback plus the original feedback as method ``gold``.
 
     ``generated`` maps method -> table with ``ITEM`` columns, ``feedback`` (original) and
     ``generated_feedback``. The gold rows copy the first method's table, as the source does.
+    ``extra``: further columns to keep (the split, say).
     """
     names = list(generated)
-    parts = [generated[m].select(*ITEM, F.col("generated_feedback").alias("feedback"), F.lit(m).alias("method"))
+    parts = [generated[m].select(*ITEM, F.col("generated_feedback").alias("feedback"), F.lit(m).alias("method"), *extra)
              for m in names]
-    gold = generated[gold_from or names[0]].select(*ITEM, "feedback", F.lit("gold").alias("method"))
+    gold = generated[gold_from or names[0]].select(*ITEM, "feedback", F.lit("gold").alias("method"), *extra)
     out = parts[0]
     for p in parts[1:] + [gold]:
         out = out.unionByName(p)
@@ -30,34 +30,30 @@ def compile_single(generated: dict[str, DataFrame], gold_from: str | None = None
 
 
 def compile_h2h(single: DataFrame, methods=tuple(METHODS), *, seed=SEED, last_only: bool = False) -> DataFrame:
-    """All C(m, 2) matchups of methods per item, presentation order flipped by a seeded coin.
+    """All matchups of the methods that an item has, presentation order flipped by a seeded coin.
 
-    Each item is pivoted to one row (one shuffle on the item key; at most one row per method
-    per item), then a fixed list of method pairs is unfolded: output is linear in the input.
-    ``last_only`` keeps only the final matchup, reproducing the source's literal output.
+    A method's repeated rows of one item are numbered in the order of their feedback's hash, and
+    the n-th row of a method meets the n-th rows of the others; no item and no row is left out
+    but rows of other ``methods``. Item fields come from the row of the first method present.
+    One row per (item, n) holds the methods present, in order, and is unfolded into its pairs, so
+    the output is linear in the input. ``last_only`` keeps only an item's last matchup,
+    reproducing the source's literal output.
     """
-    methods = list(methods)
-    is_first = F.col("method") == F.lit(methods[0])
-    # a manual pivot: one row per item, one feedback column per method; item fields are
-    # taken from the first method's row, as the source lines every table up with it
-    wide = single.groupBy("src_row_id").agg(
-        F.max(F.when(is_first, F.struct(*[F.col(c) for c in ITEM[1:]]))).alias("_item"),
-        *[F.max(F.when(F.col("method") == F.lit(m), F.col("feedback"))).alias(m) for m in methods])
-    wide = wide.filter(F.col("_item").isNotNull()).select("src_row_id", "_item.*", *methods)
-    pairs = list(combinations(range(len(methods)), 2))
+    place = F.create_map(*[F.lit(x) for i, m in enumerate(methods) for x in (m, i)])
+    rows = single.withColumn("_i", place[F.col("method")]).filter("_i IS NOT NULL").withColumn("_h", F.coalesce(F.md5("feedback"), F.lit("")))
+    rows = ix.hash_positions(rows, ["src_row_id", "_i"], "_h", ["feedback"], pos_col="_nth", size_col=None)
+    held = F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), "method", "feedback")))
+    items = rows.groupBy("src_row_id", "_nth").agg(
+        F.min_by(F.struct(*[F.col(c) for c in ITEM[1:]]), "_i").alias("_item"), held.alias("_held"))
+    pairs = F.flatten(F.transform("_held", lambda a, at: F.transform(
+        F.slice("_held", at + 2, F.size("_held")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     if last_only:
-        pairs = pairs[-1:]
-    entries = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(methods[i]).alias("mi"),
-                        F.col(f"`{methods[i]}`").alias("fi"), F.lit(methods[j]).alias("mj"),
-                        F.col(f"`{methods[j]}`").alias("fj")) for i, j in pairs]
-    m = wide.select(*ITEM, F.inline(F.array(*entries)))
-    m = m.filter(F.col("fi").isNotNull() & F.col("fj").isNotNull())
-    swap = F.substring(seeded_hash(seed, F.lit("h2h"), "src_row_id", "i", "j"), 1, 1) < F.lit("8")
-    return m.select(*ITEM,
-                    F.when(swap, F.col("fj")).otherwise(F.col("fi")).alias("feedback_1"),
-                    F.when(swap, F.col("fi")).otherwise(F.col("fj")).alias("feedback_2"),
-                    F.when(swap, F.col("mj")).otherwise(F.col("mi")).alias("method_1"),
-                    F.when(swap, F.col("mi")).otherwise(F.col("mj")).alias("method_2"))
+        pairs = F.slice(pairs, F.greatest(F.size(pairs), F.lit(1)), 1)
+    m = items.select("src_row_id", "_item.*", F.explode(pairs).alias("p"))
+    swap = F.substring(seeded_hash(seed, F.lit("h2h"), "src_row_id", "p.a.i", "p.b.i"), 1, 1) < F.lit("8")
+    first, second = F.when(swap, F.col("p.b")).otherwise(F.col("p.a")), F.when(swap, F.col("p.a")).otherwise(F.col("p.b"))
+    return m.select(*ITEM, first["feedback"].alias("feedback_1"), second["feedback"].alias("feedback_2"),
+                    first["method"].alias("method_1"), second["method"].alias("method_2"))
 
 
 def win_rates(h2h: DataFrame, label_col: str = "label") -> DataFrame:

@@ -168,6 +168,35 @@ def sample_exact(df: DataFrame, n: int, key_cols, *, seed=SEED, digits: int = 5,
     return keep.orderBy("_h", *keys).limit(n).drop("_h", "_sb")
 
 
+def stratified_sample(df: DataFrame, sizes: dict[str, int], split_col: str, key_cols, *, seed=SEED, digits: int = 5,
+                      strict: bool = False) -> DataFrame:
+    """Exactly ``sizes[s]`` rows of every split ``s`` without replacement: the smallest seeded hashes.
+
+    One histogram over (split, hash prefix) gives one threshold per split, so at most one row per
+    name in ``sizes``, which is broadcast. One pass keeps the rows at or below their split's
+    threshold (about ``n + rows / 16**digits`` of a split), and their order decides the last ones.
+    ``key_cols`` name a row; rows of other splits are left out. A split with fewer rows is
+    returned whole, or fails the job with ``strict``.
+    """
+    keys = list(key_cols)
+    wanted = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, n)])
+    h = (df.filter(F.col(split_col).isin(*sizes)).withColumn("_h", seeded_hash(seed, F.lit("sample"), *keys))
+         .withColumn("_sb", F.substring(F.col("_h"), 1, digits)))
+    counts = h.groupBy(split_col, "_sb").agg(F.count(F.lit(1)).alias("_c"))  # at most 16**digits rows a split
+    running = F.sum("_c").over(Window.partitionBy(split_col).orderBy("_sb").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cuts = (counts.withColumn("_cum", running).groupBy(F.col(split_col).alias("_s"))
+            .agg(F.min(F.when(F.col("_cum") >= wanted[F.col(split_col)], F.col("_sb"))).alias("_cut"), F.max("_cum").alias("_n")))
+    if strict:
+        held = cuts.agg(F.map_from_entries(F.collect_list(F.struct("_s", "_n"))).alias("held"))
+        lacks = [F.when(F.coalesce(F.col("held")[s], F.lit(0)) < n, F.raise_error(F.lit(f"stratified_sample: fewer than {n} rows of {s}")).cast("boolean"))
+                 .otherwise(F.lit(True)) for s, n in sizes.items()]
+        cuts = cuts.filter(held.select(F.array_min(F.array(*lacks))).scalar())
+    kept = h.join(F.broadcast(cuts.drop("_n")), F.col(split_col) == F.col("_s")).filter("_cut IS NULL OR _sb <= _cut")
+    rank = F.row_number().over(Window.partitionBy(split_col).orderBy("_h", *keys))
+    return (kept.withColumn("_rank", rank).filter(F.col("_rank") <= max(sizes.values())).filter(F.col("_rank") <= wanted[F.col(split_col)])
+            .drop("_h", "_sb", "_s", "_cut", "_rank"))
+
+
 def batch_ids(df: DataFrame, batch_size: int, order_by, *, batch_col: str = "batch_id") -> DataFrame:
     """Fixed-size batches in ``order_by`` order: ``floor(idx / batch_size)``."""
     out = ordered_index(df, order_by, index_col="_idx")
