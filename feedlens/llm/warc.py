@@ -6,15 +6,18 @@ Filters on record_type, target_uri, record_id and the other header columns are p
 reader: it inflates a record's header block first, tests the header predicates, and skips the
 payload of every record that fails them, or of all records when the schema asks for no column
 made from payloads. Every record is a gzip member of its own that carries its compressed length
-in a header field, so a skipped payload is not even inflated; archives by other writers lack the
-field, and their members are inflated up to their end but not kept.
+in a header field, so a skipped payload is not even inflated. Archives by other writers lack the
+field: their members are inflated in order, with any number of records in a member, and skipped
+payloads are not kept. A file that doesn't start as gzip is read as plain records. In records of
+type application/http the payload starts behind the HTTP head, which is read for its length; the
+body is given as it was sent (chunked or compressed bodies stay so).
 
 Writers put records into files of their own, named by a random id, and report them in their
 commit message; only files named in the manifest of a committed write are read, so files of lost
 or repeated task attempts don't count. Paths go through ``pyarrow.fs``.
 
 Defined cases: a null payload is empty. Null page ids are written without the header and read
-back as null. Of records with equal payloads of at least ``least_bytes`` bytes, exactly one is
+back as null. A file that ends inside a record is an error. Of records with equal payloads of at least ``least_bytes`` bytes, exactly one is
 the response, that with the largest page id (a null id is the smallest; among rows that repeat
 the id, one of them). An empty table writes an archive without records.
 """
@@ -93,7 +96,8 @@ def header_columns(block: bytes) -> dict:
         from urllib.parse import unquote
 
         uri = unquote(uri)
-    return {"record_type": named.get("warc-type"), "record_id": named.get("warc-record-id"), "target_uri": uri,
+    http = named.get("content-type", "").lower().startswith("application/http")
+    return {"http": http, "record_type": named.get("warc-type"), "record_id": named.get("warc-record-id"), "target_uri": uri,
             "page_id": number("x-page-id"), "refers_to": number("x-refers-to-page-id"), "length": length,
             "payload_bytes": number("x-payload-length") if "x-payload-length" in named else length,
             "payload_digest": base64.b32decode(digest[5:]).hex() if digest[:5].lower() == "sha1:" else None}
@@ -111,25 +115,107 @@ def passes(tests: list, columns: dict) -> bool:
     return True
 
 
+def _inflated(stream, at: int):
+    """The bytes of the gzip members from ``at`` on, in bounded pieces."""
+    stream.seek(at)
+    inflate, raw, inside = zlib.decompressobj(31), b"", False
+    while raw or (raw := stream.read(_READ)):
+        if not inside and not (raw := raw.lstrip(b"\0")):  # padding between members
+            continue
+        piece, inside = inflate.decompress(raw, 1 << 20), True
+        raw = inflate.unconsumed_tail
+        if inflate.eof:
+            inflate, raw, inside = zlib.decompressobj(31), inflate.unused_data, False
+        if piece:
+            yield piece
+    if inside:
+        raise ValueError("a gzip member has no end")
+
+
+class _Feed:
+    """Bytes to come: from a generator of pieces, or of a plain file, which can also be skipped."""
+
+    def __init__(self, pieces=None, plain=None):
+        self.held, self.plain = bytearray(), plain
+        self.pieces = pieces or iter(lambda: plain.read(_READ), b"")
+
+    def more(self) -> bool:
+        piece = next(self.pieces, b"")
+        self.held += piece
+        return bool(piece)
+
+    def upto(self, mark: bytes, most: int | None = None) -> int:
+        """Place of ``mark`` within the next ``most`` bytes, -1 if there is none."""
+        seen = 0
+        while (at := self.held.find(mark, max(0, seen - len(mark) + 1))) < 0 and (most is None or len(self.held) < most):
+            seen = len(self.held)
+            if not self.more():
+                return -1
+        return at if most is None or at + len(mark) <= most else -1
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        if not keep and self.plain and n > len(self.held):
+            self.plain.seek(n - len(self.held) - 1, 1)
+            self.held = bytearray(self.plain.read(1))  # the last byte shows that the file holds it
+            n = 1
+        while len(self.held) < n:
+            if not keep:
+                n -= len(self.held)
+                self.held.clear()
+            if not self.more():
+                raise ValueError("a record has no end")
+        out = bytes(self.held[:n]) if keep else b""
+        del self.held[:n]
+        return out
+
+
+def _records(feed: _Feed, want_payload: bool, tests: list):
+    """(header columns, payload or None) of the records that pass, whatever they are packed in."""
+    while True:
+        while not (blank := feed.held.lstrip(b"\r\n")) and feed.more():
+            pass
+        if not blank:
+            return
+        feed.held = blank
+        end = feed.upto(b"\r\n\r\n")
+        if end < 0:
+            raise ValueError("a record's header has no end")
+        columns = header_columns(feed.take(end))
+        feed.take(4)
+        left = columns["length"]
+        if columns["http"] and (head := feed.upto(b"\r\n\r\n", left)) >= 0:
+            feed.take(head + 4)
+            left -= head + 4
+            columns["payload_bytes"] = left
+        ok = passes(tests, columns)
+        payload = feed.take(left, keep=ok and want_payload)
+        if ok:
+            yield columns, payload if want_payload else None
+
+
 def read_members(stream, want_payload: bool, tests: list):
-    """(header columns, payload or None) of the records that pass. The header block is inflated
-    first; the rest of a member only where its payload is wanted."""
+    """(header columns, payload or None) of the records that pass. In this writer's members the
+    header block is inflated first, and the rest only where the payload is wanted."""
     at = 0
     while True:
         stream.seek(at)
         raw = stream.read(_READ)
         if not raw:
             return
-        total = struct.unpack_from("<Q", raw, 16)[0] if raw[3:4] == b"\x04" and raw[12:14] == b"sl" else None
-        inflate, out, used = zlib.decompressobj(31), bytearray(), len(raw)
+        if raw[:2] != b"\x1f\x8b" and not at:
+            stream.seek(0)
+            yield from _records(_Feed(plain=stream), want_payload, tests)
+            return
+        if raw[3:4] != b"\x04" or raw[12:14] != b"sl":
+            yield from _records(_Feed(_inflated(stream, at)), want_payload, tests)
+            return
+        inflate, out = zlib.decompressobj(31), bytearray()
         out += inflate.decompress(raw)
 
         def more(inflate=inflate):
-            nonlocal used
             part = stream.read(_READ)
             if not part:
                 raise ValueError("a record ends before its gzip member does")
-            used += len(part)
             return inflate.decompress(part)
 
         while (end := out.find(b"\r\n\r\n")) < 0:
@@ -142,11 +228,7 @@ def read_members(stream, want_payload: bool, tests: list):
             yield columns, bytes(out[end + 4:end + 4 + columns["length"]])
         elif ok:
             yield columns, None
-        if total is None:
-            while not inflate.eof:
-                more()
-            total = used - len(inflate.unused_data)
-        at += total
+        at += struct.unpack_from("<Q", raw, 16)[0]
 
 
 # ---- data source ---------------------------------------------------------------------------

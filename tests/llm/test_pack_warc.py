@@ -160,3 +160,53 @@ def test_uncommitted_files_are_not_read(spark):
     with open(os.path.join(local, "stray.warc.gz"), "wb") as f:
         f.write(b"not a record")
     assert warc.read_archive(spark, path).count() == 1
+
+
+def foreign(kind: str, body: bytes, content: str = "text/plain", uri: str = "http://a/") -> bytes:
+    return (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\nContent-Type: {content}\r\n"
+            f"Content-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def test_several_records_in_a_member(spark, tmp_path):
+    bodies = [b"one", b"\r\n\r\nWARC/1.0\r\n", b"", os.urandom(200_000), b"last"]
+    parts = [foreign("response" if i % 2 else "resource", b, uri=f"http://a/{i}") for i, b in enumerate(bodies)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(parts[0] + parts[1]) + gzip.compress(b"".join(parts[2:])) + b"\0" * 512)
+    got = warc.read_archive(spark, str(tmp_path))
+    assert [bytes(r.payload) for r in got.collect()] == bodies
+    assert [r.target_uri[-1] for r in got.filter("record_type = 'response'").select("target_uri", "record_type").collect()] == ["1", "3"]
+
+
+def test_records_across_members_and_cut_files():
+    import io
+
+    data = b"".join(foreign("response", os.urandom(3000)) for _ in range(4))
+    packed = gzip.compress(data[:5000]) + gzip.compress(data[5000:])
+    assert len(list(warc.read_members(io.BytesIO(packed), True, []))) == 4
+    for cut in (packed[:-40], packed[:30]):
+        for want in (True, False):
+            with pytest.raises(ValueError):
+                list(warc.read_members(io.BytesIO(cut), want, []))
+    for want in (True, False):
+        with pytest.raises(ValueError):
+            list(warc.read_members(io.BytesIO(data[:-1500]), want, []))
+
+
+def test_plain_archives(spark, tmp_path):
+    bodies = [os.urandom(150_000), b"", b"x" * 70_000, b"end"]
+    (tmp_path / "a.warc").write_bytes(b"".join(foreign("response", b, uri=f"http://a/{i}") for i, b in enumerate(bodies)))
+    (tmp_path / "b.warc").write_bytes(b"")
+    assert [bytes(r.payload) for r in warc.read_archive(spark, str(tmp_path)).collect()] == bodies
+    rows = warc.read_archive(spark, str(tmp_path), "target_uri string, payload_bytes long").collect()
+    assert [(r.target_uri, r.payload_bytes) for r in rows] == [(f"http://a/{i}", len(b)) for i, b in enumerate(bodies)]
+
+
+def test_http_heads_are_no_payload(spark, tmp_path):
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    http = "application/http; msgtype=response"
+    parts = [foreign("response", head + b"<p>a</p>", http), foreign("response", head, http), foreign("response", b"no head", http),
+             foreign("resource", head + b"kept", "text/plain")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    want = [b"<p>a</p>", b"", b"no head", head + b"kept"]
+    assert [(bytes(r.payload), r.payload_bytes) for r in warc.read_archive(spark, str(tmp_path)).collect()] == [(w, len(w)) for w in want]
+    slim = warc.read_archive(spark, str(tmp_path), "payload_bytes long, record_type string").filter("record_type = 'response'")
+    assert [r.payload_bytes for r in slim.collect()] == [8, 0, 7]
