@@ -12,7 +12,8 @@ from feedlens.functions.rouge import rouge_l, sql_rouge_ctes
 from feedlens.operators import fewshot as fs
 from feedlens.operators import metrics as mt
 from feedlens.operators.agreement import gated_score, method_rollup
-from feedlens.operators.similarity import block_topk
+from feedlens.operators.similarity import block_topk, pruned_topk
+from feedlens.operators.vector_index import VectorIndex
 from feedlens.rubric import BINARY_LABELS as LAB, FLIPPED_LABELS as FL
 from feedlens.sources.views import view
 
@@ -209,6 +210,29 @@ def knn_self(spark, sf):
         "target_id", "pool_id", "rank", "sim")
 
 
+@query("knn_pruned", (), "WITH " + _sql_knn("embeddings", "embeddings", K, True)
+       + " SELECT target_id, pool_id, CAST(rank AS INTEGER) AS rank, sim FROM knn")
+def knn_pruned(spark, sf):
+    """``knn_self`` over blocks cut by pivot and angle, without the pairs of blocks that hold no neighbour."""
+    e = _emb(spark, sf)
+    t = e.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("vec"))
+    p = e.select(F.col("vec_id").alias("pool_id"), F.col("embedding").alias("vec"))
+    return pruned_topk(t, p, left_id="target_id", right_id="pool_id", k=K, exclude_self=True, block_rows=1024).select(
+        "target_id", "pool_id", "rank", "sim")
+
+
+@query("knn_indexed")
+def knn_indexed(spark, sf):
+    """The neighbours of ``knn_self`` through an inverted-list index of all vectors, with the fewest
+    probes whose recall on a sample of queries is 0.95."""
+    e = _emb(spark, sf).select("vec_id", F.col("embedding").alias("vec"))
+    index = VectorIndex.build(e, "vec_id")
+    targets = e.withColumnRenamed("vec_id", "target_id")
+    probes = index.tuned_probes(targets, "target_id", k=K, exclude_self=True)
+    return index.search(targets, "target_id", k=K, probes=probes, exclude_self=True).select(
+        "target_id", F.col("id").alias("pool_id"), "rank", "sim")
+
+
 # means of six-digit similarities in whole millionths: no rounding tie can depend on the order of a sum
 _SQL_MEAN = "CAST((2 * sum(CAST(round(m * 1000000) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000000"
 _SQL_TOKENS = ("tp AS (" + _sql_unit("v_token_vectors WHERE side = 'pred'", "pos", "vec", ", pair_id") + "),\n"

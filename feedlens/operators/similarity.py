@@ -7,18 +7,28 @@ per left row. No pair row is ever materialised: the shuffle carries each vector
 of the other side and at most ``k`` candidates per (left row, right block); the final top-k is a
 window with ``WindowGroupLimit``. Memory per task is bounded by the block size, not the data.
 
+``PrunedSearch`` cuts the blocks by nearest pivot and by distance from it instead. Angles obey the
+triangle inequality, so two blocks' pivots and distances bound every similarity between them.
+Each left block first meets the blocks that promise its rows k neighbours; the k-th best found
+there is the mark that any other right block must be able to reach, or the pair is dropped before
+its vectors are shuffled.
+
 Similarities are rounded to ``digits`` before ranking and ties go to the smaller right id, so
-the ranking is reproducible and equal to a SQL engine computing the same formula.
+the ranking is reproducible and equal to a SQL engine computing the same formula. A zero vector
+has similarity 0 to all.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedlens.operators import index as ix
+from feedlens.rubric import SEED
+
 
 def unit(vec) -> Column:
     """L2-normalised ``ARRAY<DOUBLE>``; the zero vector stays zero."""
@@ -27,40 +37,72 @@ def unit(vec) -> Column:
     return F.transform(v, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm))
 
 
-def _block_fn(left_id, right_id, gcols, k, exclude_self, self_sim_zero, digits):
-    def fn(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        cols = [*gcols, left_id, right_id, "sim"]
-        if lp.empty or rp.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        a = np.vstack(lp["_v"].to_numpy()).astype(np.float64)
-        b = np.vstack(rp["_v"].to_numpy()).astype(np.float64)
-        s = np.round(a @ b.T, digits)
-        lid = lp[left_id].to_numpy()
-        rid = rp[right_id].to_numpy()
-        if exclude_self:
-            s[lid[:, None] == rid[None, :]] = -np.inf
-        elif self_sim_zero:
-            s[lid[:, None] == rid[None, :]] = 0.0
-        kk = min(k, s.shape[1])
-        # threshold = kth largest per row; keep everything at or above it, then order exactly
-        thresh = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
-        out_l, out_r, out_s = [], [], []
-        for i in range(s.shape[0]):
-            cand = np.nonzero(s[i] >= thresh[i])[0]
-            cand = cand[np.isfinite(s[i, cand])]
-            order = np.lexsort((rid[cand], -s[i, cand]))[:kk]
-            sel = cand[order]
-            out_l.extend([lid[i]] * len(sel))
-            out_r.extend(rid[sel].tolist())
-            out_s.extend(s[i, sel].tolist())
-        out = pd.DataFrame({left_id: out_l, right_id: out_r, "sim": out_s})
-        for j, g in enumerate(gcols):
-            out.insert(j, g, key[j])
-        return out[cols]
+def unit_rows(column) -> np.ndarray:
+    """A list column of doubles as a matrix of unit rows; zero rows stay zero."""
+    col = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None] if len(rows) else np.ones((0, 1))
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm != 0)
+
+
+def top_of_rows(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest finite entries, the leftmost of equal ones."""
+    k = min(k, s.shape[1])
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    order = np.lexsort((col, -s[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
+def _score(left_id, right_id, keys, k, exclude_self, self_sim_zero, digits):
+    def fn(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        ids = [t.column(c).combine_chunks() for t, c in ((lt, left_id), (rt, right_id))]
+        lid, rid = (i.to_numpy(zero_copy_only=False) for i in ids)
+        order = np.argsort(rid, kind="stable")
+        row = col = np.zeros(0, np.int64)
+        sims = np.zeros(0)
+        if len(lid) and len(rid):
+            s = np.round(unit_rows(lt.column("_v")) @ unit_rows(rt.column("_v"))[order].T, digits)
+            if exclude_self or self_sim_zero:
+                place = {x: i for i, x in enumerate(lid.tolist())}
+                if len(place) == len(lid) and len(set(rid.tolist())) == len(rid):
+                    same = [(place[x], j) for j, x in enumerate(rid[order].tolist()) if x in place]
+                    at = tuple(np.array(same, np.int64).reshape(-1, 2).T)
+                else:
+                    at = lid[:, None] == rid[order][None, :]
+                s[at] = -np.inf if exclude_self else 0.0
+            row, col = top_of_rows(s, k)
+            sims = s[row, col]
+        out = {c: pa.array([lt.column(c)[0].as_py()] * len(row), lt.schema.field(c).type) if len(row) else pa.array([], lt.schema.field(c).type)
+               for c in keys}
+        return pa.table({**out, left_id: ids[0].take(pa.array(row)), right_id: ids[1].take(pa.array(order[col])), "sim": sims + 0.0})
 
     return fn
 
 
+def score_blocks(left: DataFrame, right: DataFrame, tasks: list[str], keys: list[str], left_id: str, right_id: str, k: int,
+                 exclude_self: bool, self_sim_zero: bool, digits: int) -> DataFrame:
+    """(*keys, left_id, right_id, sim): the top-k right rows of each left row in one block, for
+    every combination of the ``tasks`` columns that both sides hold. Vectors are in ``_v``."""
+    fields = [left.schema[c] for c in [*keys, left_id]] + [right.schema[right_id], T.StructField("sim", T.DoubleType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+    fn = _score(left_id, right_id, keys, k, exclude_self, self_sim_zero, digits)
+    return left.groupBy(*tasks).cogroup(right.groupBy(*tasks)).applyInArrow(fn, schema)
+
+
+def best(part: DataFrame, keys, left_id: str, right_id: str, k: int) -> DataFrame:
+    """The k best of all blocks' candidates, with their rank."""
+    w = Window.partitionBy(*keys, left_id).orderBy(F.col("sim").desc(), F.col(right_id).asc())
+    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def as_vectors(vec: str) -> Column:
+    return F.col(vec).cast("array<double>")
+
+
 def block_topk(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, vec: str = "vec", k: int = 2,
                group_cols=(), exclude_self: bool = False, self_sim_zero: bool = False, block_rows: int = 4096, digits: int = 6) -> DataFrame:
     """Top-``k`` right rows per left row by cosine similarity (within ``group_cols``).
@@ -72,8 +114,8 @@ def block_topk(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
         raise ValueError("exclude_self and self_sim_zero exclude each other")
     g = list(group_cols)
     # fresh aliases: both sides may come from one table (self-similarity)
-    lv = left.select(*[F.col(c).alias(c) for c in g], F.col(left_id).alias(left_id), unit(vec).alias("_v"))
-    rv = right.select(*[F.col(c).alias(c) for c in g], F.col(right_id).alias(right_id), unit(vec).alias("_v"))
+    lv = left.select(*[F.col(c).alias(c) for c in g], F.col(left_id).alias(left_id), as_vectors(vec).alias("_v"))
+    rv = right.select(*[F.col(c).alias(c) for c in g], F.col(right_id).alias(right_id), as_vectors(vec).alias("_v"))
     nlb = F.ceil(F.count(F.lit(1)) / F.lit(block_rows))
     if g:
         # number of blocks per group and side: a table with one row per group, joined on the group key
@@ -88,10 +130,153 @@ def block_topk(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
             .withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nrb") - 1))).drop("_nlb", "_nrb"))
     rrep = (rv.withColumn("_rb", F.pmod(F.xxhash64(right_id), F.col("_nrb")))
             .withColumn("_lb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nlb") - 1))).drop("_nlb", "_nrb"))
-    fields = [left.schema[c] for c in g] + [left.schema[left_id], right.schema[right_id],
-                                            T.StructField("sim", T.DoubleType())]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    part = lrep.groupBy(*g, "_lb", "_rb").cogroup(rrep.groupBy(*g, "_lb", "_rb")).applyInPandas(
-        _block_fn(left_id, right_id, g, k, exclude_self, self_sim_zero, digits), schema)
-    w = Window.partitionBy(*g, left_id).orderBy(F.col("sim").desc(), F.col(right_id).asc())
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    part = score_blocks(lrep, rrep, [*g, "_lb", "_rb"], g, left_id, right_id, k, exclude_self, self_sim_zero, digits)
+    return best(part, g, left_id, right_id, k)
+
+
+# ---- pivots -------------------------------------------------------------------------------------
+
+def fit_pivots(vectors: DataFrame, id_col: str, vec: str, count: int, *, sample_rows: int = 16_384, rounds: int = 10,
+               seed: int = SEED) -> np.ndarray:
+    """At most ``count`` unit vectors that lie among the table's: spherical k-means over the
+    ``sample_rows`` rows of the smallest seeded hashes, the only rows that reach the driver."""
+    sound = vectors.select(id_col, as_vectors(vec).alias("_v")).filter(F.col("_v").isNotNull() & F.col(id_col).isNotNull())
+    rows = ix.sample_exact(sound, sample_rows, [id_col], seed=seed)
+    x = unit_rows(rows.select("_v").toArrow().column("_v"))
+    x = x[np.abs(x).sum(1) > 0]
+    if not len(x):
+        return np.zeros((0, x.shape[1]))
+    centres = np.unique(x, axis=0)
+    centres = centres[np.sort(np.random.default_rng(seed).permutation(len(centres))[:count])]
+    for _ in range(rounds if len(centres) < len(x) else 0):
+        near = (x @ centres.T).argmax(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, x)
+        norm = np.linalg.norm(total, axis=1)
+        centres[norm > 0] = total[norm > 0] / norm[norm > 0, None]
+    return centres
+
+
+def nearest_pivots(vectors: DataFrame, id_col: str, vec: str, pivots: np.ndarray, probes: int = 1, *, keep=()) -> DataFrame:
+    """(id, *keep, _v, pivot, angle): a row per vector and each of its ``probes`` nearest pivots;
+    a zero vector has pivot -1 and angle 0. Null vectors and ids take no part. The pivots go to
+    the tasks with the function: as many as ``fit_pivots`` was asked for."""
+    slim = vectors.select(id_col, *keep, as_vectors(vec).alias("_v")).filter(F.col("_v").isNotNull() & F.col(id_col).isNotNull())
+    schema = T.StructType([*slim.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+    def task(batches):
+        for batch in batches:
+            v = unit_rows(batch.column(batch.schema.get_field_index("_v")))
+            zero = np.abs(v).sum(1) == 0
+            sims = v @ pivots.T if len(pivots) else np.zeros((len(v), 1))
+            n = min(probes, sims.shape[1])
+            near = np.argsort(-sims, axis=1, kind="stable")[:, :n] if n < sims.shape[1] else np.tile(np.arange(n), (len(v), 1))
+            row, place = np.repeat(np.arange(len(v)), n), near.ravel()
+            once = ~zero[row] | (np.arange(len(row)) % max(n, 1) == 0)
+            row, place = row[once], place[once]
+            angle = np.arccos(np.clip(sims[row, place], -1, 1))
+            angle[zero[row]], place = 0.0, np.where(zero[row], -1, place)
+            out = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(place, pa.int32()), pa.array(angle)], names=schema.names)
+
+    return slim.mapInArrow(task, schema)
+
+
+# ---- exact search without the pairs of blocks that hold nothing -----------------------------------
+
+class PrunedSearch:
+    """``block_topk`` of two tables (without groups) over blocks cut by pivot and angle.
+
+    At most ``pivots`` pivots of ``rings`` rings each; a ring of over ``block_rows`` rows is cut on
+    by hash. So the driver sees (pivots * rings)^2 pairs of rings at most, whatever the data. After
+    ``run``, ``pairs`` is the number of pairs of rings and ``scored`` how many were scored.
+    """
+
+    def __init__(self, left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, vec: str = "vec", k: int = 2, exclude_self: bool = False,
+                 pivots: int = 64, rings: int = 8, block_rows: int = 4096, digits: int = 6, sample_rows: int = 16_384):
+        self.left, self.right, self.left_id, self.right_id, self.vec, self.k = left, right, left_id, right_id, vec, k
+        self.exclude_self, self.rings, self.block_rows, self.digits = exclude_self, rings, block_rows, digits
+        self.most, self.sample_rows = pivots, sample_rows
+        self.pairs = self.scored = 0
+
+    def _cells(self, df: DataFrame, id_col: str, centres: np.ndarray, name: str):
+        """(rows with their cell and block, written; per cell its pivot, least and largest angle, rows, blocks)."""
+        from feedlens.sources.files import materialize
+
+        near = materialize(nearest_pivots(df, id_col, self.vec, centres), name)
+        cuts = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
+            "angle", [i / self.rings for i in range(1, self.rings)] or [0.5], 1000).alias("cut")).collect()  # a row per pivot
+        told = []  # rings only where a pivot holds more than a block
+        for r in cuts:
+            parts = min(self.rings, -(-r.n // self.block_rows))
+            told.append((r.pivot, sorted({float(r.cut[-(-i * self.rings // parts) - 1]) for i in range(1, parts)})))
+        table = near.sparkSession.createDataFrame(told, "pivot int, _cut array<double>")
+        near = near.join(F.broadcast(table), "pivot")
+        ring = F.size(F.filter("_cut", lambda c: F.col("angle") > c))
+        near = near.withColumn("cell", (F.col("pivot") + 1) * self.rings + ring).drop("_cut")
+        stats = near.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("angle").alias("low"), F.max("angle").alias("high"),
+                                         F.count(F.lit(1)).alias("n")).orderBy("cell").collect()  # a row per ring
+        return near, stats
+
+    def _bounds(self, ls, rs, centres):
+        """Least and largest angle between rows of each pair of cells."""
+        col = lambda rows, name: np.array([r[name] for r in rows])
+        if not ls or not rs:
+            return (np.zeros((len(ls), len(rs))),) * 2
+        p, q = col(ls, "pivot"), col(rs, "pivot")
+        zero = (p < 0)[:, None] | (q < 0)[None, :]
+        apart = np.arccos(np.clip(centres[p] @ centres[q].T, -1, 1)) if len(centres) else np.zeros(zero.shape)
+        alow, ahigh, blow, bhigh = col(ls, "low")[:, None], col(ls, "high")[:, None], col(rs, "low")[None], col(rs, "high")[None]
+        low = np.maximum.reduce([np.zeros(zero.shape), apart - ahigh - bhigh, alow - apart - bhigh, blow - apart - ahigh])
+        high = np.minimum(np.pi, apart + ahigh + bhigh)
+        return np.where(zero, np.pi / 2, low), np.where(zero, np.pi / 2, high)  # a zero vector has similarity 0
+
+    def _meet(self, lc, rc, ls, rs, todo):
+        """Scores the pairs of cells in ``todo``; each row goes to the other side's blocks."""
+        blocks = lambda s: -(-s.n // self.block_rows)
+        spark = lc.sparkSession
+
+        def sent(rows, mine, other, pairs, id_col, own, their):
+            told = [(mine[i].cell, blocks(mine[i]), other[j].cell, blocks(other[j])) for i, j in pairs]
+            table = spark.createDataFrame(told, f"cell int, _n int, {their}c int, _m int")
+            out = rows.join(F.broadcast(table), "cell")  # at most (pivots * rings)^2 rows
+            return (out.withColumn(f"{own}b", F.pmod(F.xxhash64(id_col), F.col("_n"))).withColumn(f"{their}b", F.explode(F.sequence(
+                F.lit(0).cast("long"), F.col("_m").cast("long") - 1))).withColumnRenamed("cell", f"{own}c").drop("_n", "_m", "pivot", "angle"))
+
+        lrep = sent(lc, ls, rs, todo, self.left_id, "_l", "_r")
+        rrep = sent(rc, rs, ls, [(j, i) for i, j in todo], self.right_id, "_r", "_l")
+        return score_blocks(lrep, rrep, ["_lc", "_lb", "_rc", "_rb"], ["_lc"], self.left_id, self.right_id, self.k, self.exclude_self, False, self.digits)
+
+    def run(self) -> DataFrame:
+        from feedlens.sources.files import materialize
+
+        n = self.right.count()
+        centres = fit_pivots(self.right, self.right_id, self.vec, max(1, min(self.most, -(-n // self.block_rows))), sample_rows=self.sample_rows)
+        lc, ls = self._cells(self.left, self.left_id, centres, "cells-left")
+        rc, rs = self._cells(self.right, self.right_id, centres, "cells-right")
+        low, high = self._bounds(ls, rs, centres)
+        first, need = [], self.k + int(self.exclude_self)
+        for i in range(len(ls)):  # the cells that hold enough rows, those that promise most first
+            held = 0
+            for j in np.argsort(high[i], kind="stable"):
+                first.append((i, int(j)))
+                held += rs[j].n
+                if held >= need:
+                    break
+        part = materialize(self._meet(lc, rc, ls, rs, first), "pairs-first")
+        kth = part.groupBy("_lc", self.left_id).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("sim"))[F.greatest(
+            F.lit(0), F.count(F.lit(1)) - self.k).cast("int")].alias("s"))  # at most k rows a block that was met
+        mark = {r["_lc"]: r.s for r in kth.groupBy("_lc").agg(F.min(F.when(F.col("n") >= self.k, F.col("s")).otherwise(-2.0)).alias("s")).collect()}
+        slack = 10.0 ** -self.digits  # rounding, and a tie may win by its id
+        done = set(first)
+        rest = [(i, j) for i in range(len(ls)) for j in range(len(rs))
+                if (i, j) not in done and np.cos(low[i, j]) + slack >= mark.get(ls[i].cell, -2.0)]
+        self.pairs, self.scored = len(ls) * len(rs), len(first) + len(rest)
+        if rest:
+            part = part.unionByName(self._meet(lc, rc, ls, rs, rest))
+        return best(part.drop("_lc"), [], self.left_id, self.right_id, self.k)
+
+
+def pruned_topk(left: DataFrame, right: DataFrame, **options) -> DataFrame:
+    """``block_topk`` without groups, by ``PrunedSearch``."""
+    return PrunedSearch(left, right, **options).run()
