@@ -26,17 +26,28 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, na_columns=(),
-             na_values=PANDAS_NA_VALUES) -> DataFrame:
+             na_values=PANDAS_NA_VALUES, range_bytes: int | None = 32 << 20) -> DataFrame:
     """Declared-schema scan that keeps quoted multi-line cells whole.
 
+    A file is read by byte ranges of ``range_bytes`` (RFC 4180 files; see ``csv_ranges``). With
+    None Spark's multi-line reader reads a file in one task, through any Hadoop file system and
+    with quotes inside unquoted cells.
+
     ``na_columns`` are read as text, mapped to NULL when they hold one of ``na_values``, and
     then cast to their declared type (pandas' missing-value rule, applied to labels only).
     """
+    from feedlens.sources.csv_ranges import csv_records
+
     na_columns = list(na_columns)
     scan_schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in na_columns else f.dataType, True)
                                 for f in schema.fields])
-    df = (spark.read.schema(scan_schema).option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').csv(path))
+    if range_bytes:
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scan_schema.fields)
+        row = F.from_csv("record", ddl, {"quote": '"', "escape": '"'})
+        df = csv_records(spark, path, range_bytes=range_bytes).select(row.alias("row")).select("row.*")
+    else:
+        df = (spark.read.schema(scan_schema).option("header", True).option("multiLine", True)
+              .option("quote", '"').option("escape", '"').csv(path))
     for f in schema.fields:
         if f.name in na_columns:
             c = F.col(f.name)
