@@ -91,7 +91,7 @@ def _seeded_cache(spark, sf, system_message=None):
 def cache_lookup(spark, sf):
     root = _seeded_cache(spark, sf)
     prompts = cc.with_key(view(spark, sf, "v_prompt").select("row_id", "prompt"), MODEL, MAX_TOKENS, None)
-    out = cc.lookup(prompts, cc.load_cache(spark, root))
+    out = cc.answers(spark, root, prompts)
     return out.select("row_id", "prompt", "response", F.col("response").isNull().alias("to_send"))
 
 
@@ -104,6 +104,7 @@ def cache_merge(spark, sf):
     own = cc.with_key(p, MODEL, MAX_TOKENS, None).withColumn(
         "response", F.concat(F.lit("new:"), F.substring(F.md5("prompt"), 1, 8)))
     cc.save_cache(spark, own, root)
+    cc.compact(spark, root)
     return cc.load_cache(spark, root).select("prompt", "response")
 
 
