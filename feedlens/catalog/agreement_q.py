@@ -290,7 +290,7 @@ def reference_join(spark, sf):
                                             "ref_feedback")
 
 
-@query("rouge_l", ("v_annotated_a", "v_expanded"), brute="WITH " + SQL_REF + f"""
+@query("rouge_l", ("v_annotated_a", "v_expanded"), rouge=True, sql="WITH " + SQL_REF + f"""
 SELECT j.row_id, j.method, {sr6('r.rouge_p')} AS rouge_p, {sr6('r.rouge_r')} AS rouge_r, {sr6('r.rouge_f')} AS rouge_f
 FROM refj j LEFT JOIN rouge_f r ON j.row_id = r.rid""")
 def rouge_l_q(spark, sf):
@@ -301,7 +301,7 @@ def rouge_l_q(spark, sf):
 _PAIRS_ROUGE = SQL_PAIRS + ",\n" + SQL_REF + ",\npr AS (SELECT p.*, r.rouge_f FROM pairs p LEFT JOIN rouge_f r ON p.row_id = r.rid)"
 
 
-@query("rouge_means", AB + ("v_expanded",), brute=_PAIRS_ROUGE +
+@query("rouge_means", AB + ("v_expanded",), rouge=True, sql=_PAIRS_ROUGE +
        f"\nSELECT {_METHOD_ALL} AS method, {sr6('avg(rouge_f)')} AS rouge_l FROM pr GROUP BY GROUPING SETS ((method), ())")
 def rouge_means(spark, sf):
     p = paired_rouge(spark, sf)
@@ -310,7 +310,7 @@ def rouge_means(spark, sf):
                     r6("rouge_l").alias("rouge_l"))
 
 
-@query("score_correlation", AB + ("v_expanded",), brute=_PAIRS_ROUGE + f""",
+@query("score_correlation", AB + ("v_expanded",), rouge=True, sql=_PAIRS_ROUGE + f""",
 s AS (SELECT method, {_sql_gated('a')} AS sa, {_sql_gated('b')} AS sb, rouge_f FROM pr)
 SELECT {_METHOD_ALL} AS method, {sr6(_sql_pearson('sa', 'sb'))} AS pearson_scores,
   {sr6(_sql_pearson('sb', 'rouge_f'))} AS pearson_rouge FROM s GROUP BY GROUPING SETS ((method), ())""")
@@ -324,7 +324,7 @@ def score_correlation(spark, sf):
                     r6("pearson_scores").alias("pearson_scores"), r6("pearson_rouge").alias("pearson_rouge"))
 
 
-@query("system_correlation", AB + ("v_expanded",), brute=_PAIRS_ROUGE + ",\nmm AS (SELECT method, " + ", ".join(
+@query("system_correlation", AB + ("v_expanded",), rouge=True, sql=_PAIRS_ROUGE + ",\nmm AS (SELECT method, " + ", ".join(
     f"avg({f}_a) AS {f}_a, avg({f}_b) AS {f}_b" for f in FL) + f", avg({_sql_gated('a')}) AS score_a, "
     f"avg({_sql_gated('b')}) AS score_b, avg(rouge_f) AS rouge FROM pr GROUP BY method)\n" + " UNION ALL ".join(
     [f"SELECT '{m}' AS metric, {sr6(_sql_pearson(m + '_a', m + '_b'))} AS pearson FROM mm" for m in FL + ['score']]

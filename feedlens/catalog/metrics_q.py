@@ -157,7 +157,7 @@ def eval_means(spark, sf):
                                          for n in FL + ["score"]])))
 
 
-@query("eval_reference", ("v_generated",), brute="WITH " + sql_rouge_ctes("v_generated", "row_id", "generated_feedback", "feedback")
+@query("eval_reference", ("v_generated",), rouge=True, sql="WITH " + sql_rouge_ctes("v_generated", "row_id", "generated_feedback", "feedback")
        + f"\nSELECT g.method, {sr6('avg(r.rouge_f)')} AS rouge_l FROM v_generated g JOIN rouge_f r ON g.row_id = r.rid "
        "GROUP BY g.method")
 def eval_reference(spark, sf):

@@ -8,26 +8,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlens.functions.rouge import sql_lcs_rows
 from feedlens.sources.views import duck_with
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-# SQL texts that call a check-only scalar function (``lcs_dp``): run by tests and
-# scripts/oracle_check.py with a brute-force implementation registered in DuckDB.
+# The ROUGE-L texts once more, with a check-only scalar function (``lcs_dp``) in place of the fold
+# over match points: run by tests with a brute-force implementation registered in DuckDB.
 BRUTE: dict[str, str] = {}
 
 DIGITS = 6  # reported doubles are rounded to this many digits in both engines
 
 
-def query(name: str, views=(), sql: str | None = None, brute: str | None = None):
+def query(name: str, views=(), sql: str | None = None, rouge: bool = False):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = duck_with(list(views), sql)
-        if brute is not None:
-            BRUTE[name] = duck_with(list(views), brute)
+        if rouge:
+            BRUTE[name] = duck_with(list(views), sql.replace(sql_lcs_rows(), sql_lcs_rows("lcs_dp")))
         return fn
 
     return deco

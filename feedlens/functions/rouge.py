@@ -68,20 +68,35 @@ def rouge_l(pred, ref) -> tuple[Column, Column, Column]:
     return p, r, f
 
 
-# ---- SQL counterpart for checks: tokens in SQL, LCS by a named scalar function ----
-# A SQL dynamic programme is cubic in the text length, far too slow on whole texts. The checks
-# (tests, scripts/oracle_check.py) register ``lcs_fn`` in DuckDB as an independent quadratic DP.
+# ---- SQL counterpart for checks ----
+# A table of all (i, j) is cubic in SQL. The match points (i, j) of equal tokens, by rising i and
+# falling j, turn a common subsequence into a strictly rising run of j, so the LCS is the length of
+# the longest one: a fold that keeps, for every length, the least j that ends a run of it. Its cost
+# is (match points) x (LCS), near linear where words repeat little. The checks can also name a
+# scalar function instead, an independent quadratic DP registered in DuckDB.
 
 def sql_tokens(e: str) -> str:
     return (f"list_filter(string_split(trim(regexp_replace(lower({e}), '[^a-z0-9]+', ' ', 'g')), ' '), "
             f"lambda t: t <> '')")
 
 
-def sql_rouge_ctes(src: str, id_col: str, pred: str, ref: str, lcs_fn: str = "lcs_dp") -> str:
+def sql_lcs_rows(lcs_fn: str | None = None) -> str:
+    """CTE ``rg_dp`` (rid, lcs) over ``rg_tok`` (rid, ta, tb)."""
+    if lcs_fn:
+        return f"rg_dp AS (SELECT rid, {lcs_fn}(ta, tb) AS lcs FROM rg_tok)"
+    shorter = "len(list_filter(t, lambda v: v < e[1]))"
+    return f"""rg_a AS (SELECT rid, unnest(ta) AS w, unnest(range(1, len(ta) + 1)) AS i FROM rg_tok WHERE ta <> tb),
+rg_b AS (SELECT rid, unnest(tb) AS w, unnest(range(1, len(tb) + 1)) AS j FROM rg_tok WHERE ta <> tb),
+rg_pts AS (SELECT a.rid, list([j] ORDER BY i, j DESC) AS pts FROM rg_a a JOIN rg_b b ON a.rid = b.rid AND a.w = b.w GROUP BY a.rid),
+rg_run AS (SELECT rid, len(list_reduce(pts, lambda t, e: t[1:{shorter}] || e || t[{shorter} + 2:])) AS lcs FROM rg_pts),
+rg_dp AS (SELECT t.rid, CASE WHEN ta = tb THEN len(ta) ELSE coalesce(lcs, 0) END AS lcs FROM rg_tok t LEFT JOIN rg_run r ON r.rid = t.rid)"""
+
+
+def sql_rouge_ctes(src: str, id_col: str, pred: str, ref: str) -> str:
     """CTEs ``rg_tok``, ``rg_dp``, ``rouge`` and ``rouge_f`` (rid, rouge_p, rouge_r, rouge_f) over ``src``."""
     return f"""
 rg_tok AS (SELECT {id_col} AS rid, {sql_tokens(pred)} AS ta, {sql_tokens(ref)} AS tb FROM {src}),
-rg_dp AS (SELECT rid, {lcs_fn}(ta, tb) AS lcs FROM rg_tok),
+{sql_lcs_rows()},
 rouge AS (
   SELECT t.rid, CASE WHEN len(t.ta) = 0 THEN 0.0 ELSE d.lcs / len(t.ta) END AS rouge_p,
     CASE WHEN len(t.tb) = 0 THEN 0.0 ELSE d.lcs / len(t.tb) END AS rouge_r
