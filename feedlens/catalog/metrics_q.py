@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedlens.catalog.build_q import SQL_EXPANDED_SPLITS, expanded_table
 from feedlens.catalog.registry import query, r6, sr6
 from feedlens.functions import prompts as pr
+from feedlens.functions.bijection import sql_bijection
 from feedlens.functions.parse import parse_binary, sql_parse_binary_ctes
 from feedlens.functions.rouge import rouge_l, sql_rouge_ctes
 from feedlens.operators import fewshot as fs
@@ -287,21 +288,14 @@ def _sql_example(prefix: str = "") -> str:
     return f"{pr.sql_prompt_input(False, prefix)} || chr(10) || {pr.sql_prompt_output(prefix)} || chr(10) || chr(10)"
 
 
-def _h(j: int) -> str:
-    return f"CAST(('0x' || substr(md5(concat_ws(':', '221', 'draw', '{j}', CAST(row_id AS VARCHAR))), 1, 15)) AS BIGINT)"
-
-
+_OWN = "CAST(('0x' || substr(md5(concat_ws(':', '221', 'draw', CAST(row_id AS VARCHAR))), 1, 15)) AS BIGINT)"
 _FEWSHOT_RANDOM = SQL_EXPANDED_SPLITS + f""",
-pool AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '221', 'pool', CAST(row_id AS VARCHAR))), row_id) - 1 AS pool_pos,
-  count(*) OVER () AS pool_n FROM ex WHERE split = 'train'),
+pool AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pool_pos FROM ex WHERE split = 'train'),
 t AS (SELECT ex.row_id, ex.split, ex.question, ex.correct_answer, ex.distractor, p.pool_pos AS self_pos,
-  (ex.split = 'train' AND p.pool_pos IS NOT NULL) AS masked FROM ex LEFT JOIN pool p ON p.row_id = ex.row_id),
-d0 AS (SELECT *, CASE WHEN masked THEN (SELECT max(pool_n) FROM pool) - 1 ELSE (SELECT max(pool_n) FROM pool) END AS m,
-  {_h(0)} AS h0, {_h(1)} AS h1 FROM t),
-d1 AS (SELECT *, CASE WHEN m > 0 THEN h0 % m END AS r0, CASE WHEN m - 1 > 0 THEN h1 % (m - 1) END AS q1 FROM d0),
-d2 AS (SELECT *, CASE WHEN q1 >= r0 THEN q1 + 1 ELSE q1 END AS r1 FROM d1),
-picks AS (SELECT row_id, 0 AS rank, CASE WHEN masked AND r0 >= self_pos THEN r0 + 1 ELSE r0 END AS pp FROM d2
-  UNION ALL SELECT row_id, 1, CASE WHEN masked AND r1 >= self_pos THEN r1 + 1 ELSE r1 END FROM d2),
+  (SELECT count(*) FROM pool) - CASE WHEN p.pool_pos IS NULL THEN 0 ELSE 1 END AS m, {_OWN.replace('row_id', 'ex.row_id')} AS own
+  FROM ex LEFT JOIN pool p ON p.row_id = ex.row_id),
+d AS (SELECT *, {sql_bijection('rank', 'm', salt='draw', tweak='own')} AS drawn FROM (SELECT *, unnest(range({K})) AS rank FROM t) WHERE rank < m),
+picks AS (SELECT row_id, rank, drawn + CASE WHEN drawn >= self_pos THEN 1 ELSE 0 END AS pp FROM d),
 exs AS (SELECT k.row_id, k.rank, {_sql_example('p.')} AS text FROM picks k JOIN pool p ON p.pool_pos = k.pp),
 body AS (SELECT row_id, string_agg(text, '' ORDER BY rank) AS b FROM exs GROUP BY row_id)
 SELECT t.row_id, {pr.sql_lit(pr.instruction(False) + chr(10) + chr(10))} || coalesce(body.b, '') || {pr.sql_prompt_input(False, 't.')}
@@ -311,10 +305,14 @@ SELECT t.row_id, {pr.sql_lit(pr.instruction(False) + chr(10) + chr(10))} || coal
 @query("fewshot_random", ("v_mcq",), _FEWSHOT_RANDOM)
 def fewshot_random(spark, sf):
     ex = expanded_table(spark, sf)
-    pos, texts, n = fs.pool_texts(ex.filter(F.col("split") == "train"))
-    picks = fs.random_picks(ex, pos, K, mask_self=F.col("split") == "train", pool_size=n)
-    examples = picks.join(texts, "pool_pos").select("row_id", "rank", "text")
-    return fs.assemble(ex, examples)
+    train = F.col("split") == "train"
+    pool = fs.numbered_pool(ex.filter(train))
+    targets = pool.select("row_id", F.col("pool_pos").alias("_self")).unionByName(
+        ex.filter(~train).select("row_id", F.lit(None).cast("long").alias("_self")))
+    picks = fs.draw(targets, K, pool.select(F.max("pool_n")).scalar())
+    chosen = picks.join(pool.select("pool_pos", F.col("row_id").alias("ex_id")), "pool_pos")  # slim rows
+    texts = ex.filter(train).select(F.col("row_id").alias("ex_id"), fs.example_texts(ex).alias("text"))
+    return fs.assemble(ex, chosen.join(texts, "ex_id").select("row_id", "rank", "text"))
 
 
 _KNN_BASE = "(SELECT e.vec_id, e.embedding FROM embeddings e JOIN v_expanded x ON x.row_id = e.vec_id)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedlens.catalog.registry import query
 from feedlens.functions import prompts as pr
 from feedlens.functions import text as tx
+from feedlens.functions.bijection import sql_bijection
 from feedlens.plans import training as tr
 from feedlens.rubric import BINARY_LABELS as LAB
 from feedlens.sources.views import view
@@ -22,10 +23,9 @@ SQL_INNER = """h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY md5(
 o AS (SELECT h.*, 1 AS shift FROM h WHERE n > 1 UNION ALL SELECT h.*, 2 AS shift FROM h WHERE n > 2),
 inn AS (SELECT o.*, p.feedback AS alt_feedback FROM o JOIN h p ON p.qid = o.qid AND p.pos = (o.pos + o.shift) % o.n)"""
 
-SQL_OUTER = """b AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS i FROM v_expanded),
-pm AS (SELECT feedback AS alt_feedback, row_number() OVER (ORDER BY md5(concat_ws(':', '221', 'outer:0',
-  CAST(row_id AS VARCHAR))), row_id) - 1 AS j FROM v_expanded),
-outr AS (SELECT b.*, pm.alt_feedback, 0 AS round FROM b JOIN pm ON b.i = pm.j)"""
+SQL_OUTER = f"""b AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS cnt FROM v_expanded),
+outr AS (SELECT b.* EXCLUDE (i, cnt), p.feedback AS alt_feedback, 0 AS round
+  FROM (SELECT *, {sql_bijection('i', 'cnt', salt='outer:0')} AS goes FROM b) b JOIN b p ON p.i = b.goes)"""
 
 
 def _src(spark, sf):

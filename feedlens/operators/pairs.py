@@ -2,8 +2,8 @@
 
 * within-question mismatch: each row takes the feedback of its 1st / 2nd cyclic neighbour in
   its question group (positions by seeded hash, group split over many tasks);
-* across-question mismatch: a seeded permutation of feedback over all rows, as an equi-join
-  between the row's position in source order and a position in a seeded order;
+* across-question mismatch: a keyed bijection of the rows' positions, computed row by row, says
+  whose feedback a row gets, so all rounds together take one numbering and one equi-join;
 * score pairs: rows of one (question, distractor) item paired when their scores differ.
 """
 
@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.functions.bijection import bijection
 from feedlens.functions.hashing import seeded_hash
-from feedlens.operators.index import hash_positions, ordered_index, seeded_order
+from feedlens.operators.index import hash_positions, ordered_index
 from feedlens.rubric import SEED
 
 
@@ -36,21 +37,15 @@ def outer_permutation(src: DataFrame, *, key: str = "row_id", rounds: int = 1, s
                       exclude_equal: bool = False) -> DataFrame:
     """Rows of ``src`` plus ``alt_feedback`` from a seeded permutation, once per round (``round``).
 
-    Position ``i`` in key order receives the feedback at position ``i`` of the round's seeded
-    order. Self-pairs can occur, as in the source; ``exclude_equal`` leaves out the rows that got
-    their own text.
+    Position ``i`` in key order receives the feedback at the position to which the round's keyed
+    bijection sends ``i``. Self-pairs can occur, as in the source; ``exclude_equal`` leaves out
+    the rows that got their own text. The rows are written once in key order, numbers included.
     """
-    index = ordered_index(src.select(key), [key], index_col="_i")  # positions on slim keys
-    texts = src.select(F.col(key).alias("_k2"), F.col("feedback").alias("alt_feedback"))
-    outs = []
-    for r in range(rounds):
-        perm = seeded_order(src.select(F.col(key).alias("_k2")), ["_k2"], seed=seed, salt=f"outer:{r}", index_col="_j")
-        pairs = index.join(perm, F.col("_i") == F.col("_j"), "inner").select(F.col(key).alias("_k1"), "_k2")
-        outs.append(src.join(pairs, F.col(key) == F.col("_k1"), "inner").join(texts, "_k2", "inner").drop("_k1", "_k2")
-                    .withColumn("round", F.lit(r)))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
+    rows = ordered_index(src, [key], index_col="_i", total_col="_n")
+    texts = rows.select(F.col("_i").alias("_j"), F.col("feedback").alias("alt_feedback"))
+    goes = [F.struct(F.lit(r).alias("round"), bijection(F.col("_i"), F.col("_n"), seed=seed, salt=f"outer:{r}").alias("_t")) for r in range(rounds)]
+    sent = rows.select("*", F.inline(F.array(*goes)))
+    out = sent.join(texts, F.col("_t") == F.col("_j")).select(*src.columns, "alt_feedback", "round")
     return out.filter(~F.col("feedback").eqNullSafe(F.col("alt_feedback"))) if exclude_equal else out
 
 
