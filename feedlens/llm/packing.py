@@ -1,12 +1,13 @@
 """Harmonic packing of token sequences without padding.
 
-Method: pieces fall into reciprocal-capacity classes, and a bin of class k takes exactly k
-pieces. Documents may be cut freely, so every document is cut into the class sizes themselves:
-as many whole bins as fit (class 1), then the binary parts of the rest, the largest first
-(capacity / 2, capacity / 4, ... one token). k pieces of capacity / k fill a bin exactly. Each
-worker keeps at most k - 1 open pieces per class and needs no other worker. What is open in a
-class when a worker ends is closed as bins of a power of two of pieces, whose filled length is a
-power of two and so is not padded either.
+Method: a document of at most ``capacity`` tokens falls into the reciprocal-capacity class k with
+capacity / (k + 1) < tokens <= capacity / k, for every k, and a bin of class k takes k whole
+documents of its class. What such a bin lacks is cut from the next document, whose rest is classed
+anew, so there is one cut a bin at most. Of longer documents whole bins are cut first, and their
+rest is a document as any other. Each worker fills the bins of its own classes and needs no other
+worker: it holds at most k - 1 documents a class and one bin that lacks its filling. What is left
+when a worker ends is strung together, class by class, into full bins, and the last one is cut into
+powers of two, which are not padded either.
 
 Nothing is shuffled: tokenising and packing run in one pass over the input's partitions. A
 sequence id is (partition number, counter), unique and equal on a rerun of the same input.
@@ -83,46 +84,83 @@ def worker_encoder(path: str) -> Encoder:
     return kept.__dict__[path]
 
 
-def pieces(n: int, capacity: int):
-    """(start, length) cuts of ``n`` tokens into class sizes, the largest first."""
-    start = 0
-    while n - start >= capacity:
-        yield start, capacity
-        start += capacity
-    size = capacity >> 1
-    while start < n:
-        if n - start >= size:
-            yield start, size
-            start += size
-        size >>= 1
-
-
 class Packer:
-    """One worker's bins. ``add`` returns the pieces of bins that became full."""
+    """One worker's bins over documents as (doc, start, tokens, document's tokens) with 4 bytes a
+    token. ``add`` and ``finish`` return the pieces (doc, start, length, crc32, document's tokens,
+    tokens, sequence, offset) of bins that became full."""
 
     def __init__(self, first_id: int, capacity: int):
         self.next, self.capacity = first_id, capacity
-        self.open: dict[int, list] = {}
-
-    def _close(self, rows: list, size: int) -> list:
-        sequence, self.next = self.next, self.next + 1
-        return [(*row, sequence, k * size) for k, row in enumerate(rows)]
+        self.open: dict[int, list[tuple]] = {}
+        self.lacking: list[tuple] = []  # a bin that has its documents, and how much it lacks
+        self.gap = 0
+
+    def _close(self, items: list[tuple]) -> list[tuple]:
+        sequence, self.next, at, out = self.next, self.next + 1, 0, []
+        for doc, start, tokens, total in items:
+            n = len(tokens) // 4
+            out.append((doc, start, n, zlib.crc32(tokens), total, tokens, sequence, at))
+            at += n
+        return out
 
-    def add(self, size: int, row: tuple) -> list:
-        rows = self.open.setdefault(size, [])
-        rows.append(row)
-        if len(rows) * size < self.capacity:
-            return []
-        self.open[size] = []
-        return self._close(rows, size)
+    def _cut(self, item: tuple, n: int) -> tuple[tuple, tuple | None]:
+        """The first ``n`` tokens of a document and its rest, None if there is none."""
+        doc, start, tokens, total = item
+        rest = (doc, start + n, tokens[4 * n:], total)
+        return (doc, start, tokens[:4 * n], total), rest if rest[2] else None
+
+    def _fill(self, item: tuple) -> tuple[list[tuple], tuple | None]:
+        """Gives a document to the bin that lacks something: (pieces, its rest)."""
+        head, rest = self._cut(item, self.gap)
+        self.lacking.append(head)
+        self.gap -= len(head[2]) // 4
+        if self.gap:
+            return [], rest
+        items, self.lacking = self.lacking, []
+        return self._close(items), rest
+
+    def add(self, doc, tokens: bytes) -> list[tuple]:
+        item, out, total = (doc, 0, tokens, len(tokens) // 4), [], len(tokens) // 4
+        for _ in range(total // self.capacity):
+            head, item = self._cut(item, self.capacity)
+            out += self._close([head])
+        if item and self.gap:
+            done, item = self._fill(item)
+            out += done
+        if item:
+            k = self.capacity // (len(item[2]) // 4)
+            held = self.open.setdefault(k, [])
+            held.append(item)
+            if len(held) == k:
+                del self.open[k]
+                self.lacking, self.gap = held, self.capacity - sum(len(i[2]) for i in held) // 4
+                if not self.gap:
+                    self.lacking, done = [], self._close(held)
+                    out += done
+        return out
 
-    def finish(self) -> list:
+    def finish(self) -> list[tuple]:
         out = []
-        for size, rows in sorted(self.open.items(), reverse=True):
-            while rows:
-                take = 1 << len(rows).bit_length() - 1
-                out += self._close(rows[:take], size)
-                rows = rows[take:]
+        for item in [i for _, items in sorted(self.open.items()) for i in items]:
+            while item:
+                if not self.gap:
+                    self.gap = self.capacity
+                done, item = self._fill(item)
+                out += done
+        rest, self.lacking, self.open = self.lacking, [], {}
+        left = sum(len(i[2]) for i in rest) // 4
+        now: list[tuple] = []
+        gap = size = 1 << max(left.bit_length() - 1, 0)
+        for item in rest:
+            while item:
+                head, item = self._cut(item, gap)
+                now.append(head)
+                gap -= len(head[2]) // 4
+                if not gap:
+                    out += self._close(now)
+                    left, now = left - size, []
+                    gap = size = 1 << max(left.bit_length() - 1, 0)
+        self.gap = 0
         return out
 
 
@@ -135,7 +173,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     the piece's ids (``array<int>``) on request. ``capacity`` must be a power of two.
 
     Every token lies in exactly one piece; a sequence's pieces lie gapless from offset 0; its
-    filled length is ``capacity`` or a smaller power of two.
+    filled length is ``capacity`` or, where a worker ends, a smaller power of two.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -163,11 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             texts = b.column(b.schema.get_field_index(text_col))
             done: list = []
             for doc, tokens in zip(ids.to_pylist(), encode(texts), strict=True):
-                tokens += end
-                n = len(tokens) // 4
-                for start, length in pieces(n, capacity):
-                    part = tokens[4 * start:4 * (start + length)]
-                    done += packer.add(length, (doc, start, length, zlib.crc32(part), n, part if with_ids else None))
+                done += packer.add(doc, tokens + end)
             if done:
                 yield batch(done)
         if last := packer.finish():

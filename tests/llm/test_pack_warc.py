@@ -75,6 +75,48 @@ def test_pack_edges(spark, tokenizer):
         packing.pack(docs, tokenizer_path(), capacity=1000)
 
 
+def packed_rows(lengths, capacity):
+    packer, out, kinds = packing.Packer(0, capacity), [], []
+    for doc, n in enumerate(lengths):
+        out += packer.add(doc, np.arange(n, dtype="<u4").tobytes())
+        held = [(k, len(v)) for k, v in packer.open.items()]
+        assert all(m < k for k, m in held)  # fewer documents than a bin of the class takes
+    return [*out, *packer.finish()]
+
+
+@pytest.mark.parametrize("top", [40, 300, 2048, 6000])
+def test_packer_by_classes(top):
+    rng = np.random.default_rng(top)
+    lengths = rng.integers(1, top + 1, 4000).tolist()
+    rows = packed_rows(lengths, 2048)
+    seqs, docs = defaultdict(list), defaultdict(list)
+    for r in rows:
+        seqs[r[6]].append(r)
+        docs[r[0]].append(r)
+        assert r[3] == zlib.crc32(np.arange(r[1], r[1] + r[2], dtype="<u4").tobytes()) == zlib.crc32(r[5])
+    for doc, n in enumerate(lengths):
+        at = 0
+        for r in sorted(docs[doc], key=lambda r: r[1]):
+            assert r[1] == at and r[4] == n
+            at += r[2]
+        assert at == n
+    sizes = [sum(r[2] for r in s) for s in seqs.values()]
+    assert all(n & (n - 1) == 0 and n <= 2048 for n in sizes) and sum(n < 2048 for n in sizes) <= 11
+    if top <= 2048:
+        assert len(rows) < 2 * len(lengths) and len(rows) <= len(lengths) + len(seqs)  # one cut a bin
+        whole = [s for s in seqs.values() if sum(r[2] for r in s) == 2048]
+        # but for a worker's last bins, a bin holds the k documents of one class and then its filling
+        assert sum(any(len(s) > k and {2048 // r[2] for r in s[:k]} == {k} for k in (2048 // s[0][2],)) or len(s) == 2048 // s[0][2]
+                   for s in whole) > 0.9 * len(whole) - 60
+
+
+def test_packer_of_few_documents():
+    assert packed_rows([], 8) == []
+    assert [(r[0], r[1], r[2], r[6], r[7]) for r in packed_rows([8, 3, 5], 8)] == [(0, 0, 8, 0, 0), (2, 0, 5, 1, 0), (1, 0, 3, 1, 5)]
+    assert [(r[0], r[1], r[2], r[6], r[7]) for r in packed_rows([7], 8)] == [(0, 0, 4, 0, 0), (0, 4, 2, 1, 0), (0, 6, 1, 2, 0)]
+    assert [r[2] for r in packed_rows([1] * 8, 8)] == [1] * 8
+
+
 def brute_pages(rows, least=1000):
     groups = defaultdict(list)
     for i, h in rows:
