@@ -12,8 +12,9 @@ bound of the final distance are rejected.
 * Floors: most texts have no symbol and no repeated line at all, so the nearer half does not vary
   in these shares. ``FLOORS`` squared is added to the variances; for the three shares it is set so
   that a share of ``REACH`` reaches the bound by itself in a text that is otherwise at the mean.
-* Short texts: shares are over ``PRIOR_WORDS`` more words than the text has (one repeated line of
-  a short text is little evidence); at 50 words of which half repeat, the share is still at reach.
+* Short texts: shares are over as many more words as the least text that passes the base rules has
+  (``least_words``): a share counts with the text's words against one such text without finds, so
+  the least text's own shares count half. The number is the base rule's, and moves with it.
 * Consistency: the covariance of the nearer half is scaled so that the median distance is that of a
   chi-square with the degrees in which the rows vary above the floors (a sum of fractions, at
   least one). The half varies less than the whole, so the factor is never below one.
@@ -27,7 +28,8 @@ per group) stay a table and are joined back.
 
 Defined cases: null and empty texts have no word and fail the base rules; null language or
 source is a group of its own; equal rows get equal verdicts; a group of one row rejects nothing
-by itself. An empty table gives no rows. Other columns are ignored.
+by itself; a group without a row that passes the base rules has no distance (null). An empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +61,6 @@ def chi_square_bound(p: float, degrees: float) -> float:
 
 
 QUANTILE = 0.999
-PRIOR_WORDS = 50
 # Shares that reach the bound by themselves: symbols a word, duplicate lines a word (30 % of lines of ten words), repeated words.
 REACH = (0.1, 0.03, 0.25)
 # Standard deviation added to each statistic's own, in its transformed unit.
@@ -122,9 +123,9 @@ def _statistics(text_col: str, slice_bytes: int):
     return run
 
 
-def _vector() -> list[Column]:
+def _vector(least_words: int) -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    share = lambda c: F.col(c) / (F.col("n_words") + PRIOR_WORDS)
+    share = lambda c: F.col(c) / (F.col("n_words") + least_words)
     return [F.log1p("n_words"), F.log(F.greatest(F.col("word_chars") / n, F.lit(1.0))), F.log1p(share("n_symbols")),
             F.sqrt(share("n_dup_lines")), F.sqrt(share("n_repeat_words"))]
 
@@ -248,7 +249,7 @@ def rule_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             + ", ".join(f"{c} long" for c in BASE))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     stats = materialize(stats.select("*", failed.alias("base_failed"), _group_name("lang", "source").alias("own"),
-                                     _group_name("lang").alias("wide"), *[x.alias(f"x{i}") for i, x in enumerate(_vector())]), "rule-stats")
+                                     _group_name("lang").alias("wide"), *[x.alias(f"x{i}") for i, x in enumerate(_vector(least_words))]), "rule-stats")
     fitted = stats.filter(~F.col("base_failed"))
     xs = [f"x{i}" for i in range(P)]
     rows = fitted.select(F.explode(F.array("own", "wide")).alias("grp"), *xs)
@@ -272,6 +273,6 @@ def rule_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounds = materialize(leaned.select("own", "mean", "cov", "n_rows", "wide_mean", "wide_cov").mapInArrow(
         blend, "own string, mean array<double>, inverse array<double>"), "rule-bounds")
     limit = chi_square_bound(quantile, P)
-    return (stats.join(bounds, "own", "left").withColumn("distance", _distance())
+    return (stats.join(bounds, "own", "left").withColumn("distance", F.when(F.col("inverse").isNotNull(), _distance()))
             .select("doc_id", *BASE, "base_failed", "distance",
                     F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept")))

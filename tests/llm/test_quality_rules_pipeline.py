@@ -102,7 +102,8 @@ def test_rules_keep_clean_and_reject_noise(spark):
 
 
 def test_rules_equal_a_brute_force_estimate(spark):
-    """One group of known shape: concentration steps against a plain numpy run of the same steps."""
+    """One group of known shape, a seventh of it far off in one statistic (the numpy run of the same
+    steps is below)."""
     rng = np.random.default_rng(5)
     x = np.c_[rng.normal(5, 1, (400, 1)), rng.normal(1.6, 0.2, (400, 1)), np.zeros((400, 3))]
     x[:60, 1] += 4
@@ -113,6 +114,71 @@ def test_rules_equal_a_brute_force_estimate(spark):
     assert 0.3 < cov[0, 0] < 2 and 0.01 < cov[1, 1] < 0.1
 
 
+def numpy_groups(groups):
+    """Start, concentration steps and consistency of all groups (name -> rows) in plain numpy."""
+    floor = np.diag(np.square(outliers.FLOORS))
+    distance = lambda x, mean, cov: np.maximum(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean), 0)
+    bins = lambda d: np.floor(np.log2(d + 1e-6) * outliers.BINS).astype(int)
+
+    def nearer(b):
+        """Rows in the bins that begin before half of the rows are counted."""
+        return np.array([2 * (b < x).sum() < len(b) for x in b])
+
+    now = {}
+    for name, x in groups.items():
+        q = [np.sort(x, axis=0)[int(np.ceil(p * len(x))) - 1] for p in (0.25, 0.5, 0.75)]
+        now[name] = np.round(q[1], 9), np.diag(np.square((q[2] - q[0]) / 1.349))
+    for step in range(10):
+        moved = []
+        for name, x in groups.items():
+            mean, cov = now[name]
+            near = x[nearer(bins(distance(x, mean, cov)))]
+            new = near.mean(0), np.cov(near.T, bias=True)
+            moved.append(abs(np.linalg.slogdet(new[1] + floor)[1] - np.linalg.slogdet(cov + floor)[1]))
+            now[name] = np.round(new[0], 9), new[1]
+        if step and max(moved) <= 1e-3:
+            break
+    out = {}
+    for name, x in groups.items():
+        mean, cov = now[name]
+        b = bins(distance(x, mean, cov))
+        median = 2.0 ** ((b[nearer(b)].max() + 1) / outliers.BINS)
+        varying = max(1.0, np.trace(np.linalg.inv(cov + floor) @ cov))
+        out[name] = mean, cov * max(1.0, median / outliers.chi_square_bound(0.5, varying)), len(x)
+    return out, floor
+
+
+def test_rules_equal_a_numpy_run(spark):
+    """Every row's distance and verdict against numpy: start, steps, consistency, leaning, bound."""
+    got = {r.doc_id: r for r in op8_rule_outliers(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    vectors, fitted = {}, {}
+    for d in docs:
+        n, chars, symbols, lines, repeats = brute_statistics(d.text)
+        vectors[d.doc_id] = np.array([np.log1p(n), np.log(max(chars / max(n, 1), 1.0)), np.log1p(symbols / (n + 50)),
+                                      np.sqrt(lines / (n + 50)), np.sqrt(repeats / (n + 50))])
+        assert got[d.doc_id].base_failed == (n < 50 or 100 * repeats > 50 * n)
+        if not got[d.doc_id].base_failed:
+            for name in ((d.lang, d.source), (d.lang,)):
+                fitted.setdefault(name, []).append(vectors[d.doc_id])
+    found, floor = numpy_groups({k: np.array(v) for k, v in fitted.items()})
+    limit, compared, rejected = outliers.chi_square_bound(0.999, 5), 0, 0
+    for d in docs:
+        r = got[d.doc_id]
+        if (d.lang, d.source) not in found:
+            assert r.distance is None and r.kept == (not r.base_failed)
+            continue
+        (mean, cov, n), (wide_mean, wide_cov, _) = found[d.lang, d.source], found[d.lang,]
+        part = n / (n + 50)
+        x = vectors[d.doc_id] - (part * mean + (1 - part) * wide_mean)
+        want = x @ np.linalg.inv(part * cov + (1 - part) * wide_cov + floor) @ x
+        assert abs(r.distance - want) <= 1e-6 * max(1.0, want)
+        assert r.kept == (not r.base_failed and want <= limit)
+        compared += 1
+        rejected += not r.base_failed and want > limit
+    assert compared > 150 and rejected > 3
+
+
 def test_rules_reject_planted_outliers_that_pass_the_base_rules(spark):
     rng = np.random.default_rng(11)
     vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 8))) for _ in range(3000)]
@@ -163,10 +229,8 @@ def test_pipeline_stages_against_brute_force(spark):
     cut = {r.doc_id: r for r in stage["repeated_passages"](spark, docs, SF).collect()}
     all_rows = docs.collect()
     for r, (n, gone, text) in zip(all_rows, brute_repeats([r.text for r in all_rows], 35)):
-        if n and gone == n:
-            assert r.doc_id not in cut
-        else:
-            assert cut[r.doc_id].text == (text if gone else r.text) and cut[r.doc_id].n_chars == len(cut[r.doc_id].text)
+        # documents that lose every word stay, with an empty text
+        assert cut[r.doc_id].text == (text if gone else r.text) and cut[r.doc_id].n_chars == len(cut[r.doc_id].text)
     mixed = stage["weighted_mix"](spark, docs, SF)
     assert mixed.columns == docs.columns
     pieces = corpus_pipeline.run(spark, SF)
