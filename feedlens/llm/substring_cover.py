@@ -10,9 +10,11 @@ that hold the anchor are hashed, and those that occur twice or more mark their w
 Layout. Documents are packed into chunks of bounded bytes (all columns, compressed), written
 once to the shared folder. Each chunk sends its distinct hashes, sorted and cut by hash bits
 into buckets, and gets back one bit per hash: "another chunk has it". So the shuffled volume is
-a few bytes per anchor, a passage that a million documents share travels once per chunk, no
-pairs are formed, and every task holds one chunk or one bucket, both bounded whatever the key
-distribution. Windows compare by 64 hash bits plus the independent bits that chose the bucket.
+a few bytes per anchor, a passage that a million documents share travels once per chunk, and no
+pairs are formed. A task holds one chunk, of bounded bytes, or one bucket of hashes. A bucket's
+size follows the number of buckets (``bucket_bytes``), but for a hash that stands in every chunk: it
+is there once per chunk. From about 17 bucket bits on (3 TB of text at the defaults) a chunk's rows
+hold about one hash each, and the row's own bytes outweigh the hash. Windows compare by 64 hash bits plus the independent bits that chose the bucket.
 
 Defined cases: null and empty texts have no words and nothing removed, kept text empty. Texts
 shorter than a window lose nothing. Overlapping repeats inside one text count as repeats.
