@@ -4,18 +4,21 @@
   its question group (positions by seeded hash, group split over many tasks);
 * across-question mismatch: a keyed bijection of the rows' positions, computed row by row, says
   whose feedback a row gets, so all rounds together take one numbering and one equi-join;
-* score pairs: rows of one (question, distractor) item paired when their scores differ.
+* score pairs: rows of one (question, distractor) item paired when their scores differ, in a
+  triangular grid of blocks per item.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.functions.bijection import bijection
-from feedlens.functions.hashing import seeded_hash
+from feedlens.functions.hashing import key_digest, seeded_hash
+from feedlens.operators.hot import join_counted
 from feedlens.operators.index import hash_positions, ordered_index
 from feedlens.rubric import SEED
+from feedlens.sources.files import materialize
 
 
 def inner_neighbours(src: DataFrame, *, group: str = "qid", key: str = "row_id", offsets=(1, 2),
@@ -50,19 +53,48 @@ def outer_permutation(src: DataFrame, *, key: str = "row_id", rounds: int = 1, s
 
 
 def score_pairs(df: DataFrame, score_col: str = "score", *, item=("question", "distractor"),
-                key: str = "row_id") -> DataFrame:
+                key: str = "row_id", block_rows: int = 4096) -> DataFrame:
     """Pairs of rows of one item with different, non-NULL scores: ``(first, win, lose)`` columns.
 
     ``first`` is the row with the smaller key (its fields make the prompt). The output is every
     unordered non-tied pair of the item, as the source builds it, so its size is the sum of
-    squared item sizes; a hot item key is split by adaptive skew-join handling.
+    squared item sizes. An item's rows, in the order of their scores, are cut into blocks of about
+    ``block_rows``; a pair of blocks i <= j is one join key, so a hot item is spread over as many
+    tasks as its output asks for. Blocks that hold one and the same score never meet, and a row
+    goes to each block of the other side once: items of one block travel as in a plain join.
     """
     item = list(item)
     d = df.filter(F.col(score_col).isNotNull())
     for c in item:
         d = d.filter(F.col(c).isNotNull())
-    a = d.select(*[F.col(c) for c in d.columns])
-    b = d.select(*[F.col(c).alias(f"b_{c}") for c in d.columns])
-    cond = [F.col(c) == F.col(f"b_{c}") for c in item] + [F.col(key) < F.col(f"b_{key}"),
-                                                          F.col(score_col) != F.col(f"b_{score_col}")]
-    return a.join(b, cond, "inner")
+    rows = d.select(F.struct(*d.columns).alias("r"), key_digest(item).alias("_item"), F.col(score_col).alias("_s"), F.col(key).alias("_k"))
+
+    # per item: its scores with how many rows lie below, and the least and largest score of each block
+    scores = rows.groupBy("_item", "_s").agg(F.count(F.lit(1)).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("_item").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grid = scores.withColumn("o", below).groupBy("_item").agg(
+        F.array_sort(F.collect_list(F.struct("o", F.col("_s").alias("s"), "n"))).alias("_g"), F.sum("n").alias("_n"))
+
+    def score_at(place):
+        return F.element_at(F.filter("_g", lambda x: x["o"] <= place), -1)["s"]
+
+    blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / block_rows) - 1)
+    grid = grid.withColumn("_b", F.transform(blocks, lambda t: F.struct(
+        t.alias("t"), score_at(t * block_rows).alias("low"), score_at(F.least(F.col("_n"), (t + 1) * block_rows) - 1).alias("high"))))
+    grid = materialize(grid, "score-grid")
+
+    rows = join_counted(rows, grid, ["_item"], "_n")
+    own = F.element_at(F.filter("_g", lambda x: x["s"] == F.col("_s")), 1)
+    spread = F.pmod(F.xxhash64("_k"), F.lit(1 << 52)).cast("double") / float(1 << 52)  # where a row lies among its equals
+    rows = rows.withColumn("_o", own).withColumn("_t", F.floor((F.col("_o.o") + F.floor(spread * F.col("_o.n"))) / block_rows).cast("int"))
+    mine = F.element_at("_b", F.col("_t") + 1)
+    after = F.filter("_b", lambda b: (b["t"] == F.col("_t")) | (b["t"] > F.col("_t")) & (b["high"] > mine["low"]))
+    before = F.filter("_b", lambda b: (b["t"] == F.col("_t")) | (b["t"] < F.col("_t")) & (b["low"] < mine["high"]))
+    rows = materialize(rows.select("r", "_item", "_s", "_k", F.col("_t").cast("long").alias("_at"), F.transform(after, lambda b: b["t"]).alias("_after"),
+                                   F.transform(before, lambda b: b["t"]).alias("_before")), "score-rows")  # read by both sides
+    low = rows.select("_item", F.col("r").alias("l"), F.col("_s").alias("_ls"), F.col("_k").alias("_lk"), F.col("_at").alias("i"), F.explode("_after").alias("j"))
+    high = rows.select("_item", F.col("r").alias("h"), F.col("_s").alias("_hs"), F.col("_k").alias("_hk"), F.col("_at").alias("j"), F.explode("_before").alias("i"))
+    met = low.join(high, ["_item", "i", "j"]).filter((F.col("_ls") < F.col("_hs")) & (F.col("_lk") != F.col("_hk")))
+    turned = F.col("_lk") > F.col("_hk")
+    out = met.select(F.when(turned, F.col("h")).otherwise(F.col("l")).alias("a"), F.when(turned, F.col("l")).otherwise(F.col("h")).alias("b"))
+    return out.select("a.*", *[F.col("b").getField(c).alias(f"b_{c}") for c in d.columns])

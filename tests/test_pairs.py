@@ -62,3 +62,42 @@ def test_score_pairs(spark):
     out = tr.pref_scores(spark.createDataFrame(rows, cols)).collect()
     got = sorted((r.chosen, r.rejected) for r in out)
     assert got == [("tie1", "worse"), ("tie2", "worse")]
+
+
+def _pairs_by_hand(rows):
+    out = []
+    for a in rows:
+        for b in rows:
+            if a[1] == b[1] and a[0] < b[0] and a[2] is not None and b[2] is not None and a[2] != b[2] and a[1] is not None:
+                out.append((a[0], b[0], a[2], b[2]))
+    return sorted(out)
+
+
+def test_score_pairs_of_a_hot_item(spark):
+    """An item of a third of all rows, ties and repeated scores, over blocks of a few rows."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(i, "hot" if i % 3 == 0 else f"q{i % 40}", rng.choice([None, 0.0, 0.2, 0.2, 1.0, rng.random()])) for i in range(900)]
+    rows += [(1000 + i, "tied", 0.5) for i in range(200)] + [(2000 + i, None, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "row_id LONG, question STRING, score DOUBLE").withColumn("distractor", F.lit("d"))
+    for block in (7, 64, 4096):
+        out = pa.score_pairs(df, block_rows=block)
+        assert out.columns == [*df.columns, *[f"b_{c}" for c in df.columns]]
+        assert sorted((r.row_id, r.b_row_id, r.score, r.b_score) for r in out.collect()) == _pairs_by_hand(rows)
+
+
+def test_score_pairs_spread_a_hot_item(spark):
+    """No join key holds more than a pair of blocks; ties never meet."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).selectExpr("id AS row_id", "'q' AS question", "'d' AS distractor", "double(id % 2) AS score")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = pa.score_pairs(df, block_rows=100)
+        per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(per) == 1500 * 1500 and len(per) == 8 and max(per) < 0.3 * sum(per)

@@ -6,7 +6,8 @@ import pytest
 from feedlens.catalog import QUERIES
 from tests.conftest import SF
 
-ARROW_OPS = ("ArrowEvalPython", "MapInPandas", "FlatMapCoGroupsInPandas", "FlatMapGroupsInPandas")
+ARROW_OPS = ("ArrowEvalPython", "MapInPandas", "FlatMapCoGroupsInPandas", "FlatMapGroupsInPandas", "MapInArrow", "FlatMapCoGroupsInArrow",
+             "FlatMapGroupsInArrow")
 
 
 @pytest.fixture(scope="module")
