@@ -8,6 +8,7 @@ from feedlens.catalog.build_q import SQL_EXPANDED_SPLITS, expanded_splits
 from feedlens.catalog.registry import query
 from feedlens.functions import prompts as pr
 from feedlens.functions import text as tx
+from feedlens.functions.plugins import WORD_IDS, token_ids
 from feedlens.functions.parse import (parse_binary, parse_likert, sql_likert_scores, sql_parse_binary_ctes,
                                       sql_parse_likert)
 from feedlens.plans.retrieval import retrieval_sample as retrieval_fields
@@ -203,4 +204,4 @@ _SQL_WC = (f"CASE WHEN {tx.sql_strip('feedback')} = '' THEN 0 ELSE "
 @query("max_tokens", ("v_mcq",), SQL_EXPANDED_SPLITS + f" SELECT split, max({_SQL_WC}) AS max_tokens FROM ex GROUP BY split")
 def max_tokens(spark, sf):
     ex = expanded_splits(spark, sf)
-    return ex.groupBy("split").agg(F.max(tx.word_count("feedback")).cast("long").alias("max_tokens"))
+    return ex.groupBy("split").agg(F.max(F.size(token_ids(WORD_IDS, tx.strip("feedback")))).cast("long").alias("max_tokens"))

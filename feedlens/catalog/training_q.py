@@ -8,6 +8,9 @@ from feedlens.catalog.registry import query
 from feedlens.functions import prompts as pr
 from feedlens.functions import text as tx
 from feedlens.functions.bijection import sql_bijection
+from feedlens.functions.plugins import ECHO, WORD_IDS, hashed_scorer, score_rows, write_rows
+from feedlens.operators import batches as bt
+from feedlens.operators.metrics import ensemble
 from feedlens.plans import training as tr
 from feedlens.rubric import BINARY_LABELS as LAB
 from feedlens.sources.views import view
@@ -101,14 +104,7 @@ def preference_table(spark, sf):
 
 # ---- tokenised supervised rows with the loss mask ---------------------------------------------
 
-_PAD, _EOS, _IGNORE, _BATCH = 0, 2, -100, 8
-
-
-def _word_ids(col):
-    """Stand-in tokenizer (a plugged-in tokenizer UDF replaces it): one id per word, from md5."""
-    words = F.split(tx.strip(col), tx.WS_CLASS + "+")
-    return F.transform(F.filter(words, lambda w: w != ""),
-                       lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") + F.lit(3)))
+_PAD, _EOS, _IGNORE, _BATCH = WORD_IDS.pad_id, WORD_IDS.eos_id, bt.IGNORE, 8
 
 
 def _sql_word_ids(e: str) -> str:
@@ -116,30 +112,61 @@ def _sql_word_ids(e: str) -> str:
             "lambda w: CAST(('0x' || substr(md5(w), 1, 4)) AS INTEGER) + 3)")
 
 
-@query("sft_loss_mask", SRC, f"""WITH t AS (SELECT row_id, {_sql_word_ids(pr.sql_sft_prompt(False))} AS p,
-  list_concat({_sql_word_ids(pr.sql_sft_prompt(False))}, {_sql_word_ids('feedback')}, [{_EOS}]) AS f,
-  CAST(floor((row_number() OVER (ORDER BY row_id) - 1) / {_BATCH}) AS BIGINT) AS batch_id FROM v_expanded),
-m AS (SELECT *, max(len(f)) OVER (PARTITION BY batch_id) AS width FROM t)
+def _sql_padded(order: str) -> str:
+    return f"""WITH t AS (SELECT row_id, {_sql_word_ids(pr.sql_sft_prompt(False))} AS p,
+  list_concat({_sql_word_ids(pr.sql_sft_prompt(False))}, {_sql_word_ids('feedback')}, [{_EOS}]) AS f FROM v_expanded),
+b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY {order}) - 1) / {_BATCH}) AS BIGINT) AS batch_id FROM t),
+m AS (SELECT *, max(len(f)) OVER (PARTITION BY batch_id) AS width FROM b)
 SELECT row_id, batch_id,
   list_concat(f, list_transform(range(width - len(f)), lambda i: {_PAD})) AS input_ids,
   list_concat(list_transform(range(len(f)), lambda i: 1), list_transform(range(width - len(f)), lambda i: 0)) AS attention_mask,
   list_concat(list_transform(range(len(p)), lambda i: {_IGNORE}), f[len(p) + 1:],
               list_transform(range(width - len(f)), lambda i: {_IGNORE})) AS labels
-FROM m""")
+FROM m"""
+
+
+def _token_rows(spark, sf):
+    return bt.token_rows(_src(spark, sf), WORD_IDS, pr.sft_prompt(False), F.col("feedback"))
+
+
+@query("sft_loss_mask", SRC, _sql_padded("row_id"))
 def sft_loss_mask(spark, sf):
     """Prompt+completion token ids padded to the batch width; prompt and padding are ignored (-100)."""
-    from feedlens.operators.index import batch_ids
-    e = _src(spark, sf)
-    t = e.select("row_id", _word_ids(pr.sft_prompt(False)).alias("p"), _word_ids(F.col("feedback")).alias("_fb"))
-    t = t.select("row_id", "p", F.concat("p", "_fb", F.array(F.lit(_EOS))).alias("f"))
-    t = t.join(batch_ids(e.select("row_id"), _BATCH, ["row_id"]), "row_id")  # numbered on slim keys
-    widths = t.groupBy("batch_id").agg(F.max(F.size("f")).alias("width"))  # one row per batch
-    m = t.join(widths, "batch_id")
-    pad = F.col("width") - F.size("f")
-    return m.select(
-        "row_id", "batch_id",
-        F.concat("f", F.array_repeat(F.lit(_PAD), pad)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size("f")), F.array_repeat(F.lit(0), pad)).alias("attention_mask"),
-        F.concat(F.array_repeat(F.lit(_IGNORE), F.size("p")),
-                 F.slice("f", F.size("p") + 1, F.greatest(F.size("f") - F.size("p"), F.lit(0))),
-                 F.array_repeat(F.lit(_IGNORE), pad)).alias("labels"))
+    t = _token_rows(spark, sf)
+    return bt.padded_rows(t, bt.row_batches(t, _BATCH), _PAD)
+
+
+@query("sft_length_batches", SRC, _sql_padded("len(f), row_id"))
+def sft_length_batches(spark, sf):
+    """The rows of ``sft_loss_mask`` in batches of nearly one length."""
+    t = _token_rows(spark, sf)
+    return bt.padded_rows(t, bt.length_batches(t, _BATCH), _PAD)
+
+
+# ---- model plug-ins -----------------------------------------------------------------------------
+
+MODELS = ("rm-a", "rm-b", "rm-c")
+
+
+def _sql_logit(i: int) -> str:
+    one = [f"(CAST(('0x' || substr(md5('{m}:' || input), {2 * i + 1}, 2)) AS INTEGER) - 128) / 16.0" for m in MODELS]
+    return f"round(CAST(({' + '.join(one)}) / {len(MODELS)}.0 AS DOUBLE), 6)"
+
+
+@query("score_stub", BOTH, f"SELECT row_id, {', '.join(f'{_sql_logit(i)} AS logit_{n}' for i, n in enumerate(LAB))} FROM "
+       f"(SELECT row_id, {pr.sql_rm_input(False)} AS input FROM v_annotated_a)")
+def score_stub(spark, sf):
+    """Every row's reward-model input scored by three (stand-in) models in one pass, mean logits."""
+    rows = _data(spark, sf).select("row_id", pr.rm_input().alias("input"))
+    scored = score_rows(rows, [hashed_scorer(m) for m in MODELS], "input", ["row_id"])
+    e = ensemble(scored, keep=())
+    return e.select("row_id", *[F.round(F.col("logits")[i], 6).alias(f"logit_{n}") for i, n in enumerate(LAB)])
+
+
+@query("generate_model", SRC, f"SELECT row_id, prompt, 'Look at step ' || CAST(('0x' || substr(md5(prompt), 1, 1)) AS INTEGER) || ' again, ' || "
+       f"substr(md5(prompt), 1, 6) || '.' AS prediction FROM (SELECT row_id, {pr.sql_sft_prompt(False)} AS prompt FROM v_expanded)")
+def generate_model(spark, sf):
+    """A (stand-in) model's text after every supervised prompt, cut after its first line."""
+    rows = _src(spark, sf).select("row_id", pr.sft_prompt(False).alias("prompt"))
+    out = write_rows(rows, ECHO, "prompt", ["row_id"])
+    return out.select("row_id", "prompt", tx.first_line("prediction").alias("prediction"))
