@@ -16,6 +16,7 @@ from feedlens.rubric import BINARY_LABELS as LAB, FLIPPED_LABELS as FL
 from feedlens.session import shared_dir
 from feedlens.sources import cache as cc
 from feedlens.sources import files as fl
+from feedlens.sources.arrow_files import read_arrow, write_arrow
 from feedlens.sources.views import view
 from feedlens.streaming import generation as gen
 
@@ -56,10 +57,11 @@ def split_filter(spark, sf):
 
 @query("export_arrow", ("v_mcq",), f"WITH {SQL_EL}, {SQL_CA}, {SQL_OK} {_sql_expand('ok')}")
 def export_arrow(spark, sf):
-    """Expanded rows exported as a Parquet dataset (Arrow-compatible columns), read back."""
+    """Expanded rows handed off as Arrow IPC files under a committed manifest, read back."""
     path = shared_dir(spark, "arrow") + "/expanded"
-    fl.write_table(mcq.expand(mcq.eligible(view(spark, sf, "v_mcq"))), path)
-    return fl.read_table(spark, path)
+    rows = mcq.expand(mcq.eligible(view(spark, sf, "v_mcq")))
+    write_arrow(rows, path)
+    return read_arrow(spark, path, rows.schema)
 
 
 @query("run_columns", ("v_generated",), "SELECT row_id, method, 'code-davinci-002' AS model, 2 AS k, false AS sol, "
