@@ -57,7 +57,8 @@ def ngram_counts(data: np.ndarray, offsets: np.ndarray, dims: int, sizes=(1, 2,
 
 
 def repeat_share(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text, the share of its words that equal the word before."""
+    """Per text, the share of its words that equal the word before: stuttering text, which counts of
+    n-grams, blind to how often a word follows itself, place beside ordinary text of its words."""
     starts, ends, first = word_spans(data, offsets)
     h = word_hashes(data, starts, ends)
     same = np.zeros(len(h) + 1, np.int64)
@@ -156,10 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     chosen = (chosen.withColumn("_h", h).join(F.broadcast(least), ["_id", "_h"]).groupBy("_id")
               .agg(F.first("label").alias("label"), F.min("_text").alias("_text")).drop("_id"))
     rows = chosen.mapInArrow(_count_batches("_text", dims), "label double, counts binary").toArrow()
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<f4").reshape(-1, dims + 1)
-    y = rows.column("label").to_numpy()
-    order = np.lexsort((counts.sum(1), y)) if len(y) else np.zeros(0, np.int64)  # row order must not matter
-    return fit_votes(counts[order], y[order], rank, k, power, seed)
+    # by label and counts, so the order of arrival does not matter: rows equal in both are the same row
+    pairs = sorted(zip(rows.column("label").to_pylist(), rows.column("counts").to_pylist(), strict=True))
+    counts = np.frombuffer(b"".join(c for _, c in pairs), "<f4").reshape(-1, dims + 1)
+    return fit_votes(counts, np.array([y for y, _ in pairs]), rank, k, power, seed)
 
 
 def classify(docs: DataFrame, model: LatentVotes, text_col: str = "text", threshold: float = 0.7,

@@ -69,6 +69,19 @@ def test_blocked_votes_are_exact():
         assert abs(got[i] - ((w * y[near]).sum() + 0.025) / (w.sum() + 0.05)) < 1e-6
 
 
+def test_fit_does_not_depend_on_the_order_of_rows(spark):
+    """Texts of one label whose n-gram counts have equal sums, in three orders of arrival."""
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join("".join(chr(97 + c) for c in rng.integers(0, 5, 4)) for _ in range(12))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    scores = []
+    for parts in (1, 3, 7):
+        model = quality_knn.fit(docs.repartition(parts).orderBy(F.xxhash64(F.lit(parts), "doc_id")), labels.repartition(parts), k=4)
+        scores.append([r.score for r in quality_knn.classify(docs, model).orderBy("doc_id").collect()])
+    assert scores[0] == scores[1] == scores[2]
+
+
 def brute_statistics(t):
     t = t or ""
     w = WORD.findall(t)
