@@ -170,7 +170,6 @@ UNION ALL SELECT 'retrieved', e.row_id, g.generated_feedback, g.prompt FROM v_ex
   ON g.src_row_id = e.row_id AND g.method = 'knn'""")
 def normalise_results(spark, sf):
     og = view(spark, sf, "v_expanded")
-    gold = view(spark, sf, "v_annotated_a").filter(F.col("method") == "gold")  # the rows that were answered
     g = view(spark, sf, "v_generated")
     cols = ["source", "row_id", "feedback", "gen_prompt"]
     a = ev.normalise(og, "og").withColumn("source", F.lit("og")).select(*cols)
@@ -179,7 +178,8 @@ def normalise_results(spark, sf):
         "source", F.lit("ft")).select(*cols)
     res = g.filter(F.col("method") == "knn").select(F.col("src_row_id").alias("row_id"),
                                                     F.col("generated_feedback").alias("pred"), "prompt")
-    d = ev.normalise(res, "retrieved", original=gold).withColumn("source", F.lit("retrieved")).select(*cols)
+    answered = og.join(res.select("row_id"), "row_id", "left_semi")  # an item may lack the method's answer
+    d = ev.normalise(res, "retrieved", original=answered).withColumn("source", F.lit("retrieved")).select(*cols)
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
