@@ -1,11 +1,12 @@
 """Exact cosine top-k between two vector tables, blocked.
 
 The source multiplies the full target x pool matrix in memory. Here each side is cut into
-blocks of at most ``block_rows`` rows per group; a left block meets every right block of the
-same group in one ``cogroup`` task that multiplies the two blocks with numpy and keeps the top-k
-per left row. No pair row is ever materialised: the shuffle carries each vector once per block
-of the other side and at most ``k`` candidates per (left row, right block); the final top-k is a
-window with ``WindowGroupLimit``. Memory per task is bounded by the block size, not the data.
+blocks of bounded rows per group; a left block meets every right block of the same group in one
+``cogroup`` task that multiplies them with numpy, tile by tile, and keeps the top-k per left row.
+No pair row is ever materialised: the shuffle carries each vector once per block of the other
+side (few, wide blocks, see ``block_count``) and at most ``k`` candidates per (left row, right
+block); the final top-k is a window with ``WindowGroupLimit``. A task holds two blocks and one
+tile, whatever the data. All pairs are scored, so the time grows with the product of the sides.
 
 ``PrunedSearch`` cuts the blocks by nearest pivot and by distance from it instead. Angles obey the
 triangle inequality, so two blocks' pivots and distances bound every similarity between them.
@@ -43,7 +44,7 @@ def unit_rows(column) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
     norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None] if len(rows) else np.ones((0, 1))
-    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm != 0)
+    return np.divide(rows, norm, out=rows, where=norm != 0)
 
 
 def top_of_rows(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,39 +58,105 @@ def top_of_rows(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], col[keep]
 
 
-def _score(left_id, right_id, keys, k, exclude_self, self_sim_zero, digits):
+TILE = 1024
+
+
+class BestOf:
+    """The k best right rows of each left row, out of products of at most ``TILE`` x ``TILE`` entries.
+
+    Right rows are named by their place in the order of their ids, so the smaller place wins a tie.
+    Similarities are kept in whole units of the last of ``digits`` places.
+    """
+
+    def __init__(self, left: pa.Table, right: pa.Table, left_id: str, right_id: str, k: int, exclude_self: bool, self_sim_zero: bool, digits: int):
+        self.ids = [t.column(c).combine_chunks() for t, c in ((left, left_id), (right, right_id))]
+        lid, rid = (i.to_numpy(zero_copy_only=False) for i in self.ids)
+        self.order = np.argsort(rid, kind="stable")
+        self.left, self.right = unit_rows(left.column("_v")), unit_rows(right.column("_v"))[self.order]
+        self.k, self.unit, self.self_value = k, 10.0 ** digits, 0.0 if self_sim_zero else -np.inf
+        self.own = self.codes = None
+        if (exclude_self or self_sim_zero) and len(lid) and len(rid):
+            place = {x: j for j, x in enumerate(rid[self.order].tolist())}
+            if len(place) == len(rid):
+                self.own = np.array([place.get(x, -1) for x in lid.tolist()], np.int64)
+            else:  # an id may have several rows
+                codes = np.unique(np.concatenate([lid, rid[self.order]]), return_inverse=True, equal_nan=False)[1]
+                self.codes = codes[:len(lid)], codes[len(lid):]
+        self.sims = np.full((len(lid), k), -np.inf)
+        self.places = np.full((len(lid), k), -1, np.int64)
+
+    def meet(self, rows: np.ndarray, places: np.ndarray, ascending: bool) -> None:
+        """Scores left ``rows`` against right ``places`` (both ascending). ``ascending``: these
+        rows met only smaller places before, so that an equal one no longer counts."""
+        for i in range(0, len(rows), TILE):
+            for j in range(0, len(places), TILE):
+                self._tile(rows[i:i + TILE], places[j:j + TILE], ascending)
+
+    def _tile(self, rows, places, ascending) -> None:
+        s = self.left[rows] @ self.right[places].T
+        s *= self.unit
+        np.rint(s, out=s)
+        if self.own is not None:
+            own = self.own[rows]
+            at = np.minimum(np.searchsorted(places, own), len(places) - 1)
+            hit = np.flatnonzero(places[at] == own)
+            s[hit, at[hit]] = self.self_value
+        elif self.codes is not None:
+            s[self.codes[0][rows][:, None] == self.codes[1][places][None, :]] = self.self_value
+        mark = self.sims[rows, -1][:, None]
+        better = (s > mark) if ascending else (s >= mark) & (s > -np.inf)
+        some = np.flatnonzero(better.any(axis=1))
+        if not len(some):
+            return
+        many = np.count_nonzero(better[some], axis=1) > self.k
+        few, lots = some[~many], some[many]
+        r, c = np.nonzero(better[few])
+        r = few[r]
+        if len(lots):
+            r2, c2 = top_of_rows(np.where(better[lots], s[lots], -np.inf), self.k)
+            r, c = np.concatenate([r, lots[r2]]), np.concatenate([c, c2])
+        # what is held and what is new, ranked together
+        held = np.repeat(some, self.k)
+        row = np.concatenate([held, r])
+        sim = np.concatenate([self.sims[rows[some]].ravel(), s[r, c]])
+        place = np.concatenate([self.places[rows[some]].ravel(), places[c]])
+        rank = np.lexsort((place, -sim, row))
+        row, sim, place = row[rank], sim[rank], place[rank]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = nth < self.k
+        self.sims[rows[row[keep]], nth[keep]], self.places[rows[row[keep]], nth[keep]] = sim[keep], place[keep]
+
+    def found(self) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+        """(left row, left id, right id, similarity) of all that was found."""
+        row, nth = np.nonzero(self.sims > -np.inf)
+        right = self.ids[1].take(pa.array(self.order[self.places[row, nth]], pa.int64()))
+        return row, self.ids[0].take(pa.array(row, pa.int64())), right, self.sims[row, nth] / self.unit + 0.0
+
+
+def _score(left_id, right_id, keys, k, exclude_self, self_sim_zero, digits, meet):
     def fn(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        ids = [t.column(c).combine_chunks() for t, c in ((lt, left_id), (rt, right_id))]
-        lid, rid = (i.to_numpy(zero_copy_only=False) for i in ids)
-        order = np.argsort(rid, kind="stable")
-        row = col = np.zeros(0, np.int64)
-        sims = np.zeros(0)
-        if len(lid) and len(rid):
-            s = np.round(unit_rows(lt.column("_v")) @ unit_rows(rt.column("_v"))[order].T, digits)
-            if exclude_self or self_sim_zero:
-                place = {x: i for i, x in enumerate(lid.tolist())}
-                if len(place) == len(lid) and len(set(rid.tolist())) == len(rid):
-                    same = [(place[x], j) for j, x in enumerate(rid[order].tolist()) if x in place]
-                    at = tuple(np.array(same, np.int64).reshape(-1, 2).T)
-                else:
-                    at = lid[:, None] == rid[order][None, :]
-                s[at] = -np.inf if exclude_self else 0.0
-            row, col = top_of_rows(s, k)
-            sims = s[row, col]
-        out = {c: pa.array([lt.column(c)[0].as_py()] * len(row), lt.schema.field(c).type) if len(row) else pa.array([], lt.schema.field(c).type)
-               for c in keys}
-        return pa.table({**out, left_id: ids[0].take(pa.array(row)), right_id: ids[1].take(pa.array(order[col])), "sim": sims + 0.0})
+        top = BestOf(lt, rt, left_id, right_id, k, exclude_self, self_sim_zero, digits)
+        if lt.num_rows and rt.num_rows:
+            meet(top, lt, rt)
+        row, lid, rid, sim = top.found()
+        out = {c: lt.column(c).combine_chunks().take(pa.array(row, pa.int64())) for c in keys}
+        return pa.table({**out, left_id: lid, right_id: rid, "sim": sim})
 
     return fn
 
 
+def _meet_all(top: BestOf, lt: pa.Table, rt: pa.Table) -> None:
+    top.meet(np.arange(lt.num_rows), np.arange(rt.num_rows), True)
+
+
 def score_blocks(left: DataFrame, right: DataFrame, tasks: list[str], keys: list[str], left_id: str, right_id: str, k: int,
-                 exclude_self: bool, self_sim_zero: bool, digits: int) -> DataFrame:
+                 exclude_self: bool, self_sim_zero: bool, digits: int, meet=_meet_all) -> DataFrame:
     """(*keys, left_id, right_id, sim): the top-k right rows of each left row in one block, for
-    every combination of the ``tasks`` columns that both sides hold. Vectors are in ``_v``."""
+    every combination of the ``tasks`` columns that both sides hold. Vectors are in ``_v``.
+    ``meet(best, left, right)`` may leave out pairs; ``keys`` are columns of the left rows."""
     fields = [left.schema[c] for c in [*keys, left_id]] + [right.schema[right_id], T.StructField("sim", T.DoubleType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    fn = _score(left_id, right_id, keys, k, exclude_self, self_sim_zero, digits)
+    fn = _score(left_id, right_id, keys, k, exclude_self, self_sim_zero, digits, meet)
     return left.groupBy(*tasks).cogroup(right.groupBy(*tasks)).applyInArrow(fn, schema)
 
 
@@ -99,10 +166,24 @@ def best(part: DataFrame, keys, left_id: str, right_id: str, k: int) -> DataFram
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+# Blocks a side: one per ``block_rows`` up to ``SPREAD`` of them, which keeps tasks busy, then as few
+# as leave ``WIDE * block_rows`` rows in a block, as every block sends its rows to all of the other side.
+SPREAD, WIDE = 8, 16
+
+
+def block_count(n: Column, block_rows: int) -> Column:
+    return F.greatest(F.least(F.ceil(n / F.lit(block_rows)), F.lit(SPREAD)), F.ceil(n / F.lit(WIDE * block_rows)))
+
+
 def as_vectors(vec: str) -> Column:
     return F.col(vec).cast("array<double>")
 
 
+def sent_vectors(df: DataFrame, vec: str) -> Column:
+    """Vectors as they are shuffled: single precision stays so, tasks make doubles of it."""
+    return F.col(vec) if df.schema[vec].dataType == T.ArrayType(T.FloatType(), df.schema[vec].dataType.containsNull) else as_vectors(vec)
+
+
 def block_topk(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, vec: str = "vec", k: int = 2,
                group_cols=(), exclude_self: bool = False, self_sim_zero: bool = False, block_rows: int = 4096, digits: int = 6) -> DataFrame:
     """Top-``k`` right rows per left row by cosine similarity (within ``group_cols``).
@@ -114,9 +195,9 @@ def block_topk(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
         raise ValueError("exclude_self and self_sim_zero exclude each other")
     g = list(group_cols)
     # fresh aliases: both sides may come from one table (self-similarity)
-    lv = left.select(*[F.col(c).alias(c) for c in g], F.col(left_id).alias(left_id), as_vectors(vec).alias("_v"))
-    rv = right.select(*[F.col(c).alias(c) for c in g], F.col(right_id).alias(right_id), as_vectors(vec).alias("_v"))
-    nlb = F.ceil(F.count(F.lit(1)) / F.lit(block_rows))
+    lv = left.select(*[F.col(c).alias(c) for c in g], F.col(left_id).alias(left_id), sent_vectors(left, vec).alias("_v"))
+    rv = right.select(*[F.col(c).alias(c) for c in g], F.col(right_id).alias(right_id), sent_vectors(right, vec).alias("_v"))
+    nlb = block_count(F.count(F.lit(1)), block_rows)
     if g:
         # number of blocks per group and side: a table with one row per group, joined on the group key
         blocks = lv.groupBy(*g).agg(nlb.alias("_nlb")).join(rv.groupBy(*g).agg(nlb.alias("_nrb")), g)
@@ -157,38 +238,49 @@ def fit_pivots(vectors: DataFrame, id_col: str, vec: str, count: int, *, sample_
     return centres
 
 
-def nearest_pivots(vectors: DataFrame, id_col: str, vec: str, pivots: np.ndarray, probes: int = 1, *, keep=()) -> DataFrame:
-    """(id, *keep, _v, pivot, angle): a row per vector and each of its ``probes`` nearest pivots;
-    a zero vector has pivot -1 and angle 0. Null vectors and ids take no part. The pivots go to
-    the tasks with the function: as many as ``fit_pivots`` was asked for."""
-    slim = vectors.select(id_col, *keep, as_vectors(vec).alias("_v")).filter(F.col("_v").isNotNull() & F.col(id_col).isNotNull())
-    schema = T.StructType([*slim.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+def nearest_lists(vectors: DataFrame, id_col: str, vec: str, pivots: np.ndarray, probes: int) -> DataFrame:
+    """(id, _v, pivots, angles): a row per vector with its ``probes`` nearest pivots, the nearest
+    first; a zero vector has pivot -1 and angle 0. Null vectors and ids take no part. The pivots go
+    to the tasks with the function: as many as ``fit_pivots`` was asked for."""
+    slim = vectors.select(id_col, sent_vectors(vectors, vec).alias("_v")).filter(F.col("_v").isNotNull() & F.col(id_col).isNotNull())
+    schema = T.StructType([*slim.schema.fields, T.StructField("pivots", T.ArrayType(T.IntegerType())), T.StructField("angles", T.ArrayType(T.DoubleType()))])
 
     def task(batches):
-        for batch in batches:
-            v = unit_rows(batch.column(batch.schema.get_field_index("_v")))
+        # a slice's similarities to all pivots are bounded, however many pivots there are
+        size = max(16, TILE * TILE // max(len(pivots), 1))
+        for batch in (whole.slice(at, size) for whole in batches for at in range(0, whole.num_rows, size)):
+            v = unit_rows(batch.column(1))
             zero = np.abs(v).sum(1) == 0
             sims = v @ pivots.T if len(pivots) else np.zeros((len(v), 1))
             n = min(probes, sims.shape[1])
             near = np.argsort(-sims, axis=1, kind="stable")[:, :n] if n < sims.shape[1] else np.tile(np.arange(n), (len(v), 1))
+            many = np.where(zero, min(n, 1), n)
             row, place = np.repeat(np.arange(len(v)), n), near.ravel()
             once = ~zero[row] | (np.arange(len(row)) % max(n, 1) == 0)
             row, place = row[once], place[once]
             angle = np.arccos(np.clip(sims[row, place], -1, 1))
             angle[zero[row]], place = 0.0, np.where(zero[row], -1, place)
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(place, pa.int32()), pa.array(angle)], names=schema.names)
+            ends = pa.array(np.r_[0, np.cumsum(many)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(place, pa.int32())),
+                                              pa.ListArray.from_arrays(ends, pa.array(angle))], names=schema.names)
 
     return slim.mapInArrow(task, schema)
 
 
+def nearest_pivots(vectors: DataFrame, id_col: str, vec: str, pivots: np.ndarray, probes: int = 1) -> DataFrame:
+    """(id, _v, pivot, angle): ``nearest_lists`` with a row per vector and pivot."""
+    near = nearest_lists(vectors, id_col, vec, pivots, probes)
+    return near.select(id_col, "_v", F.inline(F.arrays_zip(F.col("pivots").alias("pivot"), F.col("angles").alias("angle"))))
+
+
 # ---- exact search without the pairs of blocks that hold nothing -----------------------------------
 
 class PrunedSearch:
     """``block_topk`` of two tables (without groups) over blocks cut by pivot and angle.
 
-    At most ``pivots`` pivots of ``rings`` rings each; a ring of over ``block_rows`` rows is cut on
-    by hash. So the driver sees (pivots * rings)^2 pairs of rings at most, whatever the data. After
+    At most ``pivots`` pivots of ``rings`` rings each. So the driver sees (pivots * rings)^2 pairs of
+    rings at most, whatever the data. Rings travel in wide bands, so a vector is shuffled once per
+    band of the other side, not once per ring; a ring larger than a band is cut on by hash. After
     ``run``, ``pairs`` is the number of pairs of rings and ``scored`` how many were scored.
     """
 
@@ -231,21 +323,49 @@ class PrunedSearch:
         high = np.minimum(np.pi, apart + ahigh + bhigh)
         return np.where(zero, np.pi / 2, low), np.where(zero, np.pi / 2, high)  # a zero vector has similarity 0
 
+    def _bands(self, stats) -> dict[int, tuple[int, int]]:
+        """Per cell its band and the number of parts of it. Neighbouring cells share a band of at most
+        ``WIDE * block_rows`` rows (fewer, while that makes less than ``SPREAD`` bands); a larger cell
+        is a band of its own, cut by hash."""
+        most = min(WIDE * self.block_rows, max(self.block_rows, -(-sum(s.n for s in stats) // SPREAD)))
+        out, band, held = {}, -1, most + 1
+        for s in stats:
+            if held + s.n > most:
+                band, held = band + 1, 0
+            held += s.n
+            out[s.cell] = (band, -(-s.n // most))
+        return out
+
     def _meet(self, lc, rc, ls, rs, todo):
-        """Scores the pairs of cells in ``todo``; each row goes to the other side's blocks."""
-        blocks = lambda s: -(-s.n // self.block_rows)
+        """Scores the pairs of cells in ``todo``. A row goes once to each band of the other side that
+        holds a cell its own band meets; in the task its cell meets only the cells of ``todo``."""
         spark = lc.sparkSession
-
-        def sent(rows, mine, other, pairs, id_col, own, their):
-            told = [(mine[i].cell, blocks(mine[i]), other[j].cell, blocks(other[j])) for i, j in pairs]
-            table = spark.createDataFrame(told, f"cell int, _n int, {their}c int, _m int")
-            out = rows.join(F.broadcast(table), "cell")  # at most (pivots * rings)^2 rows
-            return (out.withColumn(f"{own}b", F.pmod(F.xxhash64(id_col), F.col("_n"))).withColumn(f"{their}b", F.explode(F.sequence(
-                F.lit(0).cast("long"), F.col("_m").cast("long") - 1))).withColumnRenamed("cell", f"{own}c").drop("_n", "_m", "pivot", "angle"))
-
-        lrep = sent(lc, ls, rs, todo, self.left_id, "_l", "_r")
-        rrep = sent(rc, rs, ls, [(j, i) for i, j in todo], self.right_id, "_r", "_l")
-        return score_blocks(lrep, rrep, ["_lc", "_lb", "_rc", "_rb"], ["_lc"], self.left_id, self.right_id, self.k, self.exclude_self, False, self.digits)
+        lbands, rbands = self._bands(ls), self._bands(rs)
+        parts = lambda bands: {b: n for b, n in bands.values()}
+        lparts, rparts = parts(lbands), parts(rbands)
+        pairs = sorted({(lbands[ls[i].cell][0], rbands[rs[j].cell][0]) for i, j in todo})
+        meets: dict[int, list[int]] = {}
+        for i, j in todo:
+            meets.setdefault(ls[i].cell, []).append(rs[j].cell)
+
+        def sent(rows, bands, mine, theirs, met, id_col, own, their):
+            told = [(cell, band, n) for cell, (band, n) in bands.items()]
+            rows = rows.join(F.broadcast(spark.createDataFrame(told, f"cell int, {own}c int, _n int")), "cell")
+            to = [(i, j, theirs[j]) for i, j in met]
+            rows = rows.join(F.broadcast(spark.createDataFrame(to, f"{own}c int, {their}c int, _m int")), f"{own}c")
+            return (rows.withColumn(f"{own}b", F.pmod(F.xxhash64(id_col), F.col("_n"))).withColumn(f"{their}b", F.explode(F.sequence(
+                F.lit(0).cast("long"), F.col("_m").cast("long") - 1))).drop("_n", "_m", "pivot", "angle"))
+
+        def meet(top: BestOf, lt: pa.Table, rt: pa.Table) -> None:
+            mine, other = (t.column("cell").to_numpy() for t in (lt, rt))
+            other = other[top.order]
+            for cell in np.unique(mine):
+                top.meet(np.flatnonzero(mine == cell), np.flatnonzero(np.isin(other, meets.get(int(cell), []))), True)
+
+        lrep = sent(lc, lbands, lparts, rparts, pairs, self.left_id, "_l", "_r")
+        rrep = sent(rc, rbands, rparts, lparts, [(j, i) for i, j in pairs], self.right_id, "_r", "_l")
+        part = score_blocks(lrep, rrep, ["_lc", "_lb", "_rc", "_rb"], ["cell"], self.left_id, self.right_id, self.k, self.exclude_self, False, self.digits, meet)
+        return part.withColumnRenamed("cell", "_lc")
 
     def run(self) -> DataFrame:
         from feedlens.sources.files import materialize
