@@ -13,6 +13,7 @@ from feedlens.operators import batches as bt
 from feedlens.operators.metrics import ensemble
 from feedlens.plans import training as tr
 from feedlens.rubric import BINARY_LABELS as LAB
+from feedlens.sources.files import materialize
 from feedlens.sources.views import view
 
 SRC = ("v_expanded",)
@@ -99,7 +100,9 @@ def pref_score_pairs(spark, sf):
        f"SELECT 'mismatch_inner', row_id, {_sql_pref('alt_feedback')} FROM inn WHERE coalesce(feedback <> alt_feedback, TRUE) "
        "UNION ALL SELECT 'score', row_id, prompt, chosen, rejected FROM spp")
 def preference_table(spark, sf):
-    return tr.preference_table(_data(spark, sf), _src(spark, sf))
+    # the view joins labels to whole texts: once, for all branches; v_expanded is its item columns
+    data = materialize(_data(spark, sf), "annotated", compression="zstd")
+    return tr.preference_table(data, data.select(*_src(spark, sf).columns))
 
 
 # ---- tokenised supervised rows with the loss mask ---------------------------------------------

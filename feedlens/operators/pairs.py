@@ -21,10 +21,38 @@ from feedlens.rubric import SEED
 from feedlens.sources.files import materialize
 
 
+def large_groups(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(*keys): the groups of more than ``most`` rows, fewer than (rows / ``most``) of them."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(*keys)
+
+
 def inner_neighbours(src: DataFrame, *, group: str = "qid", key: str = "row_id", offsets=(1, 2),
-                     seed=SEED) -> DataFrame:
+                     seed=SEED, window_rows: int = 4096) -> DataFrame:
     """Rows of ``src`` plus ``alt_feedback``: the feedback at position ``(pos + offset) % n``
-    in the same group, for each offset below the group size (``shift`` column)."""
+    in the same group, for each offset below the group size (``shift`` column).
+
+    Groups of at most ``window_rows`` rows are shuffled once and read their neighbours in a
+    window; larger ones are numbered by hash buckets and joined, so that many tasks share them.
+    """
+    some = src.filter(F.col(group).isNotNull())
+    large = materialize(large_groups(some, [group], window_rows), "large-groups")
+    small = some.join(F.broadcast(large), group, "left_anti").select(*src.columns)
+    small = small.withColumn("_h", seeded_hash(seed, F.lit("inner"), key))
+    order = Window.partitionBy(group).orderBy("_h", key)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    small = small.withColumn("_pos", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(every))
+    for i in range(max(offsets)):  # the first rows follow the last one
+        small = small.withColumn(f"_f{i}", F.nth_value("feedback", i + 1).over(every))
+    told = []
+    for o in offsets:
+        small = small.withColumn(f"_l{o}", F.lead("feedback", o).over(order))
+        wrapped = F.get(F.array(*[F.col(f"_f{i}") for i in range(max(offsets))]), (F.col("_pos") + o - F.col("_n")).cast("int"))
+        told.append(F.struct(F.lit(o).alias("shift"), F.when(F.col("_pos") + o < F.col("_n"), F.col(f"_l{o}")).otherwise(wrapped).alias("alt_feedback")))
+    near = small.select("*", F.inline(F.array(*told))).filter(F.col("shift") < F.col("_n")).select(*src.columns, "shift", "alt_feedback")
+    return near.unionByName(_joined_neighbours(some.join(F.broadcast(large), group, "left_semi").select(*src.columns), group, key, offsets, seed))
+
+
+def _joined_neighbours(src: DataFrame, group: str, key: str, offsets, seed) -> DataFrame:
     h = src.withColumn("_h", seeded_hash(seed, F.lit("inner"), key))
     pos = hash_positions(h, [group], "_h", [key], pos_col="_pos", size_col="_n").drop("_h")
     partner = pos.select(F.col(group).alias("_g"), F.col("_pos").alias("_ppos"),
@@ -33,7 +61,7 @@ def inner_neighbours(src: DataFrame, *, group: str = "qid", key: str = "row_id",
     rows = pos.select("*", offs).filter(F.col("shift") < F.col("_n"))
     rows = rows.withColumn("_tpos", F.pmod(F.col("_pos") + F.col("shift"), F.col("_n")))
     out = rows.join(partner, (F.col(group) == F.col("_g")) & (F.col("_tpos") == F.col("_ppos")), "inner")
-    return out.drop("_pos", "_n", "_tpos", "_g", "_ppos")
+    return out.select(*src.columns, "shift", "alt_feedback")
 
 
 def outer_permutation(src: DataFrame, *, key: str = "row_id", rounds: int = 1, seed=SEED,
@@ -61,7 +89,7 @@ def score_pairs(df: DataFrame, score_col: str = "score", *, item=("question", "d
     squared item sizes. An item's rows, in the order of their scores, are cut into blocks of about
     ``block_rows``; a pair of blocks i <= j is one join key, so a hot item is spread over as many
     tasks as its output asks for. Blocks that hold one and the same score never meet, and a row
-    goes to each block of the other side once: items of one block travel as in a plain join.
+    goes to each block of the other side once. Items of one block are shuffled once, by item.
     """
     item = list(item)
     d = df.filter(F.col(score_col).isNotNull())
@@ -69,6 +97,13 @@ def score_pairs(df: DataFrame, score_col: str = "score", *, item=("question", "d
         d = d.filter(F.col(c).isNotNull())
     rows = d.select(F.struct(*d.columns).alias("r"), key_digest(item).alias("_item"), F.col(score_col).alias("_s"), F.col(key).alias("_k"))
 
+    large = materialize(large_groups(rows, ["_item"], block_rows), "large-items")
+    small = rows.join(F.broadcast(large), "_item", "left_anti").select("_item", "r", "_s", "_k")
+    low = small.select("_item", F.col("r").alias("l"), F.col("_s").alias("_ls"), F.col("_k").alias("_lk"))
+    high = small.select("_item", F.col("r").alias("h"), F.col("_s").alias("_hs"), F.col("_k").alias("_hk"))
+    alone = low.join(high, "_item")
+    rows = rows.join(F.broadcast(large), "_item", "left_semi")
+
     # per item: its scores with how many rows lie below, and the least and largest score of each block
     scores = rows.groupBy("_item", "_s").agg(F.count(F.lit(1)).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy("_item").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -94,7 +129,7 @@ def score_pairs(df: DataFrame, score_col: str = "score", *, item=("question", "d
                                    F.transform(before, lambda b: b["t"]).alias("_before")), "score-rows")  # read by both sides
     low = rows.select("_item", F.col("r").alias("l"), F.col("_s").alias("_ls"), F.col("_k").alias("_lk"), F.col("_at").alias("i"), F.explode("_after").alias("j"))
     high = rows.select("_item", F.col("r").alias("h"), F.col("_s").alias("_hs"), F.col("_k").alias("_hk"), F.col("_at").alias("j"), F.explode("_before").alias("i"))
-    met = low.join(high, ["_item", "i", "j"]).filter((F.col("_ls") < F.col("_hs")) & (F.col("_lk") != F.col("_hk")))
+    met = low.join(high, ["_item", "i", "j"]).select(*alone.columns).unionByName(alone).filter((F.col("_ls") < F.col("_hs")) & (F.col("_lk") != F.col("_hk")))
     turned = F.col("_lk") > F.col("_hk")
     out = met.select(F.when(turned, F.col("h")).otherwise(F.col("l")).alias("a"), F.when(turned, F.col("l")).otherwise(F.col("h")).alias("b"))
     return out.select("a.*", *[F.col("b").getField(c).alias(f"b_{c}") for c in d.columns])
