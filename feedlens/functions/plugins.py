@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,13 +65,17 @@ def _batches(items: list, size: int) -> Iterator[list]:
 
 def token_ids(plugin: Tokenizer, text: Column) -> Column:
     """``ARRAY<INT>`` of a text's ids, without an end id; a null text has null."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        some = texts.notna()
-        ids = [x for part in _batches(texts[some].tolist(), plugin.batch_size) for x in held(plugin)(part)]
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        out[some] = pd.Series([np.asarray(x, np.int32) for x in ids], index=texts.index[some], dtype=object)
-        return out
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(texts: pa.Array) -> pa.Array:
+        # a batch of texts at a time is Python objects; ids are kept as numbers
+        some = texts.drop_null()
+        made = [np.asarray(x, np.int32) for at in range(0, len(some), plugin.batch_size)
+                for x in held(plugin)(some.slice(at, plugin.batch_size).to_pylist())]
+        counts = np.zeros(len(texts), np.int64)
+        null = texts.is_null().to_numpy(zero_copy_only=False)
+        counts[~null] = [len(x) for x in made]
+        ids = pa.array(np.concatenate(made) if made else np.zeros(0, np.int32), pa.int32())
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), ids, mask=pa.array(null))
 
     return encode(text)
 
