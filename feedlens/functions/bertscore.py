@@ -43,14 +43,29 @@ def match_means(pred: list[str], ref: list[str], encode, block: int = 1024) -> t
         return 1_000_000, 1_000_000
     va, vb = encode(list(a)), encode(list(b))
     na, nb = np.sqrt((va * va).sum(1)), np.sqrt((vb * vb).sum(1))
-    best_a, best_b = np.full(len(va), -2_000_000, np.int64), np.full(len(vb), -2_000_000, np.int64)
-    for i in range(0, len(va), block):
-        for j in range(0, len(vb), block):
-            length = na[i:i + block, None] * nb[None, j:j + block]
-            dot = va[i:i + block] @ vb[j:j + block].T
-            s = np.floor(np.divide(dot, length, out=np.zeros_like(dot), where=length > 0) * 1_000_000 + 0.5).astype(np.int64)
-            best_a[i:i + block] = np.maximum(best_a[i:i + block], s.max(1))
-            best_b[j:j + block] = np.maximum(best_b[j:j + block], s.max(0))
+    # a word of both texts is its own best match (cosine 1) unless its vector is zero: only words
+    # without such a match meet the other text's words
+    ca = np.fromiter((w in b for w in a), bool, len(a)) & (na > 0)
+    cb = np.fromiter((w in a for w in b), bool, len(b)) & (nb > 0)
+    best_a, best_b = np.where(ca, 1.0, -2.0), np.where(cb, 1.0, -2.0)
+
+    def meet(ia: np.ndarray, ib: np.ndarray, for_a: bool, for_b: bool) -> None:
+        for i in (ia[at:at + block] for at in range(0, len(ia), block)):
+            for j in (ib[at:at + block] for at in range(0, len(ib), block)):
+                length = na[i, None] * nb[None, j]
+                s = va[i] @ vb[j].T
+                s = np.divide(s, length, out=np.zeros_like(s), where=length > 0) if not length.all() else np.divide(s, length, out=s)
+                if for_a:
+                    best_a[i] = np.maximum(best_a[i], s.max(1))
+                if for_b:
+                    best_b[j] = np.maximum(best_b[j], s.max(0))
+
+    new_a, new_b = np.flatnonzero(~ca), np.flatnonzero(~cb)
+    meet(new_a, new_b, True, True)
+    meet(new_a, np.flatnonzero(cb), True, False)
+    meet(np.flatnonzero(ca), new_b, False, True)
+    # rounding keeps the order, so the largest is rounded, not all
+    best_a, best_b = (np.floor(x * 1_000_000 + 0.5).astype(np.int64) for x in (best_a, best_b))
 
     def mean(best: np.ndarray, counts: Counter) -> int:
         times = np.fromiter(counts.values(), np.int64)
