@@ -154,6 +154,8 @@ def score_blocks(left: DataFrame, right: DataFrame, tasks: list[str], keys: list
     """(*keys, left_id, right_id, sim): the top-k right rows of each left row in one block, for
     every combination of the ``tasks`` columns that both sides hold. Vectors are in ``_v``.
     ``meet(best, left, right)`` may leave out pairs; ``keys`` are columns of the left rows."""
+    if any(left.schema[c].dataType != right.schema[c].dataType for c in tasks):
+        raise ValueError("task columns of two types are hashed apart")
     fields = [left.schema[c] for c in [*keys, left_id]] + [right.schema[right_id], T.StructField("sim", T.DoubleType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
     fn = _score(left_id, right_id, keys, k, exclude_self, self_sim_zero, digits, meet)

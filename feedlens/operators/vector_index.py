@@ -122,7 +122,7 @@ class VectorIndex:
         q = (asked.join(size, "_band").join(F.broadcast(many), "_band").withColumn("_bq", F.pmod(F.xxhash64("_q"), F.col("_nq")))
              .withColumn("_bi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ni").cast("long") - 1))).drop("_nq", "_ni"))
         v = (self.vectors.join(table, "list").join(F.broadcast(many), "_band").withColumn("_bi", F.pmod(F.xxhash64("id"), F.col("_ni")))
-             .withColumn("_bq", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nq", "_ni"))
+             .withColumn("_bq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq").cast("long") - 1))).drop("_nq", "_ni"))
         part = score_blocks(q, v, ["_band", "_bq", "_bi"], [], "_q", "id", k, exclude_self, False, digits, _meet_probed)
         return best(part, [], "_q", "id", k).withColumnRenamed("_q", query_id)
 

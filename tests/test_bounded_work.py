@@ -146,3 +146,10 @@ def test_small_items_are_shuffled_once(spark):
     df = spark.createDataFrame(rows, "row_id LONG, question LONG, distractor STRING, score DOUBLE, feedback STRING")
     pairs = lambda n: sorted(map(repr, prs.score_pairs(df, block_rows=n).collect()))
     assert pairs(4096) == pairs(2) and len(pairs(4096)) == 50
+
+
+def test_task_columns_have_one_type(spark):
+    """An int and a long are hashed apart: with several partitions their groups would never meet."""
+    side = lambda kind: spark.createDataFrame([(1, 1, [1.0])], f"id LONG, t {kind}, _v ARRAY<DOUBLE>")
+    with pytest.raises(ValueError):
+        sim.score_blocks(side("INT"), side("LONG").withColumnRenamed("id", "r"), ["t"], [], "id", "r", 1, False, False, 6)
