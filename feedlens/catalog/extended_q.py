@@ -144,8 +144,10 @@ def fewshot_knn_encoded(spark, sf):
     targets are the rows of all three splits."""
     x = view(spark, sf, "v_expanded")
     split = ix.split_by_share(x.select("row_id"), ["row_id"]).select(F.col("row_id").alias("_s"), "split")
-    vec = encoder_udf(hashed_bow, 64)(pr.prompt_input(False))
-    coded = materialize(x.select("row_id", vec.alias("vec")).join(split, F.col("row_id") == F.col("_s")).drop("_s"), "encoded")
+    # a task per core: adaptive execution would merge rows so slim into few tasks, and the encoding with them
+    inputs = x.select("row_id", pr.prompt_input(False).alias("_text")).repartition(spark.sparkContext.defaultParallelism, "row_id")
+    vec = encoder_udf(hashed_bow, 64)("_text")
+    coded = materialize(inputs.select("row_id", vec.alias("vec")).join(split, F.col("row_id") == F.col("_s")).drop("_s"), "encoded")
     targets = coded.select(F.col("row_id").alias("target_id"), "vec")
     pool = coded.filter("split = 'train'").select(F.col("row_id").alias("pool_id"), "vec")
     knn = block_topk(targets, pool, left_id="target_id", right_id="pool_id", k=2, exclude_self=True)

@@ -59,6 +59,8 @@ def top_of_rows(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 TILE = 1024
+# Right rows a list, the least number of lists that is worth the cutting, and left rows that meet the lists at a time
+LIST, LEAST_LISTS, STRIP = 128, 16, 8 * TILE
 
 
 class BestOf:
@@ -84,15 +86,89 @@ class BestOf:
                 self.codes = codes[:len(lid)], codes[len(lid):]
         self.sims = np.full((len(lid), k), -np.inf)
         self.places = np.full((len(lid), k), -1, np.int64)
+        # single precision tells which pairs may be better; those are scored again in double precision
+        self.singles = None if self_sim_zero else [v.astype(np.float32) for v in (self.left, self.right)]
+        self.slack = (self.left.shape[1] + 8) * 2.0 ** -23  # more than the error of a product of unit rows
 
     def meet(self, rows: np.ndarray, places: np.ndarray, ascending: bool) -> None:
         """Scores left ``rows`` against right ``places`` (both ascending). ``ascending``: these
         rows met only smaller places before, so that an equal one no longer counts."""
+        lists = min(len(rows), len(places)) // LIST >= LEAST_LISTS and self._lists(places)
+        if lists and np.isfinite(self.left[rows]).all():
+            for i in range(0, len(rows), STRIP):
+                self._meet_lists(rows[i:i + STRIP], *lists)
+        else:
+            self._meet_tiles(rows, places, ascending)
+
+    def _meet_tiles(self, rows, places, ascending) -> None:
         for i in range(0, len(rows), TILE):
             for j in range(0, len(places), TILE):
                 self._tile(rows[i:i + TILE], places[j:j + TILE], ascending)
 
+    def _lists(self, places):
+        """(centres, members of each one's list, the largest angle in it), or None: a row that counts
+        as its own candidate with similarity 0 and vectors that are not finite have no angle bound."""
+        v = self.right[places]
+        if self.self_value == 0 or not np.isfinite(v).all():
+            return None
+        some = np.linspace(0, len(v) - 1, min(len(v), 16 * (len(v) // LIST))).astype(np.int64)
+        centres = spherical_means(v[some], len(v) // LIST, 3)
+        if not len(centres):
+            return None
+        near, sim = np.empty(len(v), np.int64), np.empty(len(v))
+        for i in range(0, len(v), TILE):
+            s = v[i:i + TILE] @ centres.T
+            near[i:i + TILE] = at = s.argmax(1)
+            sim[i:i + TILE] = s[np.arange(len(s)), at]
+        by_list = np.argsort(near, kind="stable")  # places stay ascending
+        ends = np.searchsorted(near[by_list], np.arange(len(centres) + 1))
+        wide = np.zeros(len(centres))
+        np.maximum.at(wide, near, np.arccos(np.clip(sim, -1, 1)))
+        return centres, [places[by_list[a:b]] for a, b in zip(ends[:-1], ends[1:])], wide
+
+    def _meet_lists(self, rows, centres, members, wide) -> None:
+        """Scores ``rows`` against all lists that can hold one of their k best: no similarity exceeds
+        the cosine of the angle to the list's centre less the list's largest angle."""
+        most = self.left[rows] @ centres.T
+        first = most.argmax(1)
+        np.clip(most, -1, 1, out=most)
+        wide = np.minimum(wide + 1e-6, np.pi)  # more than an angle's error
+        inside = most >= np.cos(wide)
+        off = np.sqrt(1 - most * most)
+        off *= np.sin(wide)
+        most *= np.cos(wide)
+        most += off  # cos(a - b)
+        most[inside] = 1
+        most *= self.unit
+        most += 0.5 + self.unit * 1e-9  # rounding
+        order = np.argsort(first, kind="stable")
+        ends = np.searchsorted(first[order], np.arange(len(centres) + 1))
+        for c in np.unique(first):
+            self._meet_tiles(rows[order[ends[c]:ends[c + 1]]], members[c], False)
+        most[np.arange(len(rows)), first] = -np.inf
+        can = np.flatnonzero((most >= self.sims[rows, -1][:, None]).any(axis=0))
+        for c in can:
+            self._meet_tiles(rows[(most[:, c] >= self.sims[rows, -1]) & (most[:, c] > -np.inf)], members[c], False)
+
     def _tile(self, rows, places, ascending) -> None:
+        if self.singles is not None:
+            least = ((self.sims[rows, -1] - 0.5) / self.unit - self.slack).astype(np.float32)
+            may = self.singles[0][rows] @ self.singles[1][places].T >= least[:, None]
+            some = np.flatnonzero(may.any(axis=1))
+            if not len(some):
+                return
+            rows, may = rows[some], may[some]
+            if np.count_nonzero(may) < 16 * len(rows):
+                r, c = np.nonzero(may)
+                s = np.rint(np.einsum("ij,ij->i", self.left[rows[r]], self.right[places[c]]) * self.unit)
+                if self.own is not None:
+                    s[self.own[rows[r]] == places[c]] = self.self_value
+                elif self.codes is not None:
+                    s[self.codes[0][rows[r]] == self.codes[1][places[c]]] = self.self_value
+                mark = self.sims[rows[r], -1]
+                better = (s > mark) if ascending else (s >= mark) & (s > -np.inf)
+                self._keep(rows, r[better], places[c[better]], s[better])
+                return
         s = self.left[rows] @ self.right[places].T
         s *= self.unit
         np.rint(s, out=s)
@@ -115,11 +191,15 @@ class BestOf:
         if len(lots):
             r2, c2 = top_of_rows(np.where(better[lots], s[lots], -np.inf), self.k)
             r, c = np.concatenate([r, lots[r2]]), np.concatenate([c, c2])
-        # what is held and what is new, ranked together
+        self._keep(rows, r, places[c], s[r, c])
+
+    def _keep(self, rows, r, place, sim) -> None:
+        """Ranks what ``rows`` hold together with new ``place``s of ``rows[r]``."""
+        some = np.unique(r)
         held = np.repeat(some, self.k)
         row = np.concatenate([held, r])
-        sim = np.concatenate([self.sims[rows[some]].ravel(), s[r, c]])
-        place = np.concatenate([self.places[rows[some]].ravel(), places[c]])
+        sim = np.concatenate([self.sims[rows[some]].ravel(), sim])
+        place = np.concatenate([self.places[rows[some]].ravel(), place])
         rank = np.lexsort((place, -sim, row))
         row, sim, place = row[rank], sim[rank], place[rank]
         nth = np.arange(len(row)) - np.searchsorted(row, row)
@@ -225,7 +305,11 @@ def fit_pivots(vectors: DataFrame, id_col: str, vec: str, count: int, *, sample_
     ``sample_rows`` rows of the smallest seeded hashes, the only rows that reach the driver."""
     sound = vectors.select(id_col, as_vectors(vec).alias("_v")).filter(F.col("_v").isNotNull() & F.col(id_col).isNotNull())
     rows = ix.sample_exact(sound, sample_rows, [id_col], seed=seed)
-    x = unit_rows(rows.select("_v").toArrow().column("_v"))
+    return spherical_means(unit_rows(rows.select("_v").toArrow().column("_v")), count, rounds, seed)
+
+
+def spherical_means(x: np.ndarray, count: int, rounds: int, seed: int = SEED) -> np.ndarray:
+    """At most ``count`` unit vectors that lie among the unit rows ``x``; zero rows take no part."""
     x = x[np.abs(x).sum(1) > 0]
     if not len(x):
         return np.zeros((0, x.shape[1]))
