@@ -65,14 +65,19 @@ def _joined_neighbours(src: DataFrame, group: str, key: str, offsets, seed) -> D
 
 
 def outer_permutation(src: DataFrame, *, key: str = "row_id", rounds: int = 1, seed=SEED,
-                      exclude_equal: bool = False) -> DataFrame:
+                      exclude_equal: bool = False, numbers=None) -> DataFrame:
     """Rows of ``src`` plus ``alt_feedback`` from a seeded permutation, once per round (``round``).
 
     Position ``i`` in key order receives the feedback at the position to which the round's keyed
     bijection sends ``i``. Self-pairs can occur, as in the source; ``exclude_equal`` leaves out
-    the rows that got their own text. The rows are written once in key order, numbers included.
+    the rows that got their own text. The rows are written once in key order, numbers included;
+    ``numbers`` names the columns (position in key order, number of rows) of rows that have been.
     """
-    rows = ordered_index(src, [key], index_col="_i", total_col="_n")
+    if numbers:
+        rows = src.withColumnsRenamed(dict(zip(numbers, ("_i", "_n"))))
+        src = src.drop(*numbers)
+    else:
+        rows = ordered_index(src, [key], index_col="_i", total_col="_n")
     texts = rows.select(F.col("_i").alias("_j"), F.col("feedback").alias("alt_feedback"))
     goes = [F.struct(F.lit(r).alias("round"), bijection(F.col("_i"), F.col("_n"), seed=seed, salt=f"outer:{r}").alias("_t")) for r in range(rounds)]
     sent = rows.select("*", F.inline(F.array(*goes)))

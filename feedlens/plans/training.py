@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.functions import prompts as pr
+from feedlens.functions.pack import unpack
 from feedlens.operators import agreement as ag
 from feedlens.operators import pairs as pa
 from feedlens.rubric import BINARY, BINARY_LABELS, FLIPPED_LABELS, Rubric
@@ -52,21 +53,27 @@ def _pref(df: DataFrame, rejected_col: str, include_rubric: bool) -> DataFrame:
                      pr.completion(rejected_col).alias("rejected"))
 
 
-def pref_outer(src: DataFrame, rounds: int = 1, include_rubric: bool = False) -> DataFrame:
-    n = pa.outer_permutation(src, rounds=rounds)
+def _unpacked(df: DataFrame, cols, packed: bool) -> DataFrame:
+    return df.withColumns({c: unpack(c) for c in cols}) if packed else df
+
+
+def pref_outer(src: DataFrame, rounds: int = 1, include_rubric: bool = False, *, packed: bool = False, numbers=None) -> DataFrame:
+    """``packed``: feedback comes as bytes of ``functions.pack``, here and below; ``numbers``: see
+    ``outer_permutation``."""
+    n = _unpacked(pa.outer_permutation(src, rounds=rounds, numbers=numbers), ["feedback", "alt_feedback"], packed)
     return _pref(n, "alt_feedback", include_rubric).withColumn("source", F.lit("mismatch_outer"))
 
 
-def pref_inner(src: DataFrame, include_rubric: bool = False) -> DataFrame:
-    n = pa.inner_neighbours(src)
+def pref_inner(src: DataFrame, include_rubric: bool = False, *, packed: bool = False) -> DataFrame:
+    n = _unpacked(pa.inner_neighbours(src), ["feedback", "alt_feedback"], packed)
     n = n.filter(F.coalesce(F.col("feedback") != F.col("alt_feedback"), F.lit(True)))  # equal texts give no preference
     return _pref(n, "alt_feedback", include_rubric).withColumn("source", F.lit("mismatch_inner"))
 
 
-def pref_scores(data: DataFrame, include_rubric: bool = False, rubric: Rubric = BINARY) -> DataFrame:
+def pref_scores(data: DataFrame, include_rubric: bool = False, rubric: Rubric = BINARY, *, packed: bool = False) -> DataFrame:
     """Pairs of annotated feedback on one item; the higher gated score is chosen."""
     scored = ag.flip_labels(data, rubric).withColumn("score", ag.gated_score(FLIPPED_LABELS))
-    p = pa.score_pairs(scored.select(*ITEM, "feedback", "score"))
+    p = _unpacked(pa.score_pairs(scored.select(*ITEM, "feedback", "score")), ["feedback", "b_feedback"], packed)
     first_wins = F.col("score") > F.col("b_score")
     return p.select(F.col("row_id"), F.col("b_row_id").alias("row_id_b"), pr.sft_prompt(include_rubric).alias("prompt"),
                     F.when(first_wins, pr.completion("feedback")).otherwise(pr.completion("b_feedback")).alias("chosen"),
@@ -75,16 +82,16 @@ def pref_scores(data: DataFrame, include_rubric: bool = False, rubric: Rubric =
 
 
 def preference_table(data: DataFrame, src: DataFrame, *, mmo: int = 1, mmi: bool = True, score: bool = True,
-                     include_rubric: bool = False) -> DataFrame:
-    """Bag union of the three preference sources."""
+                     include_rubric: bool = False, packed: bool = False, numbers=None) -> DataFrame:
+    """Bag union of the three preference sources. ``packed`` and ``numbers`` (of ``src``): see ``pref_outer``."""
     cols = ["source", "row_id", "prompt", "chosen", "rejected"]
     parts = []
     if mmo:
-        parts.append(pref_outer(src, mmo, include_rubric).select(*cols))
+        parts.append(pref_outer(src, mmo, include_rubric, packed=packed, numbers=numbers).select(*cols))
     if mmi:
-        parts.append(pref_inner(src, include_rubric).select(*cols))
+        parts.append(pref_inner(src.drop(*(numbers or ())), include_rubric, packed=packed).select(*cols))
     if score:
-        parts.append(pref_scores(data, include_rubric).select(*cols))
+        parts.append(pref_scores(data, include_rubric, packed=packed).select(*cols))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
