@@ -8,14 +8,13 @@ from feedlens.catalog.registry import query
 from feedlens.functions import prompts as pr
 from feedlens.functions import text as tx
 from feedlens.functions.bijection import sql_bijection
-from feedlens.functions.pack import pack
 from feedlens.functions.plugins import ECHO, WORD_IDS, hashed_scorer, score_rows, write_rows
 from feedlens.operators import batches as bt
 from feedlens.operators import index as ix
 from feedlens.operators.metrics import ensemble
 from feedlens.plans import training as tr
 from feedlens.rubric import BINARY_LABELS as LAB
-from feedlens.sources.views import view
+from feedlens.sources.views import packed_annotated, view
 
 SRC = ("v_expanded",)
 BOTH = ("v_annotated_a", "v_expanded")
@@ -101,11 +100,10 @@ def pref_score_pairs(spark, sf):
        f"SELECT 'mismatch_inner', row_id, {_sql_pref('alt_feedback')} FROM inn WHERE coalesce(feedback <> alt_feedback, TRUE) "
        "UNION ALL SELECT 'score', row_id, prompt, chosen, rejected FROM spp")
 def preference_table(spark, sf):
-    # the view joins labels to whole texts: once, for all branches, which read packed texts in key
-    # order with their numbers; v_expanded is its item columns
+    # the view joins labels to whole texts: once, for all branches, which read packed texts with
+    # their numbers in key order; v_expanded is its item columns
     numbers = ("row_at", "row_count")
-    rows = _data(spark, sf).withColumn("feedback", pack("feedback"))
-    data = ix.ordered_index(rows, ["row_id"], index_col=numbers[0], total_col=numbers[1])
+    data = ix.key_positions(packed_annotated(spark, sf), "row_id", index_col=numbers[0], total_col=numbers[1])
     return tr.preference_table(data, data.select(*_src(spark, sf).columns, *numbers), packed=True, numbers=numbers)
 
 

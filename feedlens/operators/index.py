@@ -7,6 +7,7 @@ positions are built from two pieces instead:
 * ``ordered_index``: range-partition and sort by the key, number rows inside each partition,
   write that once, and add per-partition offsets. The offsets table has one row per partition,
   so its broadcast size is bounded by the partition count, not by the data.
+* ``key_positions``: the same for wide rows, of which only the keys are put in order.
 * ``hash_positions``: position inside a group when the order is a uniform hash. Rows are split
   into ``16**digits`` buckets by the leading hex digits of the hash, so a group holding a large
   share of all rows is numbered by many tasks; per-bucket counts give the offsets.
@@ -73,6 +74,25 @@ def ordered_index(df: DataFrame, order_by, *, index_col: str = "idx", total_col:
     return out.drop("_id", "_part", "_op", "_off", "_total")
 
 
+def key_positions(df: DataFrame, key: str, *, index_col: str = "idx", total_col: str = "n") -> DataFrame:
+    """Rows of ``df``, written once, with their position in the order of ``key`` (nulls last, equal
+    keys in any order) and the number of rows.
+
+    For wide rows: only the keys are put in order. The rows are dealt by the hash of their key, and
+    not moved at all if a join on it has dealt them already; a row's position is the first one of
+    its key plus its number among the rows of that key.
+    """
+    from feedlens.sources.files import materialize
+
+    keys = ordered_index(df.select(key).filter(F.col(key).isNotNull()), [key], index_col="_at")
+    starts = keys.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_start"))
+    size = df.select(F.count(F.col(key)).alias("sound"), F.count(F.lit(1)).alias("all"))
+    rows = df.join(starts, F.col(key) == F.col("_key"), "left")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(key)) - 1
+    rows = rows.withColumn(index_col, F.coalesce("_start", size.select("sound").scalar()) + nth)
+    return materialize(rows.withColumn(total_col, size.select("all").scalar()).drop("_key", "_start"), "key-positions")
+
+
 def hash_positions(df: DataFrame, keys, hash_col: str, tie_cols, *, pos_col: str = "pos",
                    size_col: str | None = "group_size", digits: int = 4) -> DataFrame:
     """Position (0-based) of each row inside its ``keys`` group ordered by ``(hash_col, *tie_cols)``.

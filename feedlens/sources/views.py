@@ -209,6 +209,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def packed_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_annotated_a`` with its feedback as ``pack`` makes it, packed where the documents are read:
+    the join with the labels moves packed texts."""
+    from feedlens.functions.pack import pack
+
+    register_tables(spark, sf_dir, _base_tables_of(["v_annotated_a"]))
+    spark.table("documents").withColumn("text", pack("text")).createOrReplaceTempView("documents_packed")
+    return spark.sql(VIEWS["v_annotated_a"].text("spark").replace("FROM documents d", "FROM documents_packed d"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -75,12 +75,21 @@ def test_preference_table_of_packed_numbered_rows_is_the_same(spark):
                                        f"feedback STRING, method STRING, {labels}")
     src = [*tr.ITEM, "feedback"]
     want = tr.preference_table(data, data.select(*src)).collect()
-    packed = ix.ordered_index(data.withColumn("feedback", pack("feedback")), ["row_id"], index_col="at", total_col="of")
+    packed = ix.key_positions(data.withColumn("feedback", pack("feedback")), "row_id", index_col="at", total_col="of")
     got = tr.preference_table(packed, packed.select(*src, "at", "of"), packed=True, numbers=("at", "of")).collect()
     key = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key) and len({r.source for r in got}) == 3
 
 
+@pytest.mark.parametrize("ids", [[5, 3, 3, None, 9, 1, None, 3], [None], [], [2, 1]])
+def test_key_positions(spark, ids):
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(ids)], "i INT, k LONG").repartition(3)
+    rows = ix.key_positions(df, "k").collect()
+    assert sorted(r.idx for r in rows) == list(range(len(ids))) and {r.n for r in rows} <= {len(ids)}
+    assert sorted(r.i for r in rows) == list(range(len(ids)))
+    assert [r.k for r in sorted(rows, key=lambda r: r.idx)] == sorted(ids, key=lambda k: (k is None, k))
+
+
 def test_preference_table_writes_its_texts_once(spark, monkeypatch):
     """All branches read one table of packed texts; two tables of plain texts were written before."""
     held, whole = [], files.write_table
